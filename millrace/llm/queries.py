@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import html_extract, mixing, ngram_join, packing, url_filter
 from .common import tune
 
 
@@ -62,5 +62,25 @@ SELECT doc_id, size, source_size, target, CAST(
   + least(size, greatest(0, floor(target) - 2 * source_size - start)) AS BIGINT) AS taken FROM c
 """
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op4_mixing": op4_mixing}
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op3_packing": op3_packing,
+    "op4_mixing": op4_mixing,
+    "op7_html_extraction": op7_html_extraction,
+    "op10_ngram_join": op10_ngram_join,
+}
 ORACLE = {"op2_url_filter": OP2_SQL, "op4_mixing": OP4_SQL}
