@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, ngram_join, packing, toxicity, url_filter
+from . import decontaminate, embed_dedup, html_extract, mixing, ngram_join, packing, toxicity, url_filter
 from .common import tune
 
 
@@ -77,6 +77,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
@@ -103,6 +107,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op7_html_extraction": op7_html_extraction,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
