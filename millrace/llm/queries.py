@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, html_extract, mixing, ngram_join, packing, toxicity, url_filter
+from . import decontaminate, embed_dedup, html_extract, masked_lm, mixing, ngram_join, packing, resample, toxicity, url_filter
 from .common import tune
 
 
@@ -73,6 +73,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where(~held_out() & (F.col("quality") == 1))
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -106,6 +116,8 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_importance_resampling": op5_importance_resampling,
+    "op6_masked_lm": op6_masked_lm,
     "op7_html_extraction": op7_html_extraction,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
