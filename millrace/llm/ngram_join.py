@@ -11,10 +11,12 @@ points are first dealt into blocks that lose no pair: two sets with a Jaccard of
 n - ceil(t n) + 1 shingles of any fixed order; the order here is by estimated document frequency, rarest first. There is
 a tree in each block of two or more points, and blocks with the same members are joined once.
 
-Equal sets are one point. The first round takes from each block only one surviving partner of each point; verified pairs
-give components. The second round joins all points of a block that are still in different components. So a group of
-thousands of near copies costs a number of pairs in proportion to its size, and no link between components is lost.
-Blocks beyond ``chunk`` points are cut into chunks and each pair of chunks is a task's tree join of its own.
+Equal sets are one point. Rounds: a block's tree join returns, of the pairs that survive, a spanning forest over the
+components known so far (the pairs with the most room above their bound first), leaving out pairs that verification has
+refused. Verified pairs join components; blocks that lie in one component are done; the rounds end when no block has a
+surviving pair across components that was not refused. So every link is found or lies inside a component, and a group of
+thousands of near copies costs pairs in proportion to its size. The first round looks only at each point's largest
+block. Blocks beyond ``chunk`` points are cut into chunks and each pair of chunks is a tree join of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import components, materialize, mix, shingles, slices, tune, words
 
 SKETCH = 1 << 16
 MARKED = 1 << 23
-GROUPS = 64
+GROUPS = 128
 LEAF = 16
 
 
@@ -136,64 +138,79 @@ def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.n
                 yield x.order[a][p], y.order[b][q]
 
 
-def _block_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, percent: int, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a block (side 0) or between two chunks (sides 0 and 1). one: a partner for each point at most."""
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1)
+def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, refused: list, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest over comp of the surviving pairs of a block (side 0) or between two chunks (sides 0 and 1)."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(node) <= 4 and not len(right):
-        pairs = [np.triu_indices(len(node), 1)]
+        found = [np.triu_indices(len(node), 1)]
     else:
         a = Tree(point[left], size[left])
         b, other = (Tree(point[right], size[right]), right) if len(right) else (a, left)
-        pairs = ((left[p], other[q]) for p, q in tree_join(a, b, percent))
-    seen = np.zeros(len(node), bool)
-    for p, q in pairs:
-        differ = comp[p] != comp[q]
-        p, q = p[differ], q[differ]
-        if one and len(p):
-            lo, hi = np.minimum(p, q), np.maximum(p, q)
-            _, first = np.unique(hi, return_index=True)
-            first = first[~seen[hi[first]]]
-            seen[hi[first]] = True
-            p, q = lo[first], hi[first]
-        if len(p):
-            need = _need(size[p], size[q], percent)
-            ok = np.minimum(point[p].astype(np.int32), point[q]).sum(axis=1) >= need
-            yield node[p[ok]], node[q[ok]]
-
-
-def candidates(blocks: DataFrame, percent: int, chunk: int, one: bool) -> DataFrame:
-    """Distinct pairs (a, b) of nodes from (block, node, comp, size, point, cnt) rows."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        found = [(left[p], other[q]) for p, q in tree_join(a, b, percent)]
+    p, q = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    differ = comp[p] != comp[q]
+    p, q = p[differ], q[differ]
+    room = []
+    for lo in range(0, len(p), 4096):
+        u, v = p[lo : lo + 4096], q[lo : lo + 4096]
+        need = _need(size[u], size[v], percent)
+        room.append((np.minimum(point[u], point[v]).sum(axis=1, dtype=np.int64) - need) / np.maximum(need, 1))
+    r = np.concatenate(room) if room else np.zeros(0)
+    p, q, r = p[r >= 0], q[r >= 0], r[r >= 0]
+    lo, hi = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
+    out, parent = [], {c: c for c in set(comp.tolist())}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    left_over = len(parent)
+    for k in np.lexsort((hi, lo, -np.floor(r * 20))):
+        x, y = root(int(comp[p[k]])), root(int(comp[q[k]]))
+        if x == y or int(node[q[k]]) in refused[p[k]]:
+            continue
+        parent[max(x, y)] = min(x, y)
+        out.append((int(lo[k]), int(hi[k])))
+        left_over -= 1
+        if left_over == 1:
+            break
+    return out
+
+
+def candidates(blocks: DataFrame, percent: int, chunk: int, across: bool) -> DataFrame:
+    """Distinct pairs (a, b) of nodes from (block, cnt, node, comp, size, point, refused) rows. across: pairs of chunks too."""
     parts = F.ceil(F.col("cnt") / chunk).cast("int")
     x = blocks.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    if one:  # chunks alone: what lies across is left to the second round
-        x = x.withColumns({"lo": F.col("own"), "hi": F.col("own"), "side": F.lit(0)})
-    else:
+    if across:
         x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         x = x.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    x = x.select("block", "lo", "hi", "side", "node", "comp", "size", "point")
+    else:
+        x = x.withColumns({"lo": F.col("own"), "hi": F.col("own"), "side": F.lit(0)})
+    x = x.select("block", "lo", "hi", "side", "node", "comp", "size", "point", "refused")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         current = None
 
         def close() -> Iterator[pa.RecordBatch]:
+            if len({r[5] for r in held}) < 2:
+                return
             node, comp, size, side = (np.array([r[i] for r in held], np.int64) for i in (4, 5, 6, 3))
             point = np.frombuffer(b"".join(r[7] for r in held), np.uint16).reshape(len(held), GROUPS)
-            for p, q in _block_pairs(node, comp, size, point, side, percent, one):
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
+            pairs = _forest(node, comp, size, point, side, [set(r[8] or ()) for r in held], percent)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=schema)
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if r[:3] != current:
-                    if len(held) > 1:
-                        yield from close()
+                    yield from close()
                     held, current = [], r[:3]
                 held.append(r)
-        if len(held) > 1:
-            yield from close()
+        yield from close()
 
     dealt = x.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -269,16 +286,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     reps = materialize(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id")))
     blocks = materialize(_blocks(prof, reps))
     shape = prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point")
-    members = blocks.join(shape, "node")
-    first = materialize(candidates(members.withColumn("comp", F.col("node")), percent, chunk, one=True))
-    edges = verify(first, docs, prof, n, percent)
-    comp = materialize(components(edges))
-    labelled = blocks.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "cnt", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = labelled.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("block")
-    left = labelled.join(mixed, "block", "left_semi").join(shape, "node")
-    second = candidates(left, percent, chunk, one=False).join(first, ["a", "b"], "left_anti")
-    more = verify(materialize(second), docs, prof, n, percent)
-    comp = components(edges.unionByName(more))
+    spark = docs.sparkSession
+    edges = spark.createDataFrame([], "a long, b long")
+    refused = spark.createDataFrame([], "node long, refused array<long>")
+    tried = edges
+    comp = spark.createDataFrame([], "id long, root long")
+    most = blocks.groupBy("node").agg(F.min(F.struct(-F.col("cnt"), F.col("block"))).alias("m")).select("node", F.col("m.block").alias("block"))
+    first = True
+    while True:
+        now = blocks.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "cnt", "node", F.coalesce("root", "node").alias("comp"))
+        if first:
+            now = now.join(most, ["block", "node"], "left_semi")
+        mixed = now.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("block")
+        now = now.join(mixed, "block", "left_semi").join(shape, "node").join(refused, "node", "left")
+        pairs = materialize(candidates(now, percent, chunk, across=not first))
+        if not first and pairs.isEmpty():
+            break
+        good = verify(pairs, docs, prof, n, percent)
+        tried = materialize(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
+        both = tried.select(F.col("a").alias("node"), F.col("b").alias("x")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("x")))
+        refused = both.groupBy("node").agg(F.collect_list("x").alias("refused"))
+        edges = edges.unionByName(good)
+        comp = materialize(components(edges))
+        first = False
     named = reps.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(low, "root").select("key", "class_id", "component_id")

@@ -90,7 +90,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", keep: tuple[st
     def w(s: pd.Series) -> pd.DataFrame:
         r = shared.value
         out, n = np.full(len(s), np.nan), np.zeros(len(s), np.int64)
-        for i, k in ngram_buckets(pa.Array.from_pandas(s, pa.string())):
+        for i, k in ngram_buckets(pa.array([t if isinstance(t, str) else None for t in s], pa.string())):
             n[i] = len(k)
             if len(k):
                 out[i] = r[k].sum()
