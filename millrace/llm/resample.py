@@ -129,7 +129,7 @@ def largest(df: DataFrame, key: str, k: int, bins: int = 1024, small: int = 5000
     return d.where(F.col(key) > F.lit(hi)).unionByName(rest).drop("_tie")
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float = 0.85, seed: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, log_weight, n_grams, key) of a sample of share of the rows with n-grams.
 
     Null, empty and wordless texts are never sampled. Repeated rows draw the same number and are rows of their own.
