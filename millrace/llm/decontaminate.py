@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every n-gram of the benchmark items is a seed. A first pass counts in how many documents each seed occurs; an item's
-rare seeds are those up to the median count among its own. A second pass joins documents to items by rare seeds and
+rare seeds are those whose count is not far above the median of its own seeds that occur, so that stock phrases fetch
+no candidates. A second pass joins documents to items by rare seeds and
 aligns each item with the windows of the document around its seeds, word by word with gaps, so that paraphrased and
 edited copies score as well as exact ones. The score is the best local alignment as a share of the item's own.
 
@@ -63,10 +64,11 @@ class Items:
 
     def set_counts(self, counts: dict[int, int]) -> None:
         c = np.array([counts.get(i, 0) for i in np.searchsorted(self.hash, self.hash).tolist()])
-        for i in range(len(self.texts)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                self.rare[own] = c[own] <= np.median(c[own])
+        order = np.argsort(self.item, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
+            there = c[own][c[own] > 0]
+            if len(there):
+                self.rare[own] = c[own] <= 4 * np.median(there) + 10
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first seed with that hash, position in h) of every n-gram of h that is a seed."""
