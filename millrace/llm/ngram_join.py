@@ -32,7 +32,8 @@ from .common import components, materialize, mix, shingles, slices, tune, words
 
 SKETCH = 1 << 16
 MARKED = 1 << 23
-GROUPS = 128
+GROUPS = 512
+FORESTS = 2
 LEAF = 16
 
 
@@ -65,8 +66,9 @@ def frequency_sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def group_counts(s: np.ndarray) -> np.ndarray:
-    """The point of a set: shingles in each of the groups."""
-    return np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """The point of a set: shingles in each of the groups. A set with over 255 in a group is 255 everywhere: no bound."""
+    n = np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return n.astype(np.uint8) if n.max() <= 255 else np.full(GROUPS, 255, np.uint8)
 
 
 def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
@@ -108,10 +110,12 @@ class Tree:
         rank = np.empty(len(points), np.int64)
         rank[by_size] = np.arange(len(points))
         self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], rank // slab))
-        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.open = (self.points == 255).all(axis=1)
         starts = np.arange(0, len(points), LEAF)
         self.starts = starts
         self.upper = np.maximum.reduceat(self.points, starts, axis=0)
+        self.free = np.maximum.reduceat(self.open, starts)
         self.low, self.high = np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
 
     def leaf(self, i: int) -> slice:
@@ -122,15 +126,15 @@ def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.n
     """Positions in x and in y of the pairs whose bound allows the similarity, leaf pair by leaf pair."""
     same = x is y
     for i in range(len(x.starts)):
-        bound = np.minimum(x.upper[i], y.upper).sum(axis=1)
-        fits = (bound >= _need(x.low[i], y.low, percent)) & (100 * x.high[i] >= percent * y.low) & (100 * y.high >= percent * x.low[i])
+        bound = np.minimum(x.upper[i], y.upper).sum(axis=1, dtype=np.int64)
+        fits = ((bound >= _need(x.low[i], y.low, percent)) | (x.free[i] & y.free)) & (100 * x.high[i] >= percent * y.low) & (100 * y.high >= percent * x.low[i])
         for j in np.flatnonzero(fits):
             if same and j < i:
                 continue
             a, b = x.leaf(i), y.leaf(j)
             s, t = x.sizes[a][:, None], y.sizes[b][None, :]
-            over = np.minimum(x.points[a][:, None, :], y.points[b][None, :, :]).sum(axis=2)
-            ok = (over >= _need(s, t, percent)) & (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
+            over = np.minimum(x.points[a][:, None, :], y.points[b][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = ((over >= _need(s, t, percent)) | (x.open[a][:, None] & y.open[b][None, :])) & (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
             if same and i == j:
                 ok = np.triu(ok, 1)
             p, q = np.nonzero(ok)
@@ -139,7 +143,8 @@ def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, refused: list, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest over comp of the surviving pairs of a block (side 0) or between two chunks (sides 0 and 1)."""
+    """Spanning forests over comp (FORESTS, without common pairs) of the surviving pairs of a block (side 0) or between
+    two chunks (sides 0 and 1)."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(node) <= 4 and not len(right):
         found = [np.triu_indices(len(node), 1)]
@@ -150,32 +155,36 @@ def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndar
     p, q = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
     differ = comp[p] != comp[q]
     p, q = p[differ], q[differ]
+    free = (point == 255).all(axis=1)
     room = []
     for lo in range(0, len(p), 4096):
         u, v = p[lo : lo + 4096], q[lo : lo + 4096]
         need = _need(size[u], size[v], percent)
-        room.append((np.minimum(point[u], point[v]).sum(axis=1, dtype=np.int64) - need) / np.maximum(need, 1))
+        over = np.where(free[u] & free[v], need, np.minimum(point[u], point[v]).sum(axis=1, dtype=np.int64))
+        room.append((over - need) / np.maximum(need, 1))
     r = np.concatenate(room) if room else np.zeros(0)
     p, q, r = p[r >= 0], q[r >= 0], r[r >= 0]
     lo, hi = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
-    out, parent = [], {c: c for c in set(comp.tolist())}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    left_over = len(parent)
-    for k in np.lexsort((hi, lo, -np.floor(r * 20))):
-        x, y = root(int(comp[p[k]])), root(int(comp[q[k]]))
-        if x == y or int(node[q[k]]) in refused[p[k]]:
-            continue
-        parent[max(x, y)] = min(x, y)
-        out.append((int(lo[k]), int(hi[k])))
-        left_over -= 1
-        if left_over == 1:
-            break
+    out: list[tuple[int, int]] = []
+    todo = [k for k in np.lexsort((hi, lo, -np.floor(r * 20))).tolist() if int(node[q[k]]) not in refused[p[k]]]
+    for _ in range(FORESTS):
+        parent = {c: c for c in set(comp.tolist())}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        rest = []
+        for k in todo:
+            x, y = root(int(comp[p[k]])), root(int(comp[q[k]]))
+            if x == y:
+                rest.append(k)
+            else:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(lo[k]), int(hi[k])))
+        todo = rest
     return out
 
 
@@ -199,7 +208,7 @@ def candidates(blocks: DataFrame, percent: int, chunk: int, across: bool) -> Dat
             if len({r[5] for r in held}) < 2:
                 return
             node, comp, size, side = (np.array([r[i] for r in held], np.int64) for i in (4, 5, 6, 3))
-            point = np.frombuffer(b"".join(r[7] for r in held), np.uint16).reshape(len(held), GROUPS)
+            point = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), GROUPS)
             pairs = _forest(node, comp, size, point, side, [set(r[8] or ()) for r in held], percent)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=schema)
@@ -224,12 +233,11 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose exact shingle sets have the similarity. Sets are made anew, for texts that may be in a pair alone."""
+def exact_sets(nodes: DataFrame, docs: DataFrame, prof: DataFrame, n: int) -> DataFrame:
+    """(node, set) of the nodes, made anew from the texts; other texts are left out by a bitmap of ids before any shuffle."""
     import xxhash
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = materialize(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(ends, "node", "left_semi"))
+    keys = materialize(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(nodes, "node", "left_semi"))
     marked = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
     schema = pa.schema([("key", pa.string()), ("set", pa.binary())])
 
@@ -243,8 +251,12 @@ def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 100]), schema)], schema=schema)
 
     sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).mapInArrow(run, "key string, set binary")
-    have = materialize(keys.join(sets.dropDuplicates(["key"]), "key").select("node", "set"))
-    both = pairs.join(have.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return materialize(keys.join(sets.dropDuplicates(["key"]), "key").select("node", "set"))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose exact shingle sets have the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +303,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     refused = spark.createDataFrame([], "node long, refused array<long>")
     tried = edges
     comp = spark.createDataFrame([], "id long, root long")
+    sets = exact_sets(blocks.select("node").distinct(), docs, prof, n)
     most = blocks.groupBy("node").agg(F.min(F.struct(-F.col("cnt"), F.col("block"))).alias("m")).select("node", F.col("m.block").alias("block"))
     first = True
     while True:
@@ -302,7 +315,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
         pairs = materialize(candidates(now, percent, chunk, across=not first))
         if not first and pairs.isEmpty():
             break
-        good = verify(pairs, docs, prof, n, percent)
+        good = verify(pairs, sets, percent)
         tried = materialize(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
         both = tried.select(F.col("a").alias("node"), F.col("b").alias("x")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("x")))
         refused = both.groupBy("node").agg(F.collect_list("x").alias("refused"))
