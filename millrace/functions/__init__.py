@@ -1 +1 @@
-"""Part of millrace."""
+"""Column expressions shared by operators and queries."""

@@ -1 +1 @@
-"""Part of millrace."""
+"""Plans over many operators: reading and profiling, folds, training loops, reports."""
