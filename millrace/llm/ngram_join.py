@@ -33,7 +33,7 @@ from .common import components, materialize, mix, shingles, slices, tune, words
 SKETCH = 1 << 16
 MARKED = 1 << 23
 GROUPS = 512
-FORESTS = 2
+FORESTS = 4
 LEAF = 16
 
 
@@ -233,11 +233,16 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def exact_sets(nodes: DataFrame, docs: DataFrame, prof: DataFrame, n: int) -> DataFrame:
-    """(node, set) of the nodes, made anew from the texts; other texts are left out by a bitmap of ids before any shuffle."""
+def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose exact shingle sets have the similarity.
+
+    Sets are made anew for the texts in a pair; others are left out by a bitmap of ids before any shuffle. Pairs go to
+    the sets by set key, so one exchange of the sets serves both sides.
+    """
     import xxhash
 
-    keys = materialize(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(nodes, "node", "left_semi"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = materialize(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(ends, "node", "left_semi"))
     marked = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
     schema = pa.schema([("key", pa.string()), ("set", pa.binary())])
 
@@ -250,13 +255,9 @@ def exact_sets(nodes: DataFrame, docs: DataFrame, prof: DataFrame, n: int) -> Da
             for i in range(0, len(out), 100):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 100]), schema)], schema=schema)
 
-    sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).mapInArrow(run, "key string, set binary")
-    return materialize(keys.join(sets.dropDuplicates(["key"]), "key").select("node", "set"))
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact shingle sets have the similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).mapInArrow(run, "key string, set binary").dropDuplicates(["key"])
+    named = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
+    both = named.join(sets.select(F.col("key").alias("ka"), F.col("set").alias("x")), "ka").join(sets.select(F.col("key").alias("kb"), F.col("set").alias("y")), "kb")
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +304,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     refused = spark.createDataFrame([], "node long, refused array<long>")
     tried = edges
     comp = spark.createDataFrame([], "id long, root long")
-    sets = exact_sets(blocks.select("node").distinct(), docs, prof, n)
     most = blocks.groupBy("node").agg(F.min(F.struct(-F.col("cnt"), F.col("block"))).alias("m")).select("node", F.col("m.block").alias("block"))
     first = True
     while True:
@@ -315,13 +315,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
         pairs = materialize(candidates(now, percent, chunk, across=not first))
         if not first and pairs.isEmpty():
             break
-        good = verify(pairs, sets, percent)
+        good = verify(pairs, docs, prof, n, percent)
         tried = materialize(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
         both = tried.select(F.col("a").alias("node"), F.col("b").alias("x")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("x")))
         refused = both.groupBy("node").agg(F.collect_list("x").alias("refused"))
-        edges = edges.unionByName(good)
-        comp = materialize(components(edges))
         first = False
+        if not good.isEmpty():
+            edges = edges.unionByName(good)
+            comp = materialize(components(edges))
     named = reps.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(low, "root").select("key", "class_id", "component_id")
