@@ -59,7 +59,7 @@ def trees(task: str, depth: int = 5, rounds: int = 20, rate: float = 0.1, seed:
     if task == "reg":
         return GBTRegressor(**common, maxIter=rounds, stepSize=rate)
     if task == "binary" and n_classes == 2:
-        return GBTClassifier(**common, maxIter=rounds, stepSize=rate, rawPredictionCol="_raw", probabilityCol="_prob")
+        return GBTClassifier(**common, maxIter=rounds, stepSize=rate).setRawPredictionCol("_raw").setProbabilityCol("_prob")
     return RandomForestClassifier(**common, numTrees=rounds, rawPredictionCol="_raw", probabilityCol="_prob")
 
 
@@ -83,7 +83,7 @@ class Fitted:
         return out.withColumns(got).drop("_features", "_raw", "_prob", "_p", "_y")
 
     def predict(self, df: DataFrame) -> DataFrame:
-        names = [f"_m{i}" for i in range(len(self.models))]
+        names = [f"_fold{i}" for i in range(len(self.models))]
         for m, n in zip(self.models, names):
             df = self._one(df, m, n)
         if self.task == "multiclass":

@@ -55,8 +55,9 @@ def tfidf(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame) -> DataFr
 def word_weights(df: DataFrame, tokens: str, kind: str = "sif", a: float = 1e-3) -> DataFrame:
     """(token, n, df, weight): idf weights log1p((N + 1) / (df + 1)) or smooth inverse frequencies a / (a + n / all)."""
     docs = df.count()
-    each = df.select(F.monotonically_increasing_id().alias("_d"), F.explode(tokens).alias("token")).groupBy("token", "_d").agg(F.count("*").alias("k"))
-    words = each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
+    row = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("df"))
+    both = F.concat(F.transform(tokens, row(1, 0)), F.transform(F.array_distinct(tokens), row(0, 1)))
+    words = df.select(F.explode(both).alias("w")).groupBy("w.token").agg(F.sum("w.n").alias("n"), F.sum("w.df").alias("df"))
     if kind == "idf":
         return words.withColumn("weight", F.log1p(F.lit(docs + 1.0) / (F.col("df") + 1)))
     total = words.agg(F.sum("n").alias("t")).first().t or 1
