@@ -58,17 +58,15 @@ def optimise_weights(df: DataFrame, columns: list[str], metric: Callable[[Column
         for i in range(len(columns)):
             if weights[i] == 1.0:
                 continue
-            lo, hi = 0.0, 1.0
+            lo, hi, keep = 0.0, 1.0, weights
             for _ in range(refine):
                 at = [lo + (hi - lo) * k / grid for k in range(grid + 1)]
                 got = scores([shifted(weights, i, v) for v in at])
                 k = max(range(len(at)), key=lambda k: got[k])
                 lo, hi = at[max(0, k - 1)], at[min(grid, k + 1)]
                 if got[k] > best + 1e-12:
-                    best, found, moved = got[k], at[k], True
-                    keep = shifted(weights, i, found)
-                else:
-                    keep = weights
+                    best, moved = got[k], True
+                    keep = shifted(weights, i, at[k])
             weights = keep
         if not moved:
             break

@@ -106,15 +106,15 @@ class Fitted:
 def fit_folds(df: DataFrame, features: list[str], target: str, task: str, estimator, n_folds: int, name: str, fold: str = "fold", parallel: int = 2, timer: Timer | None = None, n_classes: int = 1) -> tuple[Fitted, DataFrame]:
     """(models, df with out-of-fold predictions). Folds are independent Spark jobs, a few of them at a time.
 
-    Rows of folds that time did not allow have a null prediction.
+    The first fold is always trained; rows of folds that time did not allow have a null prediction.
     """
     y = df.withColumn("_y", F.col(target).cast("double"))
     pipe = Pipeline(stages=[_assemble(features), estimator])
 
     def run(part):
-        if timer is not None and timer.out():
-            return None
         k, train, valid = part
+        if k and timer is not None and timer.out():
+            return None
         began = time.monotonic()
         model = pipe.fit(train)
         if timer is not None:
@@ -130,7 +130,7 @@ def fit_folds(df: DataFrame, features: list[str], target: str, task: str, estima
         out = out.unionByName(p)
     missed = [k for k, d in enumerate(done) if d is None]
     if missed:
-        out = out.unionByName(df.where(F.col(fold).isin(missed)).withColumn(name, F.lit(None)))
+        out = out.unionByName(df.where(F.col(fold).isin(missed)).withColumn(name, F.lit(None).cast(out.schema[name].dataType)))
     return fitted, out
 
 
