@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +169,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
     return every.groupBy("doc_id", "row").agg(best, F.sum("n_items").cast("int").alias("n_items")).select("doc_id", "b.item_id", "b.score", "b.first_word", "b.last_word", "n_items")
 
 
-def _block_leaks(d: DataFrame, block: list[tuple[int | None, str]], n: int, threshold: float) -> DataFrame:
+def _prepare(d: DataFrame, block: list[tuple[int | None, str]], n: int):
+    """A broadcast of the block's items with their rare seeds, counted over all documents."""
     spark = d.sparkSession
     h, row, _ = words(pa.array([t for _, t in block]), KEEP)
     bounds = np.searchsorted(row, np.arange(len(block) + 1))
@@ -186,44 +188,53 @@ def _block_leaks(d: DataFrame, block: list[tuple[int | None, str]], n: int, thre
 
     seen = d.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     items.set_counts({r.seed: r.n for r in seen.toLocalIterator()})
-    ready = spark.sparkContext.broadcast(items)
+    return spark.sparkContext.broadcast(items)
+
+
+def best_items(it: Items, col: pa.Array, threshold: float) -> dict[int, tuple[int | None, float, int, int, int]]:
+    """For each contaminated row of a string array its best item, score, first and last word, and its number of items."""
+    work: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for r, h in _texts(col):
+        seed, at = it.hits(h)
+        if not len(seed):
+            continue
+        # a hash that several items hold stands in a row of the seeds
+        span = np.searchsorted(it.hash, it.hash[seed], side="right") - seed
+        more = np.repeat(seed, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+        at = np.repeat(at, span)
+        ok = it.rare[more]
+        more, at = more[ok], at[ok]
+        for i in np.unique(it.item[more]).tolist():
+            own = it.item[more] == i
+            for lo, hi in _windows(at[own], it.at[more[own]], len(it.texts[i]), len(h)):
+                work.setdefault(i, []).append((r, lo, h[lo:hi]))
+    best: dict[int, tuple] = {}
+    count: dict[int, set[int]] = {}
+    for i, jobs in work.items():
+        jobs.sort(key=lambda j: len(j[2]))
+        for k in range(0, len(jobs), 64):
+            part = jobs[k : k + 64]
+            for (r, lo, _), (s, f, t) in zip(part, align(it.texts[i], [j[2] for j in part])):
+                if s >= threshold:
+                    count.setdefault(r, set()).add(i)
+                    item = it.ids[i]
+                    rank = (-s, item is None, item or 0, lo + f)
+                    if r not in best or rank < best[r][0]:
+                        best[r] = (rank, item, s, lo + f, lo + t)
+    return {r: (*b[1:], len(count[r])) for r, b in sorted(best.items())}
+
+
+def _block_leaks(d: DataFrame, block: list[tuple[int | None, str]], n: int, threshold: float) -> DataFrame:
+    ready = _prepare(d, block, n)
 
     def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = ready.value
         for b in batches:
-            work: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-            for r, h in _texts(b.column(1)):
-                seed, at = it.hits(h)
-                if not len(seed):
-                    continue
-                # a hash that several items hold stands in a row of the seeds
-                span = np.searchsorted(it.hash, it.hash[seed], side="right") - seed
-                more = np.repeat(seed, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                at = np.repeat(at, span)
-                ok = it.rare[more]
-                more, at = more[ok], at[ok]
-                for i in np.unique(it.item[more]).tolist():
-                    own = it.item[more] == i
-                    for lo, hi in _windows(at[own], it.at[more[own]], len(it.texts[i]), len(h)):
-                        work.setdefault(i, []).append((r, lo, h[lo:hi]))
-            best: dict[int, tuple] = {}
-            count: dict[int, set[int]] = {}
-            for i, jobs in work.items():
-                jobs.sort(key=lambda j: len(j[2]))
-                for k in range(0, len(jobs), 64):
-                    part = jobs[k : k + 64]
-                    for (r, lo, _), (s, f, t) in zip(part, align(it.texts[i], [j[2] for j in part])):
-                        if s >= threshold:
-                            count.setdefault(r, set()).add(i)
-                            item = it.ids[i]
-                            rank = (-s, item is None, item or 0, lo + f)
-                            if r not in best or rank < best[r][0]:
-                                best[r] = (rank, item, s, lo + f, lo + t)
-            if best:
-                rows = sorted(best)
-                ids = b.column(0).take(pa.array(rows))
-                cols = [[best[r][c] for r in rows] for c in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array([len(count[r]) for r in rows], pa.int32()), b.column(2).take(pa.array(rows))], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_items", "row"])
+            found = best_items(ready.value, b.column(1), threshold)
+            if found:
+                rows = pa.array(list(found))
+                cols = list(zip(*found.values()))
+                made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *made, b.column(2).take(rows)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_items", "row"])
 
     out = "doc_id long, item_id long, score double, first_word int, last_word int, n_items int, row long"
     return d.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(leaks, out)
@@ -237,7 +248,20 @@ def _texts(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, h[bounds[i] : bounds[i + 1]]
 
 
-def remove_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones (rows of one doc_id go together; a null doc_id goes where its own row leaks)."""
-    bad = find_leaks(docs, bench, **options).select("doc_id").distinct().withColumnRenamed("doc_id", "_bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def remove_leaks(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+    """docs without the contaminated rows: find_leaks as a filter, row by row, without a join. Null texts stay."""
+    tune(docs.sparkSession)
+    d = docs.select(F.col(text).cast("string").alias("text"))
+    out = docs
+    for block in benchmark_blocks(bench, item_id, item_text, block_words):
+        out = out.where(_clean(_prepare(d, block, n), threshold)(F.col(text).cast("string")))
+    return out
+
+
+def _clean(ready, threshold: float):
+    @F.pandas_udf("boolean")
+    def clean(s: pd.Series) -> pd.Series:
+        found = best_items(ready.value, pa.array([t if isinstance(t, str) else None for t in s], pa.string()), threshold)
+        return pd.Series([i not in found for i in range(len(s))], dtype=bool)
+
+    return clean
