@@ -13,8 +13,8 @@ a tree in each block of two or more points, and blocks with the same members are
 
 Equal sets are one point. Rounds: a block's tree join returns, of the pairs that survive, a spanning forest over the
 components known so far (the pairs with the most room above their bound first), leaving out pairs that verification has
-refused. Verified pairs join components; blocks that lie in one component are done; the rounds end when no block has a
-surviving pair across components that was not refused. So every link is found or lies inside a component, and a group of
+refused. Verified pairs join components; blocks that lie in one component are done. The last round returns all pairs across
+components that survive and were not refused. So every link is found or lies inside a component, and a group of
 thousands of near copies costs pairs in proportion to its size. The first round looks only at each point's largest
 block. Blocks beyond ``chunk`` points are cut into chunks and each pair of chunks is a tree join of its own.
 """
@@ -33,7 +33,8 @@ from .common import components, materialize, mix, shingles, slices, tune, words
 SKETCH = 1 << 16
 MARKED = 1 << 23
 GROUPS = 512
-FORESTS = 4
+#: Spanning forests that a block's join returns in each round; the last round returns all pairs that are left.
+FORESTS = (4, 4, 64, None)
 LEAF = 16
 
 
@@ -142,8 +143,8 @@ def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.n
                 yield x.order[a][p], y.order[b][q]
 
 
-def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, refused: list, percent: int) -> list[tuple[int, int]]:
-    """Spanning forests over comp (FORESTS, without common pairs) of the surviving pairs of a block (side 0) or between
+def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, refused: list, percent: int, forests: int | None) -> list[tuple[int, int]]:
+    """Spanning forests over comp (so many, without common pairs; None: all pairs) of the surviving pairs of a block (side 0) or between
     two chunks (sides 0 and 1)."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(node) <= 4 and not len(right):
@@ -167,7 +168,9 @@ def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndar
     lo, hi = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
     out: list[tuple[int, int]] = []
     todo = [k for k in np.lexsort((hi, lo, -np.floor(r * 20))).tolist() if int(node[q[k]]) not in refused[p[k]]]
-    for _ in range(FORESTS):
+    if forests is None:
+        return [(int(lo[k]), int(hi[k])) for k in todo]
+    for _ in range(forests):
         parent = {c: c for c in set(comp.tolist())}
 
         def root(c: int) -> int:
@@ -188,7 +191,7 @@ def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndar
     return out
 
 
-def candidates(blocks: DataFrame, percent: int, chunk: int, across: bool) -> DataFrame:
+def candidates(blocks: DataFrame, percent: int, chunk: int, across: bool, forests: int | None) -> DataFrame:
     """Distinct pairs (a, b) of nodes from (block, cnt, node, comp, size, point, refused) rows. across: pairs of chunks too."""
     parts = F.ceil(F.col("cnt") / chunk).cast("int")
     x = blocks.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
@@ -209,7 +212,7 @@ def candidates(blocks: DataFrame, percent: int, chunk: int, across: bool) -> Dat
                 return
             node, comp, size, side = (np.array([r[i] for r in held], np.int64) for i in (4, 5, 6, 3))
             point = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), GROUPS)
-            pairs = _forest(node, comp, size, point, side, [set(r[8] or ()) for r in held], percent)
+            pairs = _forest(node, comp, size, point, side, [set(r[8] or ()) for r in held], percent, forests)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=schema)
 
@@ -305,21 +308,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     tried = edges
     comp = spark.createDataFrame([], "id long, root long")
     most = blocks.groupBy("node").agg(F.min(F.struct(-F.col("cnt"), F.col("block"))).alias("m")).select("node", F.col("m.block").alias("block"))
-    first = True
-    while True:
+    for k, forests in enumerate(FORESTS):
+        first = k == 0
         now = blocks.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "cnt", "node", F.coalesce("root", "node").alias("comp"))
         if first:
             now = now.join(most, ["block", "node"], "left_semi")
         mixed = now.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("block")
         now = now.join(mixed, "block", "left_semi").join(shape, "node").join(refused, "node", "left")
-        pairs = materialize(candidates(now, percent, chunk, across=not first))
+        pairs = materialize(candidates(now, percent, chunk, not first, forests))
         if not first and pairs.isEmpty():
             break
         good = verify(pairs, docs, prof, n, percent)
         tried = materialize(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
         both = tried.select(F.col("a").alias("node"), F.col("b").alias("x")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("x")))
         refused = both.groupBy("node").agg(F.collect_list("x").alias("refused"))
-        first = False
         if not good.isEmpty():
             edges = edges.unionByName(good)
             comp = materialize(components(edges))
