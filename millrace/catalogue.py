@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import metrics as M
 from .functions.scalar import hash24, hash_fold, hash_unit
 from .operators import blend, categorical, dates, metalearners, models, numeric, selection, texts, uplift
-from .plans import automl, folds, reader, report
+from .plans import automl, folds, pipelines, reader, report
 from .sources.tables import batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -766,3 +766,59 @@ def text_explanation(spark, d):
     return automl.explain_text(x, "text", "item_id", score, samples=50)
 
 
+
+
+# ---------------------------------------------------------------- feature pipelines
+
+
+def _roles() -> dict[str, reader.Role]:
+    return {"o_totalprice": reader.Role("numeric"), "c_acctbal": reader.Role("numeric"), "o_orderpriority": reader.Role("category"), "c_mktsegment": reader.Role("category"), "o_orderdate": reader.Role("datetime")}
+
+
+@query("simple_features", f"""WITH {JOINED}, a AS (SELECT o_orderpriority AS v, CAST(rank() OVER (ORDER BY o_orderpriority) AS DOUBLE) AS k FROM j GROUP BY 1 HAVING count(*) > 5), b AS (SELECT c_mktsegment AS v, CAST(rank() OVER (ORDER BY c_mktsegment) AS DOUBLE) AS k FROM j GROUP BY 1 HAVING count(*) > 5)
+SELECT o_orderkey, c_acctbal, o_totalprice, round((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2020-01-01')) / 8.64e10, 6) AS time__o_orderdate, b.k AS ord__c_mktsegment, a.k AS ord__o_orderpriority FROM j LEFT JOIN a ON o_orderpriority = a.v LEFT JOIN b ON c_mktsegment = b.v""")
+def simple_features(spark, d):
+    x = joined(spark, d)
+    s = pipelines.simple_features(x, _roles())
+    return rounded(s.apply(x).select("o_orderkey", *s.names), "time__o_orderdate")
+
+
+@query("advanced_features")
+def advanced_features(spark, d):
+    x = joined(spark, d)
+    s = pipelines.advanced_features(x, _roles(), "y", "fold")
+    return s.apply(x).select("o_orderkey", *[F.col(f"`{n}`") for n in s.names])
+
+
+@query("linear_features")
+def linear_features(spark, d):
+    x = joined(spark, d)
+    s = pipelines.linear_features(x, _roles())
+    return s.apply(x).select("o_orderkey", *s.names)
+
+
+@query("scorecard")
+def scorecard(spark, d):
+    x = joined(spark, d)
+    return pipelines.Scorecard.fit(x, ["o_totalprice", "c_acctbal"], ["c_mktsegment"], "y").apply(x).select("o_orderkey", "score")
+
+
+@query("nested_folds", f"SELECT o_orderkey, CAST({sql_hash('o_orderkey')} % 5 AS INTEGER) AS fold, CAST({sql_hash(f"concat('inner:', CAST({sql_hash('o_orderkey')} % 5 AS INTEGER), ':', o_orderkey)")} % 3 AS INTEGER) AS inner FROM orders".replace("AS inner FROM", 'AS "inner" FROM'))
+def nested_folds(spark, d):
+    x = folds.kfold(table(spark, d, "orders"), "o_orderkey")
+    return pipelines.nested_folds(x, "o_orderkey").select("o_orderkey", "fold", "inner")
+
+
+@query("tfidf_svd")
+def tfidf_svd(spark, d):
+    return texts.tfidf_svd(tokens(spark, d), "doc_id", "toks", 100, 4)
+
+
+@query("random_projection")
+def random_projection(spark, d):
+    return rounded(texts.random_projection(tokens(spark, d), "doc_id", "toks", 8), "value")
+
+
+@query("without_first_direction")
+def without_first_direction(spark, d):
+    return texts.without_first_direction(table(spark, d, "embeddings"), "vec_id", "embedding")

@@ -79,3 +79,51 @@ def pool(vectors: DataFrame, key: str, how: str) -> DataFrame:
         return x.select(key, F.posexplode("vector").alias("dim", "value"))
     x = vectors.select(key, F.posexplode("vector").alias("dim", "v"))
     return x.groupBy(key, "dim").agg({"max": F.max, "sum": F.sum, "avg": F.avg}[how]("v").alias("value"))
+
+
+def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 500, k: int = 10) -> DataFrame:
+    """(key, svd_0..): tf-idf vectors of the most frequent tokens on their first k singular directions.
+
+    The vocabulary bounds the vectors' length; the directions come from one aggregate of products of co-occurring tokens.
+    """
+    import numpy as np
+
+    voc = document_frequencies(df, tokens, min_df=1, top=top)
+    names = [r.token for r in voc.orderBy(F.desc("df"), "token").select("token").collect()]
+    if not names:
+        return df.select(key)
+    at = {t: i for i, t in enumerate(names)}
+    w = tfidf(df, key, tokens, voc)
+    pairs = w.alias("a").join(w.alias("b"), key).groupBy(F.col("a.token").alias("x"), F.col("b.token").alias("y")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("s"))
+    g = np.zeros((len(names), len(names)))
+    for r in pairs.collect():  # top * top numbers at most
+        g[at[r.x], at[r.y]] = r.s
+    val, vec = np.linalg.eigh(g)
+    dirs = vec[:, np.argsort(-val)[:k]]
+    dirs = dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), range(dirs.shape[1])])
+    table = df.sparkSession.createDataFrame([(t, *map(float, dirs[i])) for t, i in at.items()], "token string, " + ", ".join(f"d{j} double" for j in range(dirs.shape[1])))
+    got = w.join(table, "token").groupBy(key).agg(*[F.sum(F.col("weight") * F.col(f"d{j}")).alias(f"svd_{j}") for j in range(dirs.shape[1])])
+    return df.select(key).join(got, key, "left").select(key, *[F.coalesce(f"svd_{j}", F.lit(0.0)).alias(f"svd_{j}") for j in range(dirs.shape[1])])
+
+
+def random_projection(df: DataFrame, key: str, tokens: str, dims: int = 16, how: str = "max", seed: int = 7) -> DataFrame:
+    """(key, dim, value): tokens as seeded random vectors in [-1, 1], pooled over the text by max, sum or avg."""
+    x = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(F.xxhash64("token", i, F.lit(seed)), F.lit(2001)) / F.lit(1000.0) - F.lit(1.0))
+    return pool(x.select(key, "pos", vec.alias("vector")), key, how)
+
+
+def without_first_direction(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, vector): vectors less their part along the first singular direction of all of them."""
+    import numpy as np
+
+    from .selection import gram
+
+    n, _, g = gram(vectors, vector)
+    if not n:
+        return vectors.select(key, vector)
+    val, vec = np.linalg.eigh(g)
+    d = F.array(*[F.lit(float(x)) for x in vec[:, val.argmax()]])
+    v = F.col(vector).cast("array<double>")
+    dot = F.aggregate(F.zip_with(v, d, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return vectors.select(key, dot.alias("_s"), v.alias("_v")).select(key, F.zip_with("_v", F.transform(d, lambda x: x * F.col("_s")), lambda a, b: a - b).alias(vector))
