@@ -111,6 +111,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, c.root FROM c JOIN l ON c.id = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, (SELECT min(root) FROM c WHERE c.id = v.vec_id) AS component_id,
+  vec_id = (SELECT min(root) FROM c WHERE c.id = v.vec_id) AS kept FROM v
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n s ON s.doc_id = a JOIN n t ON t.doc_id = b WHERE 100 * k >= 80 * (s.n + t.n - k)),
+c(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.root FROM c JOIN l ON c.id = l.a),
+m AS (SELECT id, min(root) AS component_id FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -123,4 +143,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE = {"op2_url_filter": OP2_SQL, "op4_mixing": OP4_SQL}
+ORACLE = {"op2_url_filter": OP2_SQL, "op4_mixing": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL}
