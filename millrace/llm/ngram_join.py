@@ -53,9 +53,11 @@ def frequency_sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
             for _, s in _sets(b.column(0), n):
-                total += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=SKETCH) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
+                k = (s >> np.uint64(48)).astype(np.int64)
+                if len(k) > SKETCH // 16:
+                    total += np.bincount(k, minlength=SKETCH)
+                else:
+                    np.add.at(total, k, 1)
         got = np.flatnonzero(total)
         for i in range(0, len(got), 8192):
             yield pa.RecordBatch.from_arrays([pa.array(got[i : i + 8192]), pa.array(total[got[i : i + 8192]])], names=["bucket", "n"])
