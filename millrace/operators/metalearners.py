@@ -34,6 +34,24 @@ def t_learner(train: DataFrame, df: DataFrame, features: list[str], target: str,
     return out.withColumn("uplift", F.col("_m1") - F.col("_m0")).drop("_m0", "_m1")
 
 
+def t2_learner(train: DataFrame, df: DataFrame, features: list[str], target: str, treatment: str, task: str = "binary", key: str | None = None, n: int = 3) -> DataFrame:
+    """A model for each arm that sees both arms: the other arm is always in training with its treatment as a feature, the
+    own arm in folds by key; the folds' models are averaged."""
+    from ..functions.scalar import hash_fold
+
+    out = df.withColumn("_t", F.col(treatment))
+    names = []
+    for arm in (0, 1):
+        for k in range(n if key else 1):
+            part = train.where((F.col(treatment) != arm) | (hash_fold(F.col(key), n) != k)) if key else train
+            names.append((arm, f"_m{arm}_{k}"))
+            m = _fit(part, [*features, treatment], target, task, names[-1][1])
+            out = m.predict(out.withColumn(treatment, F.lit(arm)))
+    mean = lambda arm: sum((F.col(n) for a, n in names if a == arm), F.lit(0.0)) / sum(a == arm for a, _ in names)
+    out = out.withColumn("uplift", mean(1) - mean(0)).withColumn(treatment, F.col("_t"))
+    return out.drop("_t", *[n for _, n in names])
+
+
 def td_learner(train: DataFrame, df: DataFrame, features: list[str], target: str, treatment: str, task: str = "binary") -> DataFrame:
     """The smaller arm's model also sees the prediction of the larger arm's."""
     rate = train.agg(F.avg(F.col(treatment).cast("double")).alias("r")).first().r
@@ -67,7 +85,7 @@ def r_learner(train: DataFrame, df: DataFrame, features: list[str], target: str,
     return e.predict(df)
 
 
-LEARNERS = {"s": s_learner, "t": t_learner, "td": td_learner, "x": x_learner, "r": r_learner}
+LEARNERS = {"s": s_learner, "t": t_learner, "t2": t2_learner, "td": td_learner, "x": x_learner, "r": r_learner}
 
 
 def auto_uplift(df: DataFrame, features: list[str], target: str, treatment: str, key: str, names: tuple[str, ...] = ("s", "t", "x")) -> tuple[str, dict[str, float]]:

@@ -194,3 +194,16 @@ def stack_inputs(preds: list[DataFrame], key: str) -> DataFrame:
         x = p.select(key, log_odds(F.col("prediction")).alias(f"level1_{i}"))
         out = x if out is None else out.join(x, key)
     return out
+
+
+def best_of(df: DataFrame, candidates: dict[str, Callable[[DataFrame], Steps]], criterion: Callable[[DataFrame, list[str]], float]) -> tuple[str, Steps]:
+    """The candidate whose features score best: each fits on df, criterion takes the table and the features' names."""
+    fitted = {k: f(df) for k, f in candidates.items()}
+    score = {k: criterion(s.apply(df), s.names) for k, s in fitted.items()}
+    best = max(fitted, key=lambda k: (score[k], k))
+    return best, fitted[best]
+
+
+def with_roles(df: DataFrame, roles: dict[str, Role]) -> DataFrame:
+    """df whose columns carry their role and its options as metadata; data are untouched."""
+    return df.select(*[F.col(c).alias(c, metadata={"role": roles[c].name, **roles[c].options}) if c in roles else F.col(c) for c in df.columns])

@@ -122,3 +122,15 @@ def text_lengths(df: DataFrame, text: str, bins: int = 20) -> DataFrame:
 
 def partial_dependence_counts(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return histogram(df, column, bins)
+
+
+def render(title: str, tables: dict[str, DataFrame], rows: int = 1000) -> str:
+    """An HTML page of a report's tables (bins, curves, profiles: a bounded number of rows each)."""
+    from html import escape
+
+    parts = [f"<html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    for name, t in tables.items():
+        parts.append(f"<h2>{escape(name)}</h2><table><tr>{''.join(f'<th>{escape(c)}</th>' for c in t.columns)}</tr>")
+        parts += [f"<tr>{''.join(f'<td>{escape(str(v))}</td>' for v in r)}</tr>" for r in t.limit(rows).collect()]
+        parts.append("</table>")
+    return "".join(parts) + "</body></html>"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import metrics as M
 from millrace.operators import blend, models, numeric, selection, texts, uplift
-from millrace.plans import folds, reader
+from millrace.plans import folds, pipelines, reader, report
 from millrace.sources.tables import count_lines, read_table, write_table
 from millrace.streaming.scoring import score_stream
 
@@ -120,3 +120,23 @@ def test_stream_scoring(spark, xs, tmp_path):
     q = score_stream(stream, scale.apply, f"{tmp_path}/out", f"{tmp_path}/check")
     assert q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 400
+
+
+def test_best_features_and_report(xs):
+    roles = {"a": reader.Role("numeric"), "b": reader.Role("numeric", {"prob": True})}
+    x = xs.withColumn("b", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("b"))))
+    made = pipelines.linear_features(x, roles)
+    assert made.names == ["logodds__b", "scaler__fillnamed__a"]
+    name, steps = pipelines.best_of(x, {"plain": lambda d: pipelines.simple_features(d, roles), "linear": lambda d: pipelines.linear_features(d, roles)}, lambda d, names: float(len([n for n in names if "__" in n])))
+    assert name == "linear" and steps.apply(x).count() == 400
+    assert pipelines.with_roles(x, roles).schema["b"].metadata == {"role": "numeric", "prob": True}
+    assert pipelines.raw_name("oof__x__y", ["y", "x__y"]) == "x__y"
+    page = report.render("Model <1>", {"bins": report.score_bins(x, "y", "b", "id", 5)})
+    assert "Model &lt;1&gt;" in page and page.count("<tr>") == 6
+
+
+def test_configs_stack(xs):
+    done, preds = pipelines.run_configs(xs, "y", "id", "binary", 0.0, configs=({"algorithms": ("linear",)}, {"algorithms": ("linear",)}))
+    assert len(done) == 1
+    assert pipelines.stack_inputs(preds, "id").columns == ["id", "level1_0"]
+    assert done[0].predict(xs).count() == 400
