@@ -63,8 +63,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     total = F.sum("source_size").over(Window.partitionBy())
     s = s.withColumn("total", total)
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(rest))
-    # the first source in this order that is not at its cap fixes the level of all after it
-    level = F.min(F.when(F.col("full_at") > F.col("level"), F.col("level"))).over(Window.partitionBy())
+    # The first source in this order that is not at its cap fixes the level of all after it; taking later ones for the
+    # first gives lower levels, so it is the greatest.
+    level = F.max(F.when(F.col("full_at") > F.col("level"), F.col("level"))).over(Window.partitionBy())
     s = s.withColumn("level", level)
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("level")))
     return s.select("source", "source_size", "rank", target.alias("target"))

@@ -57,8 +57,8 @@ w AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS weight, CAST(source_s
 f AS (SELECT *, cap / weight AS full_at, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-t AS (SELECT source, source_size, CASE WHEN min(CASE WHEN full_at > level THEN level END) OVER () IS NULL THEN cap
-  ELSE least(cap, weight * min(CASE WHEN full_at > level THEN level END) OVER ()) END AS target FROM l),
+t AS (SELECT source, source_size, CASE WHEN max(CASE WHEN full_at > level THEN level END) OVER () IS NULL THEN cap
+  ELSE least(cap, weight * max(CASE WHEN full_at > level THEN level END) OVER ()) END AS target FROM l),
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source
   ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

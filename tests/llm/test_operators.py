@@ -134,6 +134,30 @@ def test_mixing_takes_near_targets_and_agrees(docs):
     assert len({round(r.target / mixing.WEIGHTS[names.index(r.source) % 3], 6) for r in free}) <= 1
 
 
+def test_targets_equal_repeated_resharing(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 5, 20, 40):
+        sizes = {(f"s{i:02}" if i else None): rng.choice([0, 3, 50, 1000, 20000]) for i in range(n)}
+        if not sum(sizes.values()):
+            continue
+        order = sorted(s for s in sizes if s is not None) + [None]
+        weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
+        total = sum(sizes.values())
+        target = {s: total * weight[s] / sum(weight.values()) for s in order}
+        while True:
+            capped = {s for s in order if target[s] >= 3 * sizes[s] - 1e-9}
+            free = [s for s in order if s not in capped]
+            rest = total - sum(3 * sizes[s] for s in capped)
+            new = {s: 3.0 * sizes[s] if s in capped else rest * weight[s] / sum(weight[f] for f in free) for s in order}
+            if all(abs(new[s] - target[s]) < 1e-9 for s in order):
+                break
+            target = new
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert set(got) == set(sizes)
+        for s in got:
+            assert got[s] == pytest.approx(target[s], abs=1e-6), (n, s)
+
+
 def test_schedule_inverse(spark):
     for knots in mixing.SCHEDULES:
         u = spark.range(101).select((F.col("id") / 100).alias("u")).withColumn("t", mixing.inverse(F.col("u"), knots)).collect()
