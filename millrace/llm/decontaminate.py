@@ -150,7 +150,7 @@ def benchmark_blocks(bench: DataFrame, item_id: str, text: str, block_words: int
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               n: int = 3, threshold: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+               n: int = 3, threshold: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, n_items) of every contaminated document, its best item each.
 
     score: the best alignment's share of the item's full score, threshold at least. Ties go to the smallest item_id.
@@ -248,7 +248,7 @@ def _texts(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, h[bounds[i] : bounds[i + 1]]
 
 
-def remove_leaks(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+def remove_leaks(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
     """docs without the contaminated rows: find_leaks as a filter, row by row, without a join. Null texts stay."""
     tune(docs.sparkSession)
     d = docs.select(F.col(text).cast("string").alias("text"))
