@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted together when what they were made for is done."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """materialize, to be deleted by clear."""
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+        self.paths.append((spark, path))
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
 def slices(batch_col: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array holding at most SLICE_BYTES bytes each, one row at least."""
     off = offsets(batch_col)
@@ -157,14 +178,15 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, n: int) -> Iterator[np.n
             yield np.zeros(0, np.uint64)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = materialize, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for each node of an undirected graph of longs: root is the smallest node id it can reach.
 
-    Alternating large-star and small-star rounds; each round's edges go to the shared folder. Minima are
+    Alternating large-star and small-star rounds; each round's edges go to the shared folder
+    (by keep). Minima are
     aggregated map-side and joined back, so that a node with very many links is no task's burden.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = materialize(e)
+    e = keep(e)
     before = None
     while True:
         sym = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -173,7 +195,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         j = large.join(low2, "u")
         small = j.select("u", F.col("m").alias("v")).unionAll(j.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = materialize(small)
+        e = keep(small)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(7)))).first()
         if before == tuple(now):
             break

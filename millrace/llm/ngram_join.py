@@ -21,14 +21,14 @@ block. Blocks beyond ``chunk`` points are cut into chunks and each pair of chunk
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, shingles, slices, tune, words
+from .common import Scratch, components, materialize, mix, shingles, slices, tune, words
 
 SKETCH = 1 << 16
 MARKED = 1 << 23
@@ -75,7 +75,8 @@ def group_counts(s: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, point: of every row, in the shared folder."""
+    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, point: of every row. To be written before
+    use, as uids hold for one evaluation."""
     import xxhash
 
     weight = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, n))
@@ -95,7 +96,7 @@ def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
 
     d = docs.select(F.col(doc_id).cast("long"), F.col(text))
     got = d.mapInArrow(run, "doc_id long, n_shingles long, key string, head array<long>, point binary")
-    return materialize(got.withColumn("uid", F.monotonically_increasing_id()))
+    return got.withColumn("uid", F.monotonically_increasing_id())
 
 
 def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -238,7 +239,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs whose exact shingle sets have the similarity.
 
     Sets are made anew for the texts in a pair; others are left out by a bitmap of ids before any shuffle. Pairs go to
@@ -247,7 +248,7 @@ def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent:
     import xxhash
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = materialize(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(ends, "node", "left_semi"))
+    keys = keep(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(ends, "node", "left_semi"))
     marked = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
     schema = pa.schema([("key", pa.string()), ("set", pa.binary())])
 
@@ -267,23 +268,23 @@ def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            true = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            m = pa.array(keep, pa.bool_())
+                true.append(100 * common >= percent * (len(x) + len(y) - common))
+            m = pa.array(true, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], schema=edge)
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+    return keep(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
 
 
-def _blocks(prof: DataFrame, reps: DataFrame) -> DataFrame:
+def _blocks(prof: DataFrame, reps: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(block, cnt, node) of the first shingles that two or more points hold; of blocks with the same members, one."""
     heads = prof.join(reps.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.explode("head").alias("block"), F.col("uid").alias("node"))
     w = Window.partitionBy("block")
     x = heads.select("block", "node", F.count("*").over(w).alias("cnt"), F.bit_xor(F.xxhash64("node")).over(w).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(w).alias("t"))
-    x = materialize(x.where("cnt > 1"))
+    x = keep(x.where("cnt > 1"))
     one = x.groupBy("cnt", "s", "t").agg(F.min("block").alias("block")).select("block")
     return x.join(one, "block", "left_semi").select("block", "cnt", "node")
 
@@ -298,11 +299,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     unless all are null. Rows of one doc_id are separate texts. An empty table gives an empty result.
     """
     tune(docs.sparkSession)
+    scratch = Scratch()
+    try:
+        return materialize(_join(docs, doc_id, text, n, percent, chunk, scratch.keep))
+    finally:
+        scratch.clear()
+
+
+def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prof = profiles(docs, "doc_id", "text", n, percent)
+    prof = keep(profiles(docs, "doc_id", "text", n, percent))
     rows = prof.select("uid", "doc_id", "n_shingles", "key")
-    reps = materialize(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id")))
-    blocks = materialize(_blocks(prof, reps))
+    reps = keep(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id")))
+    blocks = keep(_blocks(prof, reps, keep))
     shape = prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point")
     spark = docs.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
@@ -317,16 +326,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
             now = now.join(most, ["block", "node"], "left_semi")
         mixed = now.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("block")
         now = now.join(mixed, "block", "left_semi").join(shape, "node").join(refused, "node", "left")
-        pairs = materialize(candidates(now, percent, chunk, not first, forests))
+        pairs = keep(candidates(now, percent, chunk, not first, forests))
         if not first and pairs.isEmpty():
             break
-        good = verify(pairs, docs, prof, n, percent)
-        tried = materialize(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
+        good = verify(pairs, docs, prof, n, percent, keep)
+        tried = keep(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
         both = tried.select(F.col("a").alias("node"), F.col("b").alias("x")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("x")))
         refused = both.groupBy("node").agg(F.collect_list("x").alias("refused"))
         if not good.isEmpty():
             edges = edges.unionByName(good)
-            comp = materialize(components(edges))
+            comp = keep(components(edges, keep))
     named = reps.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(low, "root").select("key", "class_id", "component_id")

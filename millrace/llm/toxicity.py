@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, tune, words
+from .common import Scratch, slices, tune, words
 
 #: Bound on the labelled rows that the lexicon and the model are fitted on (a larger set is thinned by a hash of the id).
 MAX_LABELLED = 20_000
@@ -235,7 +235,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = min(1.0, max_labelled / max(1, lab.count()))
     some = lab.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0)))
     known = docs.where(F.col(text).isNotNull()).join(F.broadcast(some), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "toxic")
-    known = materialize(known.withColumn("row", F.monotonically_increasing_id()))
+    scratch = Scratch()
+    known = scratch.keep(known.withColumn("row", F.monotonically_increasing_id()))
+    try:
+        return _fit(known)
+    finally:
+        scratch.clear()
+
+
+def _fit(known: DataFrame) -> Model:
+    """The model of (row, text, toxic) rows."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
