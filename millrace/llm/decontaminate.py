@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, a bound by shared words, then Smith-Waterman alignment.
 
-Every n-gram of the benchmark items is a seed. A first pass counts in how many documents each seed occurs; an item's
-rare seeds are those whose count is not far above the median of its own seeds that occur, so that stock phrases fetch
-no candidates. A second pass joins documents to items by rare seeds and
-aligns each item with the windows of the document around its seeds, word by word with gaps, so that paraphrased and
-edited copies score as well as exact ones. The score is the best local alignment as a share of the item's own.
+Every n-gram of the benchmark items is a seed, however many documents hold it: a document is compared with every item that
+it shares a seed with. An alignment matches a word of the item once at most, so an item whose words are not in the document
+(then: in the window) in a share of the threshold can't reach it; stock phrases fetch few candidates past that, and nothing
+that could pass is left out. The windows of the document around the seeds are aligned with the item, word by word with
+gaps, so that paraphrased and edited copies score as well as exact ones. The score is the best local alignment as a share
+of the item's own.
 
 The benchmark goes to the tasks in blocks of at most ``block_words`` words, whatever its size; documents are read as they
-lie and never shuffled. A passage that very many documents hold costs an alignment for each of them and no more.
+lie, once a block, and never shuffled. A passage that very many documents hold costs an alignment for each of them and no more.
 """
 
 from __future__ import annotations
@@ -59,17 +60,20 @@ class Items:
         seeds.sort(key=lambda s: s[1])
         self.hash = np.array([s[1] for s in seeds], np.uint64)
         self.item, self.at = np.array([s[2] for s in seeds], np.int64), np.array([s[3] for s in seeds], np.int64)
-        self.rare = np.ones(len(seeds), bool)
+        self.size = np.array([len(h) for h in self.texts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([*self.texts, np.zeros(0, np.uint64)])
         self.table = np.zeros(1 << _TABLE, bool)
         self.table[(self.hash >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
 
-    def set_counts(self, counts: dict[int, int]) -> None:
-        c = np.array([counts.get(i, 0) for i in np.searchsorted(self.hash, self.hash).tolist()])
-        order = np.argsort(self.item, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            there = c[own][c[own] > 0]
-            if len(there):
-                self.rare[own] = c[own] <= 4 * np.median(there) + 10
+    def able(self, items: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the items that have enough words in h to reach the threshold; each word matches once at most."""
+        n = self.size[items]
+        first = np.cumsum(n) - n
+        w = self.words[np.repeat(self.begin[items] - first, n) + np.arange(n.sum())]
+        own = np.unique(h)
+        there = own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w
+        return items[np.add.reduceat(there, first, dtype=np.int64) >= threshold * n - 1e-9]
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first seed with that hash, position in h) of every n-gram of h that is a seed."""
@@ -170,25 +174,10 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _prepare(d: DataFrame, block: list[tuple[int | None, str]], n: int):
-    """A broadcast of the block's items with their rare seeds, counted over all documents."""
-    spark = d.sparkSession
+    """A broadcast of the block's items with their seeds."""
     h, row, _ = words(pa.array([t for _, t in block]), KEEP)
     bounds = np.searchsorted(row, np.arange(len(block) + 1))
-    items = Items([i for i, _ in block], [h[lo:hi] for lo, hi in zip(bounds, bounds[1:])], n)
-    shared = spark.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        total = np.zeros(len(it.hash), np.int64)
-        for b in batches:
-            for _, h in _texts(b.column(0)):
-                total[np.unique(it.hits(h)[0])] += 1
-        got = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(total[got])], names=["seed", "n"])
-
-    seen = d.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    items.set_counts({r.seed: r.n for r in seen.toLocalIterator()})
-    return spark.sparkContext.broadcast(items)
+    return d.sparkSession.sparkContext.broadcast(Items([i for i, _ in block], [h[lo:hi] for lo, hi in zip(bounds, bounds[1:])], n))
 
 
 def best_items(it: Items, col: pa.Array, threshold: float) -> dict[int, tuple[int | None, float, int, int, int]]:
@@ -202,12 +191,11 @@ def best_items(it: Items, col: pa.Array, threshold: float) -> dict[int, tuple[in
         span = np.searchsorted(it.hash, it.hash[seed], side="right") - seed
         more = np.repeat(seed, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
         at = np.repeat(at, span)
-        ok = it.rare[more]
-        more, at = more[ok], at[ok]
-        for i in np.unique(it.item[more]).tolist():
+        for i in it.able(np.unique(it.item[more]), h, threshold).tolist():
             own = it.item[more] == i
             for lo, hi in _windows(at[own], it.at[more[own]], len(it.texts[i]), len(h)):
-                work.setdefault(i, []).append((r, lo, h[lo:hi]))
+                if len(it.able(np.array([i]), h[lo:hi], threshold)):
+                    work.setdefault(i, []).append((r, lo, h[lo:hi]))
     best: dict[int, tuple] = {}
     count: dict[int, set[int]] = {}
     for i, jobs in work.items():

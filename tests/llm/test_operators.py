@@ -384,6 +384,20 @@ def test_leaks_exact_and_edited(spark):
         assert left == {r[0] for r in rows} - {e[0] for e in expect}
 
 
+def test_leaks_that_many_documents_hold_edited(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("bcdfghaeiou") for _ in range(5))
+    item = [word() for _ in range(30)]
+    rows = [(0, " ".join([word() for _ in range(10)] + item))]
+    for i in range(1, 1001):  # each fifth word changed: two fifths of the 3-grams are left, all of them in every copy
+        rows.append((i, " ".join([word() for _ in range(10)] + [word() if k % 5 == 4 else w for k, w in enumerate(item)])))
+    rows += [(2000 + i, " ".join(item[:3] + [word() for _ in range(40)])) for i in range(300)]  # a stock phrase is no leak
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_leaks(d, bench).collect()) == list(range(1001))
+    assert {r.doc_id for r in decontaminate.remove_leaks(d, bench).collect()} == {2000 + i for i in range(300)}
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = random.Random(11)
     for _ in range(200):
