@@ -445,6 +445,13 @@ def test_masked_model_beats_word_shares(spark):
     assert (a[500].n_words, a[500].log_prob, a[500].mean_log_prob) == (0, 0.0, None) and a[502].n_words == 24000 and a[None].n_words == 3
 
 
+def test_masked_model_learns_every_place(spark):
+    # texts of period 8 with no word twice in it: each word follows from its neighbours, wherever it stands
+    d = spark.createDataFrame([(i, "ant bee cow dog elk fox gnu hen " * 60) for i in range(400)], "doc_id long, text string")
+    got = masked_lm.score(d, masked_lm.train(d)).first()
+    assert got.n_words == 480 and got.mean_log_prob > -0.5
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
