@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, ngram_join, packing, queries, toxicity
+from millrace.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +19,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents (of its rows, the smallest text).
+    """One row of each group of linked documents: of the smallest doc_id (nulls last), and of its rows the smallest text.
 
-    Documents without words are no copies of each other and stay.
+    Rows are told apart by 128 bits of hash over all of their columns, not by doc_id; of rows that are equal in every
+    column one stays. Documents without words are no copies of each other and stay.
     """
-    found = ngram_join.join(docs)
-    extra = found.where("n_shingles > 0 and doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(extra, docs["doc_id"] == extra["_id"], "left_anti")
-    return kept
+    cols, both = docs.columns, ["_k1", "_k2"]
+    every = [F.col(c) for c in cols] + [F.col(c).isNull() for c in cols]  # hashes pass over nulls
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(i), *every) for i, k in enumerate(both)})
+    linked = ngram_join.groups(keyed, carry=tuple(both)).where("group is not null").select("group", "doc_id", F.struct(*both).alias("k"))
+    ids = linked.groupBy("group", "doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    first = materialize(ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lo", "hi")).alias("f")).select("group", "f.*"))
+    stay = first.where("lo = hi").select(F.col("lo").alias("k"))
+    tied = first.where("lo <> hi").select("group", F.col("doc_id").alias("_id"))
+    if not tied.isEmpty():
+        rows = linked.join(tied, "group").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("group", "k.*").distinct()
+        texts = keyed.select("text", *both).join(rows, both)
+        stay = stay.unionByName(texts.groupBy("group").agg(F.min(F.struct("text", F.struct(*both).alias("k"))).alias("f")).select("f.k"))
+    stay = materialize(stay.select("k.*"))
+    rows = linked.select("k.*")
+    gone = rows.join(stay, both, "left_anti").distinct()
+    kept = keyed.join(gone, both, "left_anti")
+    again = materialize(rows.join(stay, both, "left_semi").groupBy(*both).count().where("count > 1").select(*both))
+    if not again.isEmpty():
+        kept = kept.join(again, both, "left_anti").unionByName(kept.join(again, both, "left_semi").dropDuplicates(both))
+    return kept.select(*cols)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +75,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents; each stage's documents are written to the shared folder and reread."""
-    from millrace.llm.common import materialize
-
     docs = queries.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -74,13 +74,14 @@ def group_counts(s: np.ndarray) -> np.ndarray:
     return n.astype(np.uint8) if n.max() <= 255 else np.full(GROUPS, 255, np.uint8)
 
 
-def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, point: of every row. To be written before
-    use, as uids hold for one evaluation."""
+def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, point, longs to carry: of every row. To be
+    written before use, as uids hold for one evaluation."""
     import xxhash
 
     weight = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, n))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("head", pa.list_(pa.int64())), ("point", pa.binary())])
+    full = pa.schema([*schema, *((c, pa.int64()) for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weight.value
@@ -92,10 +93,10 @@ def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                 out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s[order].view(np.int64), group_counts(s).tobytes()))
             cols = list(zip(*out))
             arrays = [b.column(0).cast(pa.int64())] + [pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            yield pa.RecordBatch.from_arrays(arrays + b.columns[2:], schema=full)
 
-    d = docs.select(F.col(doc_id).cast("long"), F.col(text))
-    got = d.mapInArrow(run, "doc_id long, n_shingles long, key string, head array<long>, point binary")
+    d = docs.select(F.col(doc_id).cast("long"), F.col(text), *carry)
+    got = d.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, key string, head array<long>, point binary", *(f"{c} long" for c in carry)]))
     return got.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -298,18 +299,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     texts have no shingle and link with nothing: their component is their own id. A null doc_id is never the smallest
     unless all are null. Rows of one doc_id are separate texts. An empty table gives an empty result.
     """
+    return groups(docs, doc_id, text, n, percent, chunk).drop("group")
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+    """join, with the long columns to carry of each row and the column group: a number of the row's component, null
+    without shingles. Components that hold rows of one doc_id can have the same component_id, never the same group."""
     tune(docs.sparkSession)
     scratch = Scratch()
     try:
-        return materialize(_join(docs, doc_id, text, n, percent, chunk, scratch.keep))
+        return materialize(_join(docs, doc_id, text, n, percent, chunk, carry, scratch.keep))
     finally:
         scratch.clear()
 
 
-def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prof = keep(profiles(docs, "doc_id", "text", n, percent))
-    rows = prof.select("uid", "doc_id", "n_shingles", "key")
+def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int, carry: tuple[str, ...], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+    prof = keep(profiles(docs, "doc_id", "text", n, percent, carry))
+    rows = prof.select("uid", "doc_id", "n_shingles", "key", *carry)
     reps = keep(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id")))
     blocks = keep(_blocks(prof, reps, keep))
     shape = prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point")
@@ -338,6 +345,6 @@ def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk:
             comp = keep(components(edges, keep))
     named = reps.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(low, "root").select("key", "class_id", "component_id")
+    named = named.join(low, "root").select("key", "class_id", "component_id", F.col("root").alias("group"))
     out = rows.join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *carry, "group")

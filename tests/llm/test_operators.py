@@ -471,3 +471,20 @@ def test_pipeline(spark, tmp_path):
     assert c.columns == d.columns and leak[0] not in {r.doc_id for r in c.collect()}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and leak[0] not in {i for r in out.collect() for i in r.doc_ids}
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(1).rsplit(" ", 1)[0] + " edited"
+    rows = [(1, text(1), "en", "a", 1), (5, near, "en", "a", 1), (None, text(1), "en", "b", 1)]  # a null id is last
+    rows += [(2, text(2), "en", "a", 1)] * 3 + [(2, text(2), "en", "b", 1)]  # repeated rows of one id
+    rows += [(None, text(3), "en", "a", 1), (None, text(3), None, "a", 1), (None, text(3), "en", None, 1)]  # null ids alone
+    rows += [(5, text(4), "en", "a", 1), (1, text(5), "en", "a", 1)]  # other texts under the ids of copies
+    rows += [(6, text(6) + " b", "en", "a", 1), (6, text(6) + " a", "en", "a", 1)]  # of one id the smallest text
+    bare = [(7, None, None, None, None), (7, "", "en", "a", 0), (7, "", "en", "a", 0), (None, " ", "en", "a", 1)]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows + bare, DOCS).repartition(3), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    expect = [(1, text(1)), (2, text(2)), (None, text(3)), (5, text(4)), (1, text(5)), (6, text(6) + " a"), *(r[:2] for r in bare)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(expect, key=str)
