@@ -204,7 +204,8 @@ def _terms_of(text: str) -> set[str]:
 
 
 def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[Term]:
-    """Lexicon of {word or stem*: (toxic, clean documents)}."""
+    """Lexicon of {word or stem*: (toxic, clean documents)}. A stem accepts no misspellings; telling words that begin with
+    it stay beside it with theirs."""
     tried = sum(w[-1] != "*" for w in counts)
     # so often in toxic documents that chance would not do it for any of the words tried
     least = max(3.0, 0.004 * n_toxic, np.log(2 * tried + 1) / np.log((n_toxic + n_clean) / n_toxic))
@@ -218,9 +219,8 @@ def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> li
     for s in sorted((s[:-1] for s, (t, c) in counts.items() if s[-1] == "*" and telling(t, c)), key=len):
         if family[s] >= 3 and not s.startswith(tuple(stems)):
             stems.append(s)
-    left = sorted(w for w in alone if not w.startswith(tuple(stems)))
     power = lambda w: float(np.log1p(counts[w][0]) - np.log1p(counts[w][1]))
-    return [Term(s, True, power(s + "*")) for s in sorted(stems)] + [Term(w, False, power(w)) for w in left]
+    return [Term(s, True, power(s + "*")) for s in sorted(stems)] + [Term(w, False, power(w)) for w in sorted(alone)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:

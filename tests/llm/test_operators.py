@@ -357,6 +357,28 @@ def test_toxicity_learns_and_holds(spark):
     assert got[900] < 0.5 and got[901] < 0.5 and got[902] < 0.5 and got[None] >= 0.5
 
 
+def test_inflected_forms_lose_no_misspelled_hit():
+    def lexicon(toxic):
+        counts = {}
+        for y, texts in ((0, toxic), (1, [f"plain{i} harmless words here" for i in range(400)])):
+            for t in texts:
+                for w in toxicity._terms_of(t):
+                    c = counts.setdefault(w, [0, 0])
+                    c[y] += 1
+        return toxicity.choose({w: tuple(c) for w, c in counts.items() if c[0] >= 2 or c[1]}, len(toxic), 400)
+
+    def hits(terms):
+        w, letters = "zumblex", "abcdefghijklmnopqrstuvwxyz1"
+        edits = {w[:i] + c + w[i + k :] for i in range(len(w)) for c in ["", *letters] for k in (0, 1)}
+        auto = toxicity.Automaton(terms)
+        return {e for e in edits if len(auto.find(e)[1])}
+
+    rows = ["you zumblex there"] * 40
+    few, more = lexicon(rows), lexicon(rows + ["the zumblexes", "a zumblexing", "so zumblexic"] * 3)
+    assert not any(t.stem for t in few) and any(t.stem for t in more)
+    assert len(hits(few)) > 100 and hits(few) <= hits(more)
+
+
 def test_leaks_exact_and_edited(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("bcdfghaeiou") for _ in range(5))
