@@ -586,6 +586,13 @@ def tfidf(spark, d):
     return rounded(texts.tfidf(x, "doc_id", "toks", texts.document_frequencies(x, "toks", top=1000)), "weight")
 
 
+@query("tfidf_whole")
+def tfidf_whole(spark, d):
+    """tfidf over the operator's own vocabulary of 30,000 tokens; the query tfidf is bounded by its SQL."""
+    x = tokens(spark, d)
+    return rounded(texts.tfidf(x, "doc_id", "toks", texts.document_frequencies(x, "toks")), "weight")
+
+
 @query("sif_weights", f"WITH {_DOCS}, t AS (SELECT doc_id, unnest(toks) AS token FROM k), c AS (SELECT token, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY 1) SELECT token, n, df, round(0.001 / (0.001 + n / (SELECT count(*) FROM t)), 6) AS weight FROM c")
 def sif_weights(spark, d):
     return rounded(texts.word_weights(tokens(spark, d), "toks").withColumn("n", F.col("n").cast("long")), "weight")
@@ -737,12 +744,12 @@ def automl_binary(spark, d):
 
 @query("pca")
 def pca(spark, d):
-    return selection.project(table(spark, d, "embeddings"), "embedding", "vec_id", 4)
+    return selection.project(table(spark, d, "embeddings"), "embedding", "vec_id", 500)
 
 
 @query("svd")
 def svd(spark, d):
-    return selection.project(table(spark, d, "embeddings"), "embedding", "vec_id", 4, centred=False)
+    return selection.project(table(spark, d, "embeddings"), "embedding", "vec_id", 100, centred=False)
 
 
 def _learner(name: str):
@@ -811,7 +818,7 @@ def nested_folds(spark, d):
 
 @query("tfidf_svd")
 def tfidf_svd(spark, d):
-    return texts.tfidf_svd(tokens(spark, d), "doc_id", "toks", 100, 4)
+    return texts.tfidf_svd(tokens(spark, d), "doc_id", "toks")
 
 
 @query("random_projection")

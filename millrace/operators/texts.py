@@ -81,29 +81,37 @@ def pool(vectors: DataFrame, key: str, how: str) -> DataFrame:
     return x.groupBy(key, "dim").agg({"max": F.max, "sum": F.sum, "avg": F.avg}[how]("v").alias("value"))
 
 
-def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 500, k: int = 10) -> DataFrame:
-    """(key, svd_0..): tf-idf vectors of the most frequent tokens on their first k singular directions.
+def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int = 100, min_df: int = 5) -> DataFrame:
+    """(key, svd_0..): tf-idf vectors of the most frequent tokens on their first k singular directions (one less than there
+    are tokens at most).
 
-    The vocabulary bounds the vectors' length; the directions come from one aggregate of products of co-occurring tokens.
+    Documents stay sparse; products with their Gram matrix run on executors, and the driver holds top * k numbers.
     """
     import numpy as np
+    from pyspark.mllib.linalg import SparseVector, VectorUDT
+    from pyspark.mllib.linalg.distributed import RowMatrix
 
-    voc = document_frequencies(df, tokens, min_df=1, top=top)
+    sc = df.sparkSession.sparkContext
+    voc = document_frequencies(df, tokens, min_df=min_df, top=top)
     names = [r.token for r in voc.orderBy(F.desc("df"), "token").select("token").collect()]
     if not names:
         return df.select(key)
-    at = {t: i for i, t in enumerate(names)}
-    w = tfidf(df, key, tokens, voc)
-    pairs = w.alias("a").join(w.alias("b"), key).groupBy(F.col("a.token").alias("x"), F.col("b.token").alias("y")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("s"))
-    g = np.zeros((len(names), len(names)))
-    for r in pairs.collect():  # top * top numbers at most
-        g[at[r.x], at[r.y]] = r.s
-    val, vec = np.linalg.eigh(g)
-    dirs = vec[:, np.argsort(-val)[:k]]
-    dirs = dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), range(dirs.shape[1])])
-    table = df.sparkSession.createDataFrame([(t, *map(float, dirs[i])) for t, i in at.items()], "token string, " + ", ".join(f"d{j} double" for j in range(dirs.shape[1])))
-    got = w.join(table, "token").groupBy(key).agg(*[F.sum(F.col("weight") * F.col(f"d{j}")).alias(f"svd_{j}") for j in range(dirs.shape[1])])
-    return df.select(key).join(got, key, "left").select(key, *[F.coalesce(f"svd_{j}", F.lit(0.0)).alias(f"svd_{j}") for j in range(dirs.shape[1])])
+    n, k = len(names), max(1, min(k, len(names) - 1))
+    place = df.sparkSession.createDataFrame(list(zip(names, range(n))), "token string, i int")
+    w = tfidf(df, key, tokens, voc).join(place, "token")
+    rows = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("s"))
+    sparse = F.udf(lambda s: SparseVector(n, [x.i for x in s], [x.weight for x in s]), VectorUDT())
+    held = rows.select(sparse("s").alias("v")).persist()
+    try:
+        dirs = RowMatrix(held, numCols=n).computeSVD(k, computeU=False).V.toArray()
+    finally:
+        held.unpersist()
+    dirs = np.pad(dirs, ((0, 0), (0, k - dirs.shape[1])))  # directions without any weight
+    dirs = dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), range(k)])
+    shared = sc.broadcast(dirs)
+    onto = F.udf(lambda s: (np.array([x.weight for x in s]) @ shared.value[[x.i for x in s]]).tolist(), "array<double>")
+    got = rows.select(key, onto("s").alias("p"))
+    return df.select(key).join(got, key, "left").select(key, *[F.coalesce(F.col("p")[j], F.lit(0.0)).alias(f"svd_{j}") for j in range(k)])
 
 
 def random_projection(df: DataFrame, key: str, tokens: str, dims: int = 16, how: str = "max", seed: int = 7) -> DataFrame:

@@ -140,3 +140,36 @@ def test_configs_stack(xs):
     assert len(done) == 1
     assert pipelines.stack_inputs(preds, "id").columns == ["id", "level1_0"]
     assert done[0].predict(xs).count() == 400
+
+
+def test_tfidf_svd_equals_numpy(spark):
+    import random
+
+    from millrace.operators import texts
+
+    rng = random.Random(4)
+    rows = [(i, [f"t{int(rng.paretovariate(0.6)) % 400}" for _ in range(30)]) for i in range(300)] + [(900, [])]
+    d = spark.createDataFrame(rows, "id long, toks array<string>")
+    w = texts.tfidf(d, "id", "toks", texts.document_frequencies(d, "toks")).collect()
+    names = sorted({r.token for r in w})
+    m = np.zeros((301, len(names)))
+    for r in w:
+        m[min(r.id, 300), names.index(r.token)] = r.weight
+    out = texts.tfidf_svd(d, "id", "toks").orderBy("id").collect()
+    got = np.array([list(r)[1:] for r in out])
+    k = got.shape[1]
+    assert k == min(100, len(names) - 1) and not got[300].any()
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    assert np.allclose(np.linalg.norm(got, axis=0), s[:k], atol=1e-6)
+    assert np.allclose(np.abs(got[:, :3]), np.abs(u[:, :3] * s[:3]), atol=1e-6)
+
+
+def test_text_and_vector_queries_do_the_whole_job(spark):
+    from millrace import catalogue
+
+    at = "/root/testdata/sf0.001"
+    dims = len(spark.read.parquet(f"{at}/embeddings.parquet").first().embedding)
+    assert len(catalogue.QUERIES["svd"](spark, at).columns) == 1 + min(100, dims - 1)
+    assert len(catalogue.QUERIES["pca"](spark, at).columns) == 1 + min(500, dims - 1)
+    voc = catalogue.QUERIES["document_frequencies"](spark, at).count()
+    assert catalogue.QUERIES["tfidf_whole"](spark, at).select("token").distinct().count() == voc > 1000
