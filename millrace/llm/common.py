@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,8 +10,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: Rows in an Arrow batch; with documents of 100 KB a batch stays near 50 MB.
 BATCH_ROWS = 500
@@ -25,20 +27,51 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where it is unset, as in local tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary one of this machine, which only a
+    local master can share; on any other it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here and lost executors lose nothing."""
+#: Tables in the shared folder that lazy results may still read; deleted at the end of the process, or by release.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _write(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends here and lost executors lose nothing. The table
+    stays until the process ends, as lazy results may read it, or until release."""
+    path, out = _write(df)
+    _made.append((df.sparkSession, path))
+    return out
+
+
+def release(newest: int = 0) -> None:
+    """Delete the tables of materialize but for the newest ones."""
+    gone = _made[: len(_made) - newest]
+    del _made[: len(gone)]
+    for spark, path in gone:
+        if spark.sparkContext._jsc is not None:  # a stopped session can't delete any more
+            _delete(spark, path)
+
+
+atexit.register(release)
 
 
 class Scratch:
@@ -49,19 +82,41 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """materialize, to be deleted by clear."""
-        spark = df.sparkSession
-        path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-        self.paths.append((spark, path))
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        path, out = _write(df)
+        self.paths.append((df.sparkSession, path))
+        return out
 
     def clear(self) -> None:
         for spark, path in self.paths:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         self.paths = []
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none of the columns has them (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two longs: 128 bits of hash over all columns of a row. Equal rows have equal keys."""
+    every = []
+    for f in df.schema.fields:
+        c = column(f.name)
+        every += [F.map_entries(c) if isinstance(f.dataType, MapType) else c, c.isNull()]  # hashes pass over nulls
+    return [F.xxhash64(F.lit(i), *every) for i in (0, 1)]
+
+
 def slices(batch_col: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array holding at most SLICE_BYTES bytes each, one row at least."""
     off = offsets(batch_col)

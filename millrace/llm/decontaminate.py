@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, tune, words
+from .common import column, mix, slices, tune, words
 
+#: Places of windows that are aligned together: bounds the memory of an alignment, whatever the item's length.
+CELLS = 1 << 18
 #: Word bytes: ASCII letters and digits, and all of other scripts; punctuation and case do not count.
 KEEP = np.zeros(256, bool)
 KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -163,14 +164,14 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
     """
     tune(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = [_block_leaks(d, items, n, threshold) for items in benchmark_blocks(bench, item_id, item_text, block_words)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word int, last_word int, n_items int")
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    every = reduce(DataFrame.unionByName, parts)
-    best = F.max(F.struct("score", (-F.col("item_id")).alias("o"), "item_id", "first_word", "last_word")).alias("b")
-    return every.groupBy("doc_id", "row").agg(best, F.sum("n_items").cast("int").alias("n_items")).select("doc_id", "b.item_id", "b.score", "b.first_word", "b.last_word", "n_items")
+    for c, kind in BEST:
+        d = d.withColumn(c, F.lit(None).cast(kind))
+    blocks = benchmark_blocks(bench, item_id, item_text, block_words)
+    block = next(blocks, None)
+    while block is not None:
+        block, now = next(blocks, None), block
+        d = _block_leaks(d, now, n, threshold, last=block is None)
+    return d.where("score is not null").drop("text")
 
 
 def _prepare(d: DataFrame, block: list[tuple[int | None, str]], n: int):
@@ -200,8 +201,12 @@ def best_items(it: Items, col: pa.Array, threshold: float) -> dict[int, tuple[in
     count: dict[int, set[int]] = {}
     for i, jobs in work.items():
         jobs.sort(key=lambda j: len(j[2]))
-        for k in range(0, len(jobs), 64):
-            part = jobs[k : k + 64]
+        k = 0
+        while k < len(jobs):  # sorted by length: the last of a part is its widest
+            stop = k + 1
+            while stop < min(len(jobs), k + 64) and (stop + 1 - k) * len(jobs[stop][2]) <= CELLS:
+                stop += 1
+            part, k = jobs[k:stop], stop
             for (r, lo, _), (s, f, t) in zip(part, align(it.texts[i], [j[2] for j in part])):
                 if s >= threshold:
                     count.setdefault(r, set()).add(i)
@@ -212,20 +217,36 @@ def best_items(it: Items, col: pa.Array, threshold: float) -> dict[int, tuple[in
     return {r: (*b[1:], len(count[r])) for r, b in sorted(best.items())}
 
 
-def _block_leaks(d: DataFrame, block: list[tuple[int | None, str]], n: int, threshold: float) -> DataFrame:
+#: What is known of a document so far while it passes the blocks.
+BEST = (("item_id", "long"), ("score", "double"), ("first_word", "int"), ("last_word", "int"), ("n_items", "int"))
+
+
+def _block_leaks(d: DataFrame, block: list[tuple[int | None, str]], n: int, threshold: float, last: bool) -> DataFrame:
+    """d's rows with their best item so far and the number of items, this block's included; from the last one only rows with
+    an item, without text."""
     ready = _prepare(d, block, n)
+    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((c, kinds[k]) for c, k in BEST)])
 
     def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = best_items(ready.value, b.column(1), threshold)
             if found:
-                rows = pa.array(list(found))
-                cols = list(zip(*found.values()))
-                made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *made, b.column(2).take(rows)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_items", "row"])
-
-    out = "doc_id long, item_id long, score double, first_word int, last_word int, n_items int, row long"
-    return d.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(leaks, out)
+                cols = [c.to_pylist() for c in b.columns[2:]]
+                for i, new in found.items():
+                    old = [c[i] for c in cols]
+                    rank = lambda x: (-x[1], x[0] is None, x[0] or 0)
+                    best = list(new) if old[1] is None or rank(new) < rank(old) else old
+                    best[4] = new[4] + (old[4] or 0)
+                    for c, v in zip(cols, best):
+                        c[i] = v
+                b = pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, schema.field(k).type) for k, c in enumerate(cols, 2))], schema=schema)
+            if last:
+                b = b.filter(b.column(3).is_valid())
+                b = pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.string()), *b.columns[2:]], schema=schema)
+            yield b
+
+    return d.mapInArrow(leaks, "doc_id long, text string, " + ", ".join(f"{c} {k}" for c, k in BEST))
 
 
 def _texts(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,7 +263,7 @@ def remove_leaks(docs: DataFrame, bench: DataFrame, text: str = "text", item_id:
     d = docs.select(F.col(text).cast("string").alias("text"))
     out = docs
     for block in benchmark_blocks(bench, item_id, item_text, block_words):
-        out = out.where(_clean(_prepare(d, block, n), threshold)(F.col(text).cast("string")))
+        out = out.where(_clean(_prepare(d, block, n), threshold)(column(text).cast("string")))
     return out
 
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import column, fresh, materialize, row_keys
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Schedules by the source's place in the order, repeating: (time, density) knots, scaled so that each integral is 1.
@@ -71,23 +73,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     return s.select("source", "source_size", "rank", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, schedules=SCHEDULES,
-        bucket_rows: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position (of the first copy) and positions of all documents.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, schedules=SCHEDULES, bucket_rows: int = 2000) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies, position (of the first copy) and positions of all documents.
 
     copies: how often the document is read, the last time perhaps in part. position is null where taken is 0 (documents
     without words, or beyond the target). Null ids and sources count as values; equal ids are ordered by size. Reruns
-    agree as only ids, sizes and sources decide. keep: further columns of docs to carry along.
+    agree as only ids, sizes and sources decide. Sizes are counted once, into a narrow table of the shared folder.
     """
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *keep)
-    narrow = d.drop(*keep)
-    n = narrow.count()
+    d = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    return _mix(d, weights, max_repeats, schedules, bucket_rows)
+
+
+def _mix(d: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, schedules=SCHEDULES, bucket_rows: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """mix of (doc_id, source, size) and the columns to keep."""
+    n = d.count()
     digits = 1
     while digits < 6 and 16**digits * bucket_rows < n:
         digits += 1
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     d = d.withColumns({"_key": key, "_bucket": F.substring(key, 1, digits)})
-    sums = d.select("source", "_bucket", "size").groupBy("source", "_bucket").agg(F.sum("size").alias("n"))
+    sums = d.groupBy("source", "_bucket").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     per = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_repeats)
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     place = place.select("a.source", "a._bucket", "_before", "source_size", "rank", "target")
     x = d.alias("d").join(place.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._bucket") == F.col("p._bucket")))
     x = x.select("d.*", "_before", "source_size", "rank", "target")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     x = x.withColumn("_start", start)
     goal = F.floor("target")
@@ -126,10 +131,19 @@ def range_sorted(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("_at", at).orderBy("_at", "doc_id").drop("_at")
 
 
-def training_order(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs' columns for each copy, range-sorted by the copy's position."""
-    cols = docs.columns
-    keep = tuple(c for c in cols if c not in ("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions"))
-    m = mix(docs.select("doc_id", "source", *keep), keep=keep, **options)
-    out = m.withColumn("_p", F.explode("positions")).orderBy("_p", "doc_id")
-    return out.select(*[c for c in cols if c in out.columns])
+def training_order(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, schedules=SCHEDULES) -> DataFrame:
+    """The mix itself: a row of docs' columns for each copy, range-sorted by the copy's position.
+
+    Positions are found on narrow rows (a hash of the whole row, id, source, size); texts are joined to them once. Of equal
+    rows each has positions of its own. Columns of any name and type pass unchanged. A copy that the mix takes in part (the
+    last one of a source) is given whole, so that a source exceeds its target by less than one document.
+    """
+    k1, k2, at = fresh(docs.columns, "_k1", "_k2", "_position")
+    one, two = row_keys(docs)
+    keyed = docs.withColumns({k1: one, k2: two})
+    d = materialize(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), column(k1).alias("_k1"), column(k2).alias("_k2")))
+    places = _mix(d, weights, max_repeats, schedules, keep=("_k1", "_k2")).select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.explode("positions").alias(at))
+    if not d.groupBy("_k1", "_k2").count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates([k1, k2])  # equal rows' positions stand at one key
+    out = keyed.join(places, [k1, k2]).orderBy(at, "doc_id", k1)
+    return out.select(*[column(c) for c in docs.columns])

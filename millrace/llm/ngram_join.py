@@ -11,12 +11,13 @@ points are first dealt into blocks that lose no pair: two sets with a Jaccard of
 n - ceil(t n) + 1 shingles of any fixed order; the order here is by estimated document frequency, rarest first. There is
 a tree in each block of two or more points, and blocks with the same members are joined once.
 
-Equal sets are one point. Rounds: a block's tree join returns, of the pairs that survive, a spanning forest over the
-components known so far (the pairs with the most room above their bound first), leaving out pairs that verification has
-refused. Verified pairs join components; blocks that lie in one component are done. The last round returns all pairs across
-components that survive and were not refused. So every link is found or lies inside a component, and a group of
-thousands of near copies costs pairs in proportion to its size. The first round looks only at each point's largest
-block. Blocks beyond ``chunk`` points are cut into chunks and each pair of chunks is a tree join of its own.
+Equal sets are one point. Large groups of near copies are first drawn together: sets with the same least shingle (under
+one random order, then under another) meet in one task, in salted portions of at most ``chunk`` sets, and each joins the
+first earlier set that it links with; portions' leaders meet again. Each such link is exact. Only blocks that still hold
+different groups are joined by their trees, and only pairs across groups count: first a few for each pair of groups,
+then, once those have been verified, all that are left. So every link is found or lies inside a group, and a group of
+thousands of near copies costs time in proportion to its size. In a block beyond ``chunk`` points the largest group is
+dealt out in portions and only the points outside of it are sent to all of them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, materialize, mix, shingles, slices, tune, words
@@ -33,9 +34,13 @@ from .common import Scratch, components, materialize, mix, shingles, slices, tun
 SKETCH = 1 << 16
 MARKED = 1 << 23
 GROUPS = 512
-#: Spanning forests that a block's join returns in each round; the last round returns all pairs that are left.
-FORESTS = (4, 4, 64, None)
 LEAF = 16
+#: Random orders whose least shingle draws sets together.
+ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Exact comparisons of a set with leaders, and bytes of leaders held; what is left over, the blocks find.
+TRIES, HELD_BYTES = 8, 1 << 26
+#: Pairs that a block's join returns for each pair of groups in each round; the last round returns all that are left.
+ROUNDS = (3, None)
 
 
 def _sets(batch: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,12 +80,12 @@ def group_counts(s: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, point, longs to carry: of every row. To be
+    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, longs to carry: of every row. To be
     written before use, as uids hold for one evaluation."""
     import xxhash
 
     weight = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, n))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("head", pa.list_(pa.int64())), ("point", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("head", pa.list_(pa.int64()))])
     full = pa.schema([*schema, *((c, pa.int64()) for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +95,13 @@ def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, carr
             for i, s in _sets(b.column(1), n):
                 k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 order = np.lexsort((s, w[(s >> np.uint64(48)).astype(np.int64)]))[:k] if k else np.zeros(0, np.int64)
-                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s[order].view(np.int64), group_counts(s).tobytes()))
+                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s[order].view(np.int64)))
             cols = list(zip(*out))
             arrays = [b.column(0).cast(pa.int64())] + [pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:])]
             yield pa.RecordBatch.from_arrays(arrays + b.columns[2:], schema=full)
 
     d = docs.select(F.col(doc_id).cast("long"), F.col(text), *carry)
-    got = d.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, key string, head array<long>, point binary", *(f"{c} long" for c in carry)]))
+    got = d.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, key string, head array<long>", *(f"{c} long" for c in carry)]))
     return got.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -127,8 +132,9 @@ class Tree:
         return slice(self.starts[i], min(self.starts[i] + LEAF, len(self.points)))
 
 
-def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions in x and in y of the pairs whose bound allows the similarity, leaf pair by leaf pair."""
+def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in x and in y of the pairs whose bound allows the similarity, and the bound over what is needed, leaf pair
+    by leaf pair."""
     same = x is y
     for i in range(len(x.starts)):
         bound = np.minimum(x.upper[i], y.upper).sum(axis=1, dtype=np.int64)
@@ -138,98 +144,39 @@ def tree_join(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.n
                 continue
             a, b = x.leaf(i), y.leaf(j)
             s, t = x.sizes[a][:, None], y.sizes[b][None, :]
-            over = np.minimum(x.points[a][:, None, :], y.points[b][None, :, :]).sum(axis=2, dtype=np.int64)
-            ok = ((over >= _need(s, t, percent)) | (x.open[a][:, None] & y.open[b][None, :])) & (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
+            over, need = np.minimum(x.points[a][:, None, :], y.points[b][None, :, :]).sum(axis=2, dtype=np.int64), _need(s, t, percent)
+            ok = ((over >= need) | (x.open[a][:, None] & y.open[b][None, :])) & (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
             if same and i == j:
                 ok = np.triu(ok, 1)
             p, q = np.nonzero(ok)
             if len(p):
-                yield x.order[a][p], y.order[b][q]
+                yield x.order[a][p], y.order[b][q], (over / need)[p, q]
 
 
-def _forest(node: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, refused: list, percent: int, forests: int | None) -> list[tuple[int, int]]:
-    """Spanning forests over comp (so many, without common pairs; None: all pairs) of the surviving pairs of a block (side 0) or between
-    two chunks (sides 0 and 1)."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if len(node) <= 4 and not len(right):
-        found = [np.triu_indices(len(node), 1)]
-    else:
-        a = Tree(point[left], size[left])
-        b, other = (Tree(point[right], size[right]), right) if len(right) else (a, left)
-        found = [(left[p], other[q]) for p, q in tree_join(a, b, percent)]
-    p, q = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    differ = comp[p] != comp[q]
-    p, q = p[differ], q[differ]
-    free = (point == 255).all(axis=1)
-    room = []
-    for lo in range(0, len(p), 4096):
-        u, v = p[lo : lo + 4096], q[lo : lo + 4096]
-        need = _need(size[u], size[v], percent)
-        over = np.where(free[u] & free[v], need, np.minimum(point[u], point[v]).sum(axis=1, dtype=np.int64))
-        room.append((over - need) / np.maximum(need, 1))
-    r = np.concatenate(room) if room else np.zeros(0)
-    p, q, r = p[r >= 0], q[r >= 0], r[r >= 0]
-    lo, hi = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
-    out: list[tuple[int, int]] = []
-    todo = [k for k in np.lexsort((hi, lo, -np.floor(r * 20))).tolist() if int(node[q[k]]) not in refused[p[k]]]
-    if forests is None:
-        return [(int(lo[k]), int(hi[k])) for k in todo]
-    for _ in range(forests):
-        parent = {c: c for c in set(comp.tolist())}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        rest = []
-        for k in todo:
-            x, y = root(int(comp[p[k]])), root(int(comp[q[k]]))
-            if x == y:
-                rest.append(k)
-            else:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(lo[k]), int(hi[k])))
-        todo = rest
-    return out
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of common elements of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum()) if len(y) else 0
 
 
-def candidates(blocks: DataFrame, percent: int, chunk: int, across: bool, forests: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of nodes from (block, cnt, node, comp, size, point, refused) rows. across: pairs of chunks too."""
-    parts = F.ceil(F.col("cnt") / chunk).cast("int")
-    x = blocks.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    if across:
-        x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        x = x.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    else:
-        x = x.withColumns({"lo": F.col("own"), "hi": F.col("own"), "side": F.lit(0)})
-    x = x.select("block", "lo", "hi", "side", "node", "comp", "size", "point", "refused")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = overlap(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        current = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if len({r[5] for r in held}) < 2:
-                return
-            node, comp, size, side = (np.array([r[i] for r in held], np.int64) for i in (4, 5, 6, 3))
-            point = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), GROUPS)
-            pairs = _forest(node, comp, size, point, side, [set(r[8] or ()) for r in held], percent, forests)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=schema)
 
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[:3] != current:
-                    yield from close()
-                    held, current = [], r[:3]
-                held.append(r)
-        yield from close()
-
-    dealt = x.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches in lists of equal first ``width`` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if held and r[:width] != held[0][:width]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -240,57 +187,184 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame, n: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs whose exact shingle sets have the similarity.
-
-    Sets are made anew for the texts in a pair; others are left out by a bitmap of ids before any shuffle. Pairs go to
-    the sets by set key, so one exchange of the sets serves both sides.
-    """
+def _shapes(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """(node, size, point, m0, m1, set) of the nodes in some (node, doc_id, key). Other texts are left out by a bitmap of
+    doc_ids before any shuffle. A node can come twice where rows of one id are equal."""
     import xxhash
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = keep(prof.select(F.col("uid").alias("node"), "doc_id", "key").join(ends, "node", "left_semi"))
-    marked = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
-    schema = pa.schema([("key", pa.string()), ("set", pa.binary())])
+    marked = docs.sparkSession.sparkContext.broadcast(_bitmap(some))
+    schema = pa.schema([("key", pa.string()), ("size", pa.int64()), ("point", pa.binary()), ("m0", pa.int64()), ("m1", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marked.value
+        seen: set[str] = set()
         for b in batches:
             k = b.column(1).to_numpy(zero_copy_only=False)
-            some = b.column(0).filter(pa.array((bits[k >> 3] >> (k & 7) & 1).astype(bool)))
-            out = [(xxhash.xxh3_128_hexdigest(s.tobytes()), s.tobytes()) for _, s in _sets(some, n) if len(s)]
+            texts = b.column(0).filter(pa.array((bits[k >> 3] >> (k & 7) & 1).astype(bool)))
+            out = []
+            for _, s in _sets(texts, n):
+                key = xxhash.xxh3_128_hexdigest(s.tobytes())
+                if len(s) and key not in seen:
+                    seen = seen | {key} if len(seen) < 10_000 else {key}
+                    least = [int(mix(s ^ o).min().view(np.int64)) for o in ORDERS]
+                    out.append((key, len(s), group_counts(s).tobytes(), *least, s.tobytes()))
             for i in range(0, len(out), 100):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 100]), schema)], schema=schema)
 
-    sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).mapInArrow(run, "key string, set binary").dropDuplicates(["key"])
-    named = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
-    both = named.join(sets.select(F.col("key").alias("ka"), F.col("set").alias("x")), "ka").join(sets.select(F.col("key").alias("kb"), F.col("set").alias("y")), "kb")
-    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    made = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).mapInArrow(run, "key string, size long, point binary, m0 long, m1 long, set binary")
+    return made.join(some.select("node", "key"), "key").drop("key")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            true = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                true.append(100 * common >= percent * (len(x) + len(y) - common))
-            m = pa.array(true, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], schema=edge)
 
-    return keep(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+def lead(rows: list[tuple[int, bytes, bytes]], percent: int) -> list[tuple[int, int]]:
+    """(node, earlier node that it links with) for (node, point, set) rows; nodes without such a one are left out."""
+    out: list[tuple[int, int]] = []
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+    points, sizes = np.zeros((64, GROUPS), np.uint8), np.zeros(64, np.int64)
+    held = 0
+    for node, point, raw in rows:
+        p, s, k = np.frombuffer(point, np.uint8), np.frombuffer(raw, np.uint64), len(nodes)
+        if k:
+            need = _need(sizes[:k], len(s), percent)
+            over = np.minimum(points[:k], p).sum(axis=1, dtype=np.int64)
+            fits = np.flatnonzero((over >= need) & (100 * np.minimum(sizes[:k], len(s)) >= percent * np.maximum(sizes[:k], len(s))))
+            fits = fits[np.argsort(-(over / need)[fits], kind="stable")][:TRIES]
+            hit = next((i for i in fits.tolist() if linked(s, sets[i], percent)), None)
+            if hit is not None:
+                if nodes[hit] != node:
+                    out.append((node, nodes[hit]))
+                continue
+        if held + len(raw) > HELD_BYTES:
+            continue
+        if k == len(points):
+            points, sizes = np.concatenate([points, np.zeros_like(points)]), np.concatenate([sizes, np.zeros_like(sizes)])
+        nodes.append(node)
+        sets.append(s)
+        points[k], sizes[k] = p, len(s)
+        held += len(raw)
+    return out
+
+
+def _drawn(shapes: DataFrame, by: str, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) of nodes that link with root, a node with the same least shingle."""
+    schema = pa.schema([("id", pa.int64()), ("root", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, 2):
+            got = lead([r[2:] for r in rows], percent) if len(rows) > 1 else []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], schema=schema)
+
+    made: DataFrame | None = None
+    left = shapes
+    while True:
+        large = keep(left.groupBy(by).count().where(F.col("count") > chunk))
+        salted = not large.isEmpty()
+        x = left
+        salt = F.lit(0)
+        if salted:
+            x = x.join(large, by, "left")
+            salt = F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1))).cast("int")
+        x = x.select(by, salt.alias("salt"), "node", "point", "set")
+        got = keep(x.repartition(by, "salt").sortWithinPartitions(by, "salt", "node").mapInArrow(run, "id long, root long").distinct())
+        made = got if made is None else keep(_composed(made, got))
+        if not salted:
+            return made
+        now = keep(left.join(got.select(F.col("id").alias("node")), "node", "left_anti").join(large.select(by), by, "left_semi"))
+        if 2 * now.count() > large.agg(F.sum("count")).first()[0]:
+            return made  # few came together: the blocks do the rest
+        left = now
+
+
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(id, root) of both, roots of the first moved on by the second."""
+    moved = first.alias("f").join(then.alias("t"), F.col("f.root") == F.col("t.id"), "left").select("f.id", F.coalesce("t.root", "f.root").alias("root"))
+    return moved.unionByName(then.join(first.select("id"), "id", "left_anti"))
+
+
+def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(block, cnt, top, most, node, comp) of the blocks that hold several groups; top is the one with the most points."""
+    now = members.withColumn("comp", F.col("node"))
+    if comp is not None:
+        now = members.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    per = now.groupBy("block", "comp").agg(F.count("*").alias("n")).groupBy("block")
+    per = per.agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("groups"))
+    per = per.where("groups > 1").select("block", "cnt", F.col("m.comp").alias("top"), F.col("m.n").alias("most"))
+    return now.join(per, "block")
+
+
+def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point) rows; each: so
+    many for each pair of groups and block."""
+    whole, out = F.col("cnt") <= chunk, F.col("comp") != F.col("top")
+    n_out, n_top = (F.ceil(c / chunk).cast("int") for c in (F.col("cnt") - F.col("most"), F.col("most")))
+    spread = lambda k: F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")
+    own = F.when(whole, F.lit(0)).when(out, spread(n_out)).otherwise(n_out + spread(n_top))
+    others = F.when(whole, F.array(F.lit(0))).when(out, F.sequence(F.lit(0), n_out + n_top - 1)).otherwise(F.sequence(F.lit(0), n_out - 1))
+    x = blocks.withColumn("own", own).withColumn("other", F.explode(others))
+    x = x.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "size", "point")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, 3):
+            side, node, comp, size = (np.array([r[i] for r in rows], np.int64) for i in range(3, 7))
+            if len(np.unique(comp)) < 2:
+                continue
+            point = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), GROUPS)
+            p, q = _across(comp, size, point, side, percent, each)
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[p], node[q])) for f in (np.minimum, np.maximum)], schema=schema)
+
+    dealt = x.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, percent: int, each: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different groups that survive the tree join: within side 0, or between the sides 0 and 1."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a = Tree(point[left], size[left])
+    b, other = (Tree(point[right], size[right]), right) if len(right) else (a, left)
+    ps, qs, rooms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for p, q, room in tree_join(a, b, percent):
+        p, q = left[p], other[q]
+        differ = comp[p] != comp[q]
+        ps.append(p[differ]), qs.append(q[differ]), rooms.append(room[differ])
+    p, q, room = np.concatenate(ps), np.concatenate(qs), np.concatenate(rooms)
+    if each is not None and len(p):
+        lo, hi = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
+        order = np.lexsort((-room, hi, lo))
+        lo, hi = lo[order], hi[order]
+        first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        p, q = p[order][rank < each], q[order][rank < each]
+    return p, q
+
+
+def verify(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose exact shingle sets have the similarity: both sets of a pair meet under its key."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    rows = shapes.select("node", "set").join(ends, "node").select("a", "b", "node", "set")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, 2):
+            a, b = rows[0][:2]
+            x, y = (np.frombuffer(next(r[3] for r in rows if r[2] == k), np.uint64) for k in (a, b))
+            if linked(x, y, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], schema=schema)
+
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _blocks(prof: DataFrame, reps: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(block, cnt, node) of the first shingles that two or more points hold; of blocks with the same members, one."""
+def _blocks(prof: DataFrame, reps: DataFrame) -> DataFrame:
+    """(block, node) of the first shingles that two or more points hold; of blocks with the same members, one."""
     heads = prof.join(reps.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.explode("head").alias("block"), F.col("uid").alias("node"))
-    w = Window.partitionBy("block")
-    x = heads.select("block", "node", F.count("*").over(w).alias("cnt"), F.bit_xor(F.xxhash64("node")).over(w).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(w).alias("t"))
-    x = keep(x.where("cnt > 1"))
-    one = x.groupBy("cnt", "s", "t").agg(F.min("block").alias("block")).select("block")
-    return x.join(one, "block", "left_semi").select("block", "cnt", "node")
+    per = heads.groupBy("block").agg(F.count("*").alias("cnt"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t"))
+    one = per.where("cnt > 1").groupBy("cnt", "s", "t").agg(F.min("block").alias("block")).select("block")
+    return heads.join(one, "block", "left_semi")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 2048) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row.
 
     Two rows link where 100 * |A and B| >= percent * |A or B| for their sets of n-word shingles (a shorter text is one
@@ -302,47 +376,52 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     return groups(docs, doc_id, text, n, percent, chunk).drop("group")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
     """join, with the long columns to carry of each row and the column group: a number of the row's component, null
-    without shingles. Components that hold rows of one doc_id can have the same component_id, never the same group."""
+    without shingles. Components that hold rows of one doc_id can have the same component_id, never the same group.
+    Columns to carry may have any names but those of the result."""
     tune(docs.sparkSession)
     scratch = Scratch()
     try:
-        return materialize(_join(docs, doc_id, text, n, percent, chunk, carry, scratch.keep))
+        return materialize(_join(docs, doc_id, text, n, percent, chunk, carry, scratch))
     finally:
         scratch.clear()
 
 
-def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int, carry: tuple[str, ...], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int, carry: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    keep = scratch.keep
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
     prof = keep(profiles(docs, "doc_id", "text", n, percent, carry))
     rows = prof.select("uid", "doc_id", "n_shingles", "key", *carry)
-    reps = keep(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id")))
-    blocks = keep(_blocks(prof, reps, keep))
-    shape = prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point")
-    spark = docs.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    refused = spark.createDataFrame([], "node long, refused array<long>")
-    tried = edges
-    comp = spark.createDataFrame([], "id long, root long")
-    most = blocks.groupBy("node").agg(F.min(F.struct(-F.col("cnt"), F.col("block"))).alias("m")).select("node", F.col("m.block").alias("block"))
-    for k, forests in enumerate(FORESTS):
-        first = k == 0
-        now = blocks.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "cnt", "node", F.coalesce("root", "node").alias("comp"))
-        if first:
-            now = now.join(most, ["block", "node"], "left_semi")
-        mixed = now.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("block")
-        now = now.join(mixed, "block", "left_semi").join(shape, "node").join(refused, "node", "left")
-        pairs = keep(candidates(now, percent, chunk, not first, forests))
-        if not first and pairs.isEmpty():
+    reps = keep(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id"), F.min_by("doc_id", "uid").alias("own")))
+    members = keep(_blocks(prof, reps))
+    some = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("own").alias("doc_id"), "key")
+    shapes = keep(_shapes(docs, keep(some), n))
+    comp: DataFrame | None = None
+    for k in range(len(ORDERS)):
+        x = shapes
+        if comp is not None:
+            now = keep(_open(members, comp))
+            if now.isEmpty():
+                break
+            x = keep(shapes.join(now.select(F.col("comp").alias("node")).distinct(), "node", "left_semi"))
+        got = _drawn(x, f"m{k}", percent, chunk, keep)
+        comp = got if comp is None else keep(_composed(comp, got))
+    tried: DataFrame | None = None
+    for each in ROUNDS:
+        now = keep(_open(members, comp))
+        if now.isEmpty():
             break
-        good = verify(pairs, docs, prof, n, percent, keep)
-        tried = keep(tried.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
-        both = tried.select(F.col("a").alias("node"), F.col("b").alias("x")).unionAll(tried.select(F.col("b").alias("node"), F.col("a").alias("x")))
-        refused = both.groupBy("node").agg(F.collect_list("x").alias("refused"))
+        points = shapes.select("node", "size", "point").dropDuplicates(["node"])
+        pairs = candidates(now.join(points, "node"), percent, chunk, each)
+        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs
+        good = keep(verify(pairs, shapes, percent))
         if not good.isEmpty():
-            edges = edges.unionByName(good)
-            comp = keep(components(edges, keep))
+            of = comp.select("id", "root")
+            named = good.join(of.withColumnsRenamed({"id": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "root": "rb"}), "b", "left")
+            edges = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+            comp = keep(_composed(comp, components(edges, keep).where("id <> root")))
     named = reps.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(low, "root").select("key", "class_id", "component_id", F.col("root").alias("group"))

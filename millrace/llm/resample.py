@@ -50,10 +50,11 @@ def ngram_buckets(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", max_target: int = MAX_TARGET) -> np.ndarray:
     """Log ratio of target and raw bucket shares (add-one smoothed). target: ids of good documents, thinned to the bound."""
     tune(docs.sparkSession)
-    ids = target.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct()
+    ids = target.select(F.col(doc_id).alias("id")).where("id is not null").distinct()
     share = min(1.0, max_target / max(1, ids.count()))
-    ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0))).withColumn("good", F.lit(1))
-    d = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left").select(F.col(text), F.coalesce("good", F.lit(0)).alias("good"))
+    ids = ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0))).withColumn("good", F.lit(1))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    d = texts.join(F.broadcast(ids), "id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, tune, words
+from .common import Scratch, column, slices, tune
 
 #: Bound on the labelled rows that the lexicon and the model are fitted on (a larger set is thinned by a hash of the id).
 MAX_LABELLED = 20_000
 OPENING, CLOSING = "\"“„«‹‘", "\"”“»›’"
-_LUT = 0x3000
+#: Cells of one automaton's transition table; a lexicon that needs more is split over several.
+CELLS = 1 << 24
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter or digit."""
+    return np.array([chr(i).isalnum() for i in range(0x110000)])
+
+
+class TooManyStates(Exception):
+    """A lexicon whose automaton would exceed CELLS."""
 
 
 @dataclass(frozen=True)
@@ -45,19 +57,17 @@ class Term:
 class Automaton:
     """The lexicon's trie under up to ``edits`` insertions, deletions and substitutions, as one transition table.
 
-    classes: code point -> letter class (0 no letter, 1 a letter of no term, 2.. the terms' letters).
+    classes: code point -> letter class (0 no letter, 1 a letter of no term, 2.. the terms' letters), of any script.
     table[state, class] -> state, 0 dead, 1 start. verdict[state]: 0 none, 1 exact, 2 misspelled; strength[state]: the
     strongest term's that is accepted. stems: states that accept whatever follows.
     """
 
-    def __init__(self, terms: list[Term]) -> None:
+    def __init__(self, terms: list[Term], cells: int | None = None) -> None:
         self.terms = terms
         letters = sorted({c for t in terms for c in t.text})
-        self.classes = np.array([int(chr(i).isalnum()) for i in range(_LUT)], np.uint8)
+        self.letters = np.array([ord(c) for c in letters], np.int64)
+        self._classes: np.ndarray | None = None
         number = {c: i + 2 for i, c in enumerate(letters)}
-        for c, i in number.items():
-            if ord(c) < _LUT:
-                self.classes[ord(c)] = i
         child: list[dict[int, int]] = [{}]
         ends: list[list[Term]] = [[]]
         most = [0]
@@ -115,6 +125,8 @@ class Automaton:
                     continue
                 nxt = step(states[i], c)
                 if nxt not in number_of:
+                    if cells is not None and (len(states) + 1) * width > cells:
+                        raise TooManyStates
                     number_of[nxt] = len(states)
                     states.append(nxt)
                 row[c] = number_of[nxt]
@@ -123,11 +135,20 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         self.verdict, self.stems, self.strength = np.array(verdict, np.int8), np.array(stems), np.array(strength)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_classes": None}  # made anew by each worker
+
+    @property
+    def classes(self) -> np.ndarray:
+        if self._classes is None:
+            self._classes = _letters().astype(np.int32)
+            self._classes[self.letters] = np.arange(2, len(self.letters) + 2)
+        return self._classes
+
     def find(self, text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         """Number of words of a lower-cased text, and the place, verdict and strength of each hit."""
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = self.classes[np.minimum(cp, _LUT - 1)]
-        kind = np.where(cp >= _LUT, 1, kind)
+        kind = self.classes[cp]
         inside = kind > 0
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -146,6 +167,28 @@ class Automaton:
         return len(start), start[hit], self.verdict[end[hit]], self.strength[end[hit]]
 
 
+class Lexicon:
+    """All terms, in as many automata as keep each within CELLS. Of several hits of a word the exact, then the strongest counts."""
+
+    def __init__(self, terms: list[Term], cells: int = CELLS) -> None:
+        todo, self.parts = [terms], []
+        while todo:
+            part = todo.pop()
+            try:
+                self.parts.append(Automaton(part, cells if len(part) > 1 else None))
+            except TooManyStates:
+                todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+
+    def find(self, text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        found = [a.find(text) for a in self.parts]
+        if len(found) == 1:
+            return found[0]
+        at, verdict, strength = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+        order = np.lexsort((-strength, verdict, at))
+        first = order[np.concatenate([[True], np.diff(at[order]) > 0])[: len(order)]]
+        return found[0][0], at[first], verdict[first], strength[first]
+
+
 def quoted(text: str, at: int, window: int = 80) -> bool:
     """Whether the word at a place stands inside quotation marks of its line that open and close within the window."""
     before = text[max(0, at - window) : at].rpartition("\n")[2]
@@ -162,7 +205,7 @@ def quoted(text: str, at: int, window: int = 80) -> bool:
 N_FEATURES = 7
 
 
-def features(auto: Automaton, texts: list[str | None]) -> np.ndarray:
+def features(auto: Automaton | Lexicon, texts: list[str | None]) -> np.ndarray:
     """For each text: log counts of exact, misspelled, quoted exact and quoted misspelled hits, the greatest and the summed
     strength of the unquoted exact ones, and their share of the words."""
     out = np.zeros((len(texts), N_FEATURES))
@@ -197,9 +240,8 @@ def _terms_of(text: str) -> set[str]:
     """Distinct words of a text, and their beginnings of 4 to 8 letters marked by a star."""
     out: set[str] = set()
     for w in set("".join(c if c.isalnum() else " " for c in text.lower()).split()):
-        if 4 <= len(w) <= 24:
-            out.add(w)
-            out.update(w[:k] + "*" for k in range(4, 9) if len(w) > k)
+        out.add(w)
+        out.update(w[:k] + "*" for k in range(4, 9) if len(w) > k)
     return out
 
 
@@ -226,17 +268,17 @@ def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> li
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from the labelled rows (doc_id, label 0 or 1) of docs. Null labels, ids and texts teach nothing.
 
-    At most about max_labelled rows, thinned by a hash of the id. Copies and near copies (equal least word hash) count
-    once for the lexicon, else one copied text would make all of its words terms. Without rows of both labels the model
-    is empty and scores everything 0.
+    At most about max_labelled rows, thinned by a hash of the id. Rows of the very same text and label count once for the
+    lexicon, else one copied text would make all of its words terms; every row counts for the weights. Without rows of both
+    labels the model is empty and scores everything 0. Other columns of docs and labels may have any name.
     """
     tune(docs.sparkSession)
-    lab = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("toxic"))
+    lab = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic"))
     share = min(1.0, max_labelled / max(1, lab.count()))
-    some = lab.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0)))
-    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(some), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "toxic")
+    some = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0)))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
     scratch = Scratch()
-    known = scratch.keep(known.withColumn("row", F.monotonically_increasing_id()))
+    known = scratch.keep(texts.join(F.broadcast(some), "id").select("text", "toxic"))
     try:
         return _fit(known)
     finally:
@@ -244,36 +286,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _fit(known: DataFrame) -> Model:
-    """The model of (row, text, toxic) rows."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            least = np.zeros(b.num_rows, np.uint64)
-            for lo, hi in slices(b.column(1)):
-                h, row, _ = words(b.column(1).slice(lo, hi - lo))
-                part = np.full(hi - lo, np.iinfo(np.uint64).max)
-                np.minimum.at(part, row, h)
-                least[lo:hi] = part
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least.view(np.int64))], names=["row", "least"])
-
-    signed = known.select("row", "text").mapInArrow(sign, "row long, least long").toPandas()
-    once = set(signed.groupby("least")["row"].min().tolist())
+    """The model of (text, toxic) rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         n = [0, 0]
         for b in batches:
-            for r, t, y in zip(*(c.to_pylist() for c in b.columns)):
-                if r in once:
-                    seen[y].update(_terms_of(t))
-                    n[y] += 1
+            for t, y in zip(*(c.to_pylist() for c in b.columns)):
+                seen[y].update(_terms_of(t))
+                n[y] += 1
         for y in (0, 1):
             rows = [("", n[y]), *seen[y].items()]
             for i in range(0, len(rows), 20_000):
                 part = rows[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] * y for x in part], pa.int64()), pa.array([x[1] * (1 - y) for x in part], pa.int64())], names=["term", "toxic", "clean"])
 
-    got = known.select("row", "text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    got = known.distinct().mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     counts = {r.term: (r.t, r.c) for r in got.where("t >= 2 or term = ''").toLocalIterator()}
     n_toxic, n_clean = counts.pop("", (0, 0))
     if not n_toxic or not n_clean:
@@ -282,7 +310,7 @@ def _fit(known: DataFrame) -> Model:
     if not model.terms:
         model.weights[-1] = np.log(n_toxic / n_clean)
         return model
-    auto = Automaton(model.terms)
+    auto = Lexicon(model.terms)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,7 +345,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     if not model.terms:
         p = 0.0 if not model.weights.any() else float(model.probability(np.zeros((1, N_FEATURES)))[0])
         return docs.withColumn(name, F.lit(p))
-    auto = Automaton(model.terms)
+    auto = Lexicon(model.terms)
     weights = model.weights
 
     @F.pandas_udf("double")
@@ -333,4 +361,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 lo = hi
             yield pd.Series(np.concatenate(out), dtype="float64")
 
-    return docs.withColumn(name, judge(F.col(text)))
+    return docs.withColumn(name, judge(column(text)))

@@ -67,6 +67,22 @@ def linked_components(rows):
     return sorted(((r[0], len(sets[i]), low[find(i)]) for i, r in enumerate(rows)), key=str)
 
 
+def one_a_group(rows):
+    """rows without those that are linked with a row of a smaller id (nulls last; then text)."""
+    sets = shingle_sets(rows)
+    left, out = list(range(len(rows))), []
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            i = todo.pop()
+            group.append(i)
+            near = [j for j in left if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+            left = [j for j in left if j not in near]
+            todo += near
+        out.append(rows[min(group, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] or ""))])
+    return out
+
+
 def test_ngram_join_equals_brute_force(docs):
     rows = corpus()
     for chunk in (2048, 3):  # with chunks of 3 nearly all blocks are split
@@ -93,7 +109,7 @@ def test_tree_join_loses_no_pair():
     sets += [set(list(s)[2:]) for s in sets[:40]]
     points = np.stack([ngram_join.group_counts(np.array(sorted(s), np.uint64)) for s in sets])
     t = ngram_join.Tree(points, np.array([len(s) for s in sets]))
-    found = {(min(a, b), max(a, b)) for p, q in ngram_join.tree_join(t, t, 80) for a, b in zip(p.tolist(), q.tolist())}
+    found = {(min(a, b), max(a, b)) for p, q, _ in ngram_join.tree_join(t, t, 80) for a, b in zip(p.tolist(), q.tolist())}
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert true <= found and len(found) < 1000
 
@@ -486,13 +502,81 @@ def test_pipeline(spark, tmp_path):
     a = corpus_pipeline.drop_toxic(spark, d, str(tmp_path))
     assert a.columns == d.columns and a.count() == len(rows)
     b = corpus_pipeline.one_of_each_group(spark, a, str(tmp_path))
-    comp = linked_components(rows)
-    gone = {i for i, n, c in comp if n and i is not None and i > c}
-    assert b.columns == d.columns and sorted(str(r.doc_id) for r in b.collect()) == sorted(str(r[0]) for r in rows if r[0] not in gone)
+    assert b.columns == d.columns and sorted(map(str, b.collect())) == sorted(map(str, spark.createDataFrame(one_a_group(rows), DOCS).collect()))
     c = corpus_pipeline.drop_leaks(spark, b, str(tmp_path))
     assert c.columns == d.columns and leak[0] not in {r.doc_id for r in c.collect()}
+    m = corpus_pipeline.mix_sources(spark, c, str(tmp_path))
+    assert m.columns == d.columns
+    m.write.parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for r in m.collect()]
+    packed = corpus_pipeline.pack_tokens(spark, spark.read.parquet(f"{tmp_path}/mixed"), str(tmp_path)).collect()
+    assert [r.position for r in packed] == sorted(r.position for r in packed)
+    once = sorted({(row, i) for r in packed for row, i in zip(r.rows, r.doc_ids)})
+    assert [i for _, i in once] == order  # rows are numbered in training order, each copy on its own
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0 and leak[0] not in {i for r in out.collect() for i in r.doc_ids}
+    assert out.count() == len(packed) and leak[0] not in {i for r in out.collect() for i in r.doc_ids}
+
+
+def test_packs_come_in_position_order(spark):
+    rows = [(i % 7, " ".join(f"w{i}" for _ in range(5 + i % 40)), 1000 - i) for i in range(300)] + [(None, "no place", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, place long").repartition(5)
+    got = packing.pack(d, row=64, position="place", run=256).collect()
+    place = {r[2]: r[1] for r in rows}
+    with open(packing.VOCABULARY, "rb") as f:
+        enc = packing.Encoder(f.read())
+    assert [r.position for r in got] == sorted((r.position for r in got), key=lambda p: (p is not None, p)) and [r.pack_id for r in got] == sorted(r.pack_id for r in got)
+    pieces = {}
+    for r in got:
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for k, (lo, hi) in enumerate(zip(r.cu_seqlens, r.cu_seqlens[1:])):
+            pieces.setdefault(r.rows[k], {})[r.pieces[k]] = ids[lo:hi].tolist()
+    texts = [enc.core.decode([i for k in sorted(p) for i in p[k]][:-1]) for _, p in sorted(pieces.items())]
+    assert texts == [place[k] for k in sorted(place, key=lambda p: (p is not None, p))]  # lossless also for repeated ids
+
+
+CLASH = ["rank", "size", "target", "_before", "toxic", "good", "_id", "_score", "_k1", "_position", "position", "taken", "group", "node", "key", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [r[:5] for r in corpus(6, 30)]
+    wide = spark.createDataFrame(rows, DOCS).select("*", *[F.concat_ws("-", F.lit(c), "doc_id", "source").alias(c) for c in CLASH])
+    spark.createDataFrame([(i, 1, int(i < 2)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing that any document holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for empty in (False, True):
+        docs = wide.where("false") if empty else wide
+        docs.write.parquet(f"{tmp_path}/docs{empty}")
+        docs = spark.read.parquet(f"{tmp_path}/docs{empty}")
+        every = {str(r) for r in docs.collect()}
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            if k < 4:
+                assert docs.columns == wide.columns
+                docs.write.parquet(f"{tmp_path}/stage{k}{empty}")
+                docs = spark.read.parquet(f"{tmp_path}/stage{k}{empty}")
+                assert {str(r) for r in docs.collect()} <= every
+        assert (docs.count() == 0) == empty
+
+
+def test_stages_of_null_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None,) * 5] * 3, DOCS)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert docs.count() == (3 if k < 3 else 0)  # without words nothing is a copy, a leak, or read by the mix
+
+
+def test_equal_rows_have_positions_of_their_own(spark):
+    rows = [(1, "a b c d", "en", "x", 1)] * 4 + [(2, "e f g h", "en", "y", 1)] * 2
+    d = spark.createDataFrame(rows, DOCS)
+    out = [tuple(r) for r in mixing.training_order(d).collect()]
+    assert len(out) == sum(r.copies for r in mixing.mix(d).collect()) and set(out) <= set(rows)
 
 
 def test_pipeline_keeps_one_row_of_each_group(spark):
