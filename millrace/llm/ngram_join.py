@@ -11,22 +11,27 @@ points are first dealt into blocks that lose no pair: two sets with a Jaccard of
 n - ceil(t n) + 1 shingles of any fixed order; the order here is by estimated document frequency, rarest first. There is
 a tree in each block of two or more points, and blocks with the same members are joined once.
 
-Equal sets are one point. Large groups of near copies are first drawn together: sets with the same least shingle (under
-one random order, then under another) meet in one task, in salted portions of at most ``chunk`` sets, and each joins the
-first earlier set that it links with; portions' leaders meet again. Each such link is exact. Only blocks that still hold
-different groups are joined by their trees, and only pairs across groups count: first a few for each pair of groups,
-then, once those have been verified, all that are left. So every link is found or lies inside a group, and a group of
-thousands of near copies costs time in proportion to its size. In a block beyond ``chunk`` points the largest group is
-dealt out in portions and only the points outside of it are sent to all of them.
+Equal sets are one point. Large groups of near copies are first drawn together: points with the same least shingle (under
+one random order, then under another) meet in one task, in salted portions of at most ``chunk``, and each is paired with
+the earlier point that it can overlap most; those without one meet again. Verified pairs make groups. Only blocks that
+still hold different groups are joined by their trees, and only pairs across groups count: first a few for each pair of
+groups, then, once those have been verified, all that are left. So every link is found or lies inside a group, and a
+group of thousands of near copies costs time in proportion to its size. In a block beyond ``chunk`` points the largest
+group is dealt out in portions and only the points outside of it are sent to all of them.
+
+What moves: a block key and a number for each first shingle once, points (512 bytes) of those that share one, and for a
+verified pair the text of the end with fewer pairs; the other end's text goes once to each ``chunk`` of its partners.
+Shingles that very many texts hold are counted by partial sums, all others by key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, materialize, mix, shingles, slices, tune, words
@@ -37,8 +42,6 @@ GROUPS = 512
 LEAF = 16
 #: Random orders whose least shingle draws sets together.
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Exact comparisons of a set with leaders, and bytes of leaders held; what is left over, the blocks find.
-TRIES, HELD_BYTES = 8, 1 << 26
 #: Pairs that a block's join returns for each pair of groups in each round; the last round returns all that are left.
 ROUNDS = (3, None)
 
@@ -80,29 +83,56 @@ def group_counts(s: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """uid, doc_id, n_shingles, set key, the first shingles in frequency order, longs to carry: of every row. To be
+    """Of every row: uid, doc_id, place (a hash of id and text), n_shingles, set key, the first shingles in frequency order
+    (those in very frequent sketch buckets as hot, the others as head), point, least shingles, longs to carry. To be
     written before use, as uids hold for one evaluation."""
     import xxhash
 
-    weight = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, n))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("head", pa.list_(pa.int64()))])
-    full = pa.schema([*schema, *((c, pa.int64()) for c in carry)])
+    sketch = frequency_sketch(docs, text, n)
+    weight = docs.sparkSession.sparkContext.broadcast(sketch)
+    much = 8 * sketch.mean() + 2048
+    longs = pa.list_(pa.int64())
+    made = pa.schema([("n_shingles", pa.int64()), ("key", pa.string()), ("head", longs), ("hot", longs), ("point", pa.binary()), *((f"m{k}", pa.int64()) for k in range(len(ORDERS)))])
+    full = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), *made, *((c, pa.int64()) for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weight.value
         for b in batches:
             out = []
-            for i, s in _sets(b.column(1), n):
-                k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                order = np.lexsort((s, w[(s >> np.uint64(48)).astype(np.int64)]))[:k] if k else np.zeros(0, np.int64)
-                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s[order].view(np.int64)))
-            cols = list(zip(*out))
-            arrays = [b.column(0).cast(pa.int64())] + [pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:])]
-            yield pa.RecordBatch.from_arrays(arrays + b.columns[2:], schema=full)
+            for _, s in _sets(b.column(2), n):
+                if not len(s):
+                    out.append((0, None, [], [], None, *[None] * len(ORDERS)))
+                    continue
+                k = len(s) - (percent * len(s) + 99) // 100 + 1
+                of = w[(s >> np.uint64(48)).astype(np.int64)]
+                order = np.lexsort((s, of))[:k]
+                head, hot = s[order].view(np.int64), of[order] > much
+                least = [int(mix(s ^ o).min().view(np.int64)) for o in ORDERS]
+                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), head[~hot], head[hot], group_counts(s).tobytes(), *least))
+            arrays = [pa.array(c, t.type) for c, t in zip(zip(*out), made)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *arrays, *b.columns[3:]], schema=full)
 
-    d = docs.select(F.col(doc_id).cast("long"), F.col(text), *carry)
-    got = d.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, key string, head array<long>", *(f"{c} long" for c in carry)]))
-    return got.withColumn("uid", F.monotonically_increasing_id())
+    d = docs.select(F.col(doc_id).cast("long"), place(doc_id, text), F.col(text), *carry)
+    kinds = ["doc_id long, place long, n_shingles long, key string, head array<long>, hot array<long>, point binary", *(f"m{k} long" for k in range(len(ORDERS))), *(f"{c} long" for c in carry)]
+    return d.mapInArrow(run, ", ".join(kinds)).withColumn("uid", F.monotonically_increasing_id())
+
+
+def place(doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
+def marks(longs: DataFrame, name: str) -> DataFrame:
+    """A bit for each of MARKED hash buckets that holds one of the longs, 64 in a row: at most MARKED / 64 rows (2 MB) however
+    many longs there are, so that it can be broadcast."""
+    k = F.pmod(F.xxhash64(name), F.lit(MARKED)).alias("k")
+    return longs.select(k).groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits"))
+
+
+def marked(df: DataFrame, name: str, bits: DataFrame) -> DataFrame:
+    """The rows of df whose long may be among the marked ones: all that are, and few others."""
+    k = F.pmod(F.xxhash64(name), F.lit(MARKED))
+    x = df.withColumn("k", k).join(F.broadcast(bits), F.shiftright("k", 6) == F.col("w"))
+    return x.where("(shiftright(bits, cast(k & 63 as int)) & 1) = 1").drop("k", "w", "bits")
 
 
 def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -179,75 +209,31 @@ def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tupl
         yield held
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each of MARKED hash buckets that holds one of the ids: of one size however many ids there are."""
-    got = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)
-    bits = np.zeros(MARKED // 8, np.uint8)
-    np.bitwise_or.at(bits, got >> 3, (1 << (got & 7)).astype(np.uint8))
-    return bits
-
-
-def _shapes(docs: DataFrame, some: DataFrame, n: int) -> DataFrame:
-    """(node, size, point, m0, m1, set) of the nodes in some (node, doc_id, key). Other texts are left out by a bitmap of
-    doc_ids before any shuffle. A node can come twice where rows of one id are equal."""
-    import xxhash
-
-    marked = docs.sparkSession.sparkContext.broadcast(_bitmap(some))
-    schema = pa.schema([("key", pa.string()), ("size", pa.int64()), ("point", pa.binary()), ("m0", pa.int64()), ("m1", pa.int64()), ("set", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
-        seen: set[str] = set()
-        for b in batches:
-            k = b.column(1).to_numpy(zero_copy_only=False)
-            texts = b.column(0).filter(pa.array((bits[k >> 3] >> (k & 7) & 1).astype(bool)))
-            out = []
-            for _, s in _sets(texts, n):
-                key = xxhash.xxh3_128_hexdigest(s.tobytes())
-                if len(s) and key not in seen:
-                    seen = seen | {key} if len(seen) < 10_000 else {key}
-                    least = [int(mix(s ^ o).min().view(np.int64)) for o in ORDERS]
-                    out.append((key, len(s), group_counts(s).tobytes(), *least, s.tobytes()))
-            for i in range(0, len(out), 100):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 100]), schema)], schema=schema)
-
-    made = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKED)).alias("k")).mapInArrow(run, "key string, size long, point binary, m0 long, m1 long, set binary")
-    return made.join(some.select("node", "key"), "key").drop("key")
-
-
-def lead(rows: list[tuple[int, bytes, bytes]], percent: int) -> list[tuple[int, int]]:
-    """(node, earlier node that it links with) for (node, point, set) rows; nodes without such a one are left out."""
+def lead(rows: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """(node, earlier node that it can overlap most) for (node, size, point) rows; nodes that can link with no earlier one are
+    left out."""
     out: list[tuple[int, int]] = []
     nodes: list[int] = []
-    sets: list[np.ndarray] = []
     points, sizes = np.zeros((64, GROUPS), np.uint8), np.zeros(64, np.int64)
-    held = 0
-    for node, point, raw in rows:
-        p, s, k = np.frombuffer(point, np.uint8), np.frombuffer(raw, np.uint64), len(nodes)
+    for node, size, point in rows:
+        p, k = np.frombuffer(point, np.uint8), len(nodes)
         if k:
-            need = _need(sizes[:k], len(s), percent)
-            over = np.minimum(points[:k], p).sum(axis=1, dtype=np.int64)
-            fits = np.flatnonzero((over >= need) & (100 * np.minimum(sizes[:k], len(s)) >= percent * np.maximum(sizes[:k], len(s))))
-            fits = fits[np.argsort(-(over / need)[fits], kind="stable")][:TRIES]
-            hit = next((i for i in fits.tolist() if linked(s, sets[i], percent)), None)
-            if hit is not None:
-                if nodes[hit] != node:
-                    out.append((node, nodes[hit]))
+            need = _need(sizes[:k], size, percent)
+            room = np.where(100 * np.minimum(sizes[:k], size) >= percent * np.maximum(sizes[:k], size), np.minimum(points[:k], p).sum(axis=1, dtype=np.int64) / need, 0)
+            best = int(room.argmax())
+            if room[best] >= 1:
+                out.append((node, nodes[best]))
                 continue
-        if held + len(raw) > HELD_BYTES:
-            continue
         if k == len(points):
             points, sizes = np.concatenate([points, np.zeros_like(points)]), np.concatenate([sizes, np.zeros_like(sizes)])
         nodes.append(node)
-        sets.append(s)
-        points[k], sizes[k] = p, len(s)
-        held += len(raw)
+        points[k], sizes[k] = p, size
     return out
 
 
-def _drawn(shapes: DataFrame, by: str, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of nodes that link with root, a node with the same least shingle."""
-    schema = pa.schema([("id", pa.int64()), ("root", pa.int64())])
+def _drawn(shapes: DataFrame, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of points with the same least shingle that may link: each point with one of another at most for each order."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches, 2):
@@ -255,44 +241,44 @@ def _drawn(shapes: DataFrame, by: str, percent: int, chunk: int, keep: Callable[
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], schema=schema)
 
-    made: DataFrame | None = None
-    left = shapes
-    while True:
-        large = keep(left.groupBy(by).count().where(F.col("count") > chunk))
-        salted = not large.isEmpty()
-        x = left
-        salt = F.lit(0)
-        if salted:
-            x = x.join(large, by, "left")
-            salt = F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1))).cast("int")
-        x = x.select(by, salt.alias("salt"), "node", "point", "set")
-        got = keep(x.repartition(by, "salt").sortWithinPartitions(by, "salt", "node").mapInArrow(run, "id long, root long").distinct())
-        made = got if made is None else keep(_composed(made, got))
-        if not salted:
-            return made
-        now = keep(left.join(got.select(F.col("id").alias("node")), "node", "left_anti").join(large.select(by), by, "left_semi"))
-        if 2 * now.count() > large.agg(F.sum("count")).first()[0]:
-            return made  # few came together: the blocks do the rest
-        left = now
-
-
-def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
-    """(id, root) of both, roots of the first moved on by the second."""
-    moved = first.alias("f").join(then.alias("t"), F.col("f.root") == F.col("t.id"), "left").select("f.id", F.coalesce("t.root", "f.root").alias("root"))
-    return moved.unionByName(then.join(first.select("id"), "id", "left_anti"))
+    made: list[DataFrame] = []
+    for k in range(len(ORDERS)):
+        left, by = shapes, f"m{k}"
+        for done in made:
+            left = left.join(done.select(F.col("a").alias("node")), "node", "left_anti")
+        while True:
+            large = keep(left.groupBy(by).count().where(F.col("count") > chunk))
+            n = large.agg(F.sum("count")).first()[0]
+            x, salt = left, F.lit(0)
+            if n:
+                x = x.join(large, by, "left")
+                salt = F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1))).cast("int")
+            x = x.select(by, salt.alias("salt"), "node", "size", "point")
+            got = keep(x.repartition(by, "salt").sortWithinPartitions(by, "salt", "node").mapInArrow(run, "a long, b long"))
+            made.append(got)
+            if not n:
+                break
+            left = keep(left.join(large.select(by), by, "left_semi").join(got.select(F.col("a").alias("node")), "node", "left_anti"))
+            if 2 * left.count() > n:
+                break  # few came together: the blocks do the rest
+    return reduce(DataFrame.unionAll, made)
 
 
-def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """(block, cnt, top, most, node, comp) of the blocks that hold several groups; top is the one with the most points."""
-    now = members.withColumn("comp", F.col("node"))
-    if comp is not None:
-        now = members.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    now = members.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
     per = now.groupBy("block", "comp").agg(F.count("*").alias("n")).groupBy("block")
     per = per.agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("groups"))
     per = per.where("groups > 1").select("block", "cnt", F.col("m.comp").alias("top"), F.col("m.n").alias("most"))
     return now.join(per, "block")
 
 
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(id, root) of both, roots of the first moved on by the second."""
+    moved = first.alias("f").join(then.alias("t"), F.col("f.root") == F.col("t.id"), "left").select("f.id", F.coalesce("t.root", "f.root").alias("root"))
+    return moved.unionByName(then.join(first.select("id"), "id", "left_anti"))
+
+
 def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) -> DataFrame:
     """Distinct pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point) rows; each: so
     many for each pair of groups and block."""
@@ -340,28 +326,59 @@ def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndar
     return p, q
 
 
-def verify(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact shingle sets have the similarity: both sets of a pair meet under its key."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    rows = shapes.select("node", "set").join(ends, "node").select("a", "b", "node", "set")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_key(batches, 2):
-            a, b = rows[0][:2]
-            x, y = (np.frombuffer(next(r[3] for r in rows if r[2] == k), np.uint64) for k in (a, b))
-            if linked(x, y, percent):
-                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], schema=schema)
+def verify(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
+    """The pairs whose exact shingle sets have the similarity. named: (node, place, key).
 
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
+    A pair goes to its end with more pairs, at most ``chunk`` pairs to a task's group; the texts of a group's centre and
+    of its partners meet there and are made into sets again. Other texts are left out by marks before any shuffle.
+    """
+    import xxhash
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    x = pairs.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    first = F.struct("na", "a") > F.struct("nb", "b")
+    x = x.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.ceil(F.greatest("na", "nb") / chunk).alias("parts"))
+    x = x.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = x.select("centre", "salt", "node").unionAll(x.select("centre", "salt", F.col("centre").alias("node")).distinct())
+    rows = rows.join(named, "node")
+    texts = marked(docs.select(place().alias("place"), "text"), "place", marks(named.join(ends, "node", "left_semi"), "place"))
+    both = texts.join(rows, "place").select("centre", "salt", (F.col("node") == F.col("centre")).alias("own"), "node", "key", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _blocks(prof: DataFrame, reps: DataFrame) -> DataFrame:
-    """(block, node) of the first shingles that two or more points hold; of blocks with the same members, one."""
-    heads = prof.join(reps.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.explode("head").alias("block"), F.col("uid").alias("node"))
-    per = heads.groupBy("block").agg(F.count("*").alias("cnt"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t"))
-    one = per.where("cnt > 1").groupBy("cnt", "s", "t").agg(F.min("block").alias("block")).select("block")
-    return heads.join(one, "block", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, None
+        for batch in batches:
+            found = []
+            head = list(zip(*(c.to_pylist() for c in batch.columns[:5])))
+            for i, s in _sets(batch.column(5), n):
+                group, own, node, key = head[i][:2], *head[i][2:]
+                if group != at:
+                    at, centre = group, None
+                if xxhash.xxh3_128_hexdigest(s.tobytes()) != key:
+                    continue  # another text of one hash
+                if own:
+                    centre = s
+                elif centre is not None and linked(s, centre, percent):
+                    found.append((min(node, group[0]), max(node, group[0])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+
+    return both.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("own")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _blocks(prof: DataFrame, reps: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(block, node) of the first shingles that two or more points hold; of blocks with the same members, one. A few rows that
+    are no representatives can be among the nodes."""
+    own = keep(marks(reps, "node"))
+    heads = lambda c: marked(prof.select(F.col("uid").alias("node"), c), "node", own).select(F.explode(c).alias("block"), "node")
+    of = [F.count("*").alias("cnt"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("s")]
+    per = heads("head").repartition("block").groupBy("block").agg(*of).unionAll(heads("hot").groupBy("block").agg(*of))
+    one = keep(per.where("cnt > 1").groupBy("cnt", "lo", "hi", "s").agg(F.min("block").alias("block")))
+    two = one.where("cnt = 2").select("block", F.explode(F.array("lo", "hi")).alias("node"))
+    more = one.where("cnt > 2").select("block")
+    bits = keep(marks(more, "block"))
+    rest = marked(heads("head").unionAll(heads("hot")), "block", bits).join(more, "block", "left_semi")
+    return two.unionAll(rest)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
@@ -393,34 +410,26 @@ def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
     prof = keep(profiles(docs, "doc_id", "text", n, percent, carry))
     rows = prof.select("uid", "doc_id", "n_shingles", "key", *carry)
-    reps = keep(rows.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id"), F.min_by("doc_id", "uid").alias("own")))
-    members = keep(_blocks(prof, reps))
-    some = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("own").alias("doc_id"), "key")
-    shapes = keep(_shapes(docs, keep(some), n))
-    comp: DataFrame | None = None
-    for k in range(len(ORDERS)):
-        x = shapes
-        if comp is not None:
-            now = keep(_open(members, comp))
-            if now.isEmpty():
-                break
-            x = keep(shapes.join(now.select(F.col("comp").alias("node")).distinct(), "node", "left_semi"))
-        got = _drawn(x, f"m{k}", percent, chunk, keep)
-        comp = got if comp is None else keep(_composed(comp, got))
-    tried: DataFrame | None = None
+    reps = keep(prof.where("key is not null").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("class_id"), F.min_by("place", "uid").alias("place")))
+    members = keep(_blocks(prof, reps, keep))
+    some = keep(reps.select("node", "place", "key").join(members.select("node").distinct(), "node", "left_semi"))
+    least = [f"m{k}" for k in range(len(ORDERS))]
+    shapes = keep(prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point", *least).join(some.select("node"), "node", "left_semi"))
+    tried = keep(_drawn(shapes, percent, chunk, keep).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    comp = keep(components(keep(verify(tried, docs, some, n, percent, chunk)), keep).where("id <> root"))
     for each in ROUNDS:
         now = keep(_open(members, comp))
         if now.isEmpty():
             break
-        points = shapes.select("node", "size", "point").dropDuplicates(["node"])
-        pairs = candidates(now.join(points, "node"), percent, chunk, each)
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs
-        good = keep(verify(pairs, shapes, percent))
+        pairs = keep(candidates(now.join(shapes, "node"), percent, chunk, each).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tried = tried.unionAll(pairs)
+        good = keep(verify(pairs, docs, some, n, percent, chunk))
         if not good.isEmpty():
-            of = comp.select("id", "root")
-            named = good.join(of.withColumnsRenamed({"id": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "root": "rb"}), "b", "left")
-            edges = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+            root = lambda c, r: comp.select(F.col("id").alias(c), F.col("root").alias(r))
+            across = good.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
+            edges = across.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
             comp = keep(_composed(comp, components(edges, keep).where("id <> root")))
     named = reps.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
