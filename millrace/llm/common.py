@@ -233,6 +233,11 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, n: int) -> Iterator[np.n
             yield np.zeros(0, np.uint64)
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    return e.groupBy("u").count().where("count > 1").isEmpty() and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = materialize, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for each node of an undirected graph of longs: root is the smallest node id it can reach.
 
@@ -242,8 +247,7 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = materi
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = keep(e)
-    before = None
-    while True:
+    while not _is_stars(e):
         sym = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = sym.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = sym.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
@@ -251,9 +255,5 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = materi
         j = large.join(low2, "u")
         small = j.select("u", F.col("m").alias("v")).unionAll(j.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         e = keep(small)
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(7)))).first()
-        if before == tuple(now):
-            break
-        before = tuple(now)
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(roots)

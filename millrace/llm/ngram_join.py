@@ -14,8 +14,8 @@ a tree in each block of two or more points, and blocks with the same members are
 Equal sets are one point. Large groups of near copies are first drawn together: points with the same least shingle (under
 one random order, then under another) meet in one task, in salted portions of at most ``chunk``, and each is paired with
 the earlier point that it can overlap most; those without one meet again. Verified pairs make groups. Only blocks that
-still hold different groups are joined by their trees, and only pairs across groups count: first a few for each pair of
-groups, then, once those have been verified, all that are left. So every link is found or lies inside a group, and a
+still hold different groups are joined by their trees, and only pairs across groups count: first those of each
+point with the most room, then, once those have been verified, all that are left. So every link is found or lies inside a group, and a
 group of thousands of near copies costs time in proportion to its size. In a block beyond ``chunk`` points the largest
 group is dealt out in portions and only the points outside of it are sent to all of them.
 
@@ -42,8 +42,8 @@ GROUPS = 512
 LEAF = 16
 #: Random orders whose least shingle draws sets together.
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Pairs that a block's join returns for each pair of groups in each round; the last round returns all that are left.
-ROUNDS = (3, None)
+#: Pairs that a block's join returns for each point in each round, those with the most room; the last round returns all that are left.
+ROUNDS = (1, 3, None)
 
 
 def _sets(batch: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -264,12 +264,12 @@ def _drawn(shapes: DataFrame, percent: int, chunk: int, keep: Callable[[DataFram
     return reduce(DataFrame.unionAll, made)
 
 
-def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+def _open(members: DataFrame, comp: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(block, cnt, top, most, node, comp) of the blocks that hold several groups; top is the one with the most points."""
-    now = members.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    now = keep(members.join(comp.select(F.col("id").alias("node"), "root"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp")))
     per = now.groupBy("block", "comp").agg(F.count("*").alias("n")).groupBy("block")
     per = per.agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("groups"))
-    per = per.where("groups > 1").select("block", "cnt", F.col("m.comp").alias("top"), F.col("m.n").alias("most"))
+    per = keep(per.where("groups > 1").select("block", "cnt", F.col("m.comp").alias("top"), F.col("m.n").alias("most")))
     return now.join(per, "block")
 
 
@@ -281,7 +281,7 @@ def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
 
 def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) -> DataFrame:
     """Distinct pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point) rows; each: so
-    many for each pair of groups and block."""
+    many for each point and block."""
     whole, out = F.col("cnt") <= chunk, F.col("comp") != F.col("top")
     n_out, n_top = (F.ceil(c / chunk).cast("int") for c in (F.col("cnt") - F.col("most"), F.col("most")))
     spread = lambda k: F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")
@@ -317,12 +317,12 @@ def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndar
         ps.append(p[differ]), qs.append(q[differ]), rooms.append(room[differ])
     p, q, room = np.concatenate(ps), np.concatenate(qs), np.concatenate(rooms)
     if each is not None and len(p):
-        lo, hi = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
-        order = np.lexsort((-room, hi, lo))
-        lo, hi = lo[order], hi[order]
-        first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        p, q = p[order][rank < each], q[order][rank < each]
+        point_of, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+        order = np.lexsort((-room[pair], point_of))
+        first = np.searchsorted(point_of[order], np.arange(len(comp)))
+        rank = np.arange(len(order)) - first[point_of[order]]
+        best = np.unique(pair[order][rank < each])
+        p, q = p[best], q[best]
     return p, q
 
 
@@ -418,9 +418,10 @@ def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk:
     tried = keep(_drawn(shapes, percent, chunk, keep).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comp = keep(components(keep(verify(tried, docs, some, n, percent, chunk)), keep).where("id <> root"))
     for each in ROUNDS:
-        now = keep(_open(members, comp))
+        now = keep(_open(members, comp, keep))
         if now.isEmpty():
             break
+        members = now.select("block", "node")  # a block that lies in one group never opens again
         pairs = keep(candidates(now.join(shapes, "node"), percent, chunk, each).join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
