@@ -14,8 +14,8 @@ a tree in each block of two or more points, and blocks with the same members are
 Equal sets are one point. Large groups of near copies are first drawn together: points with the same least shingle (under
 one random order, then under another) meet in one task, in salted portions of at most ``chunk``, and each is paired with
 the earlier point that it can overlap most; those without one meet again. Verified pairs make groups. Only blocks that
-still hold different groups are joined by their trees, and only pairs across groups count: first those of each
-point with the most room, then, once those have been verified, all that are left. So every link is found or lies inside a group, and a
+still hold different groups are joined by their trees, and only pairs across groups count: first a few of
+each point, those with the most room; blocks with more come again once those have been verified, in the end with all. So every link is found or lies inside a group, and a
 group of thousands of near copies costs time in proportion to its size. In a block beyond ``chunk`` points the largest
 group is dealt out in portions and only the points outside of it are sent to all of them.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, materialize, mix, shingles, slices, tune, words
+from .common import Scratch, column, components, fresh, materialize, mix, shingles, slices, tune, words
 
 SKETCH = 1 << 16
 MARKED = 1 << 23
@@ -42,8 +42,9 @@ GROUPS = 512
 LEAF = 16
 #: Random orders whose least shingle draws sets together.
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Pairs that a block's join returns for each point in each round, those with the most room; the last round returns all that are left.
-ROUNDS = (1, 3, None)
+#: Pairs that a block's join returns for each point in each round, those with the most room. A block with more of them comes
+#: into the next round; the last round returns all that are left.
+ROUNDS = (4, 16, None)
 
 
 def _sets(batch: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,11 +129,17 @@ def marks(longs: DataFrame, name: str) -> DataFrame:
     return longs.select(k).groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits"))
 
 
+def flagged(df: DataFrame, name: str, bits: DataFrame, flag: str) -> DataFrame:
+    """df with a boolean: whether the long may be among the marked ones (true for all that are, and for few others)."""
+    k, w, b = fresh([*df.columns, flag], "_k", "_w", "_bits")
+    x = df.withColumn(k, F.pmod(F.xxhash64(column(name)), F.lit(MARKED)))
+    x = x.join(F.broadcast(bits.toDF(w, b)), F.shiftright(k, 6) == F.col(w), "left")
+    return x.withColumn(flag, F.coalesce(F.expr(f"(shiftright({b}, cast({k} & 63 as int)) & 1) = 1"), F.lit(False))).drop(k, w, b)
+
+
 def marked(df: DataFrame, name: str, bits: DataFrame) -> DataFrame:
-    """The rows of df whose long may be among the marked ones: all that are, and few others."""
-    k = F.pmod(F.xxhash64(name), F.lit(MARKED))
-    x = df.withColumn("k", k).join(F.broadcast(bits), F.shiftright("k", 6) == F.col("w"))
-    return x.where("(shiftright(bits, cast(k & 63 as int)) & 1) = 1").drop("k", "w", "bits")
+    """The rows of df whose long may be among the marked ones."""
+    return flagged(df, name, bits, "flag").where("flag").drop("flag")
 
 
 def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -280,8 +287,8 @@ def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point) rows; each: so
-    many for each point and block."""
+    """Pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point) rows; each: so many for
+    each point and block. (block, null) for a block that has more."""
     whole, out = F.col("cnt") <= chunk, F.col("comp") != F.col("top")
     n_out, n_top = (F.ceil(c / chunk).cast("int") for c in (F.col("cnt") - F.col("most"), F.col("most")))
     spread = lambda k: F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")
@@ -297,16 +304,19 @@ def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) ->
             if len(np.unique(comp)) < 2:
                 continue
             point = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), GROUPS)
-            p, q = _across(comp, size, point, side, percent, each)
+            p, q, more = _across(comp, size, point, side, percent, each)
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(f(node[p], node[q])) for f in (np.minimum, np.maximum)], schema=schema)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([None], pa.int64())], schema=schema)
 
     dealt = x.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, percent: int, each: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different groups that survive the tree join: within side 0, or between the sides 0 and 1."""
+def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, percent: int, each: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of different groups that survive the tree join: within side 0, or between the sides 0 and 1. Whether there
+    are more."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     a = Tree(point[left], size[left])
     b, other = (Tree(point[right], size[right]), right) if len(right) else (a, left)
@@ -322,8 +332,8 @@ def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndar
         first = np.searchsorted(point_of[order], np.arange(len(comp)))
         rank = np.arange(len(order)) - first[point_of[order]]
         best = np.unique(pair[order][rank < each])
-        p, q = p[best], q[best]
-    return p, q
+        return p[best], q[best], len(best) < len(p)
+    return p, q, False
 
 
 def verify(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
@@ -377,8 +387,8 @@ def _blocks(prof: DataFrame, reps: DataFrame, keep: Callable[[DataFrame], DataFr
     two = one.where("cnt = 2").select("block", F.explode(F.array("lo", "hi")).alias("node"))
     more = one.where("cnt > 2").select("block")
     bits = keep(marks(more, "block"))
-    rest = marked(heads("head").unionAll(heads("hot")), "block", bits).join(more, "block", "left_semi")
-    return two.unionAll(rest)
+    rest = marked(heads("head").unionAll(heads("hot")), "block", bits).join(more, "block")  # a semi join would be moved below the marks
+    return two.unionAll(rest.select("block", "node"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
@@ -421,8 +431,9 @@ def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk:
         now = keep(_open(members, comp, keep))
         if now.isEmpty():
             break
-        members = now.select("block", "node")  # a block that lies in one group never opens again
-        pairs = keep(candidates(now.join(shapes, "node"), percent, chunk, each).join(tried, ["a", "b"], "left_anti"))
+        found = keep(candidates(now.join(shapes, "node"), percent, chunk, each))
+        members = now.join(found.where("b is null").select(F.col("a").alias("block")).distinct(), "block", "left_semi").select("block", "node")
+        pairs = keep(found.where("b is not null").join(tried, ["a", "b"], "left_anti").distinct())
         if pairs.isEmpty():
             continue
         tried = tried.unionAll(pairs)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, slices, tune
+from .common import Scratch, column, mix, shingles, slices, tune, words
 
 #: Bound on the labelled rows that the lexicon and the model are fitted on (a larger set is thinned by a hash of the id).
 MAX_LABELLED = 20_000
@@ -245,10 +245,10 @@ def _terms_of(text: str) -> set[str]:
     return out
 
 
-def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[Term]:
+def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, tried: int | None = None) -> list[Term]:
     """Lexicon of {word or stem*: (toxic, clean documents)}. A stem accepts no misspellings; telling words that begin with
-    it stay beside it with theirs."""
-    tried = sum(w[-1] != "*" for w in counts)
+    it stay beside it with theirs. tried: how many words were looked at, all of counts if not given."""
+    tried = sum(w[-1] != "*" for w in counts) if tried is None else tried
     # so often in toxic documents that chance would not do it for any of the words tried
     least = max(3.0, 0.004 * n_toxic, np.log(2 * tried + 1) / np.log((n_toxic + n_clean) / n_toxic))
 
@@ -268,8 +268,9 @@ def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> li
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from the labelled rows (doc_id, label 0 or 1) of docs. Null labels, ids and texts teach nothing.
 
-    At most about max_labelled rows, thinned by a hash of the id. Rows of the very same text and label count once for the
-    lexicon, else one copied text would make all of its words terms; every row counts for the weights. Without rows of both
+    At most about max_labelled rows, thinned by a hash of the id. Rows of one label whose texts are copies or near copies (about
+    half of their 5-word shingles in common) count once for the lexicon, else one copied text would make all of its words
+    terms; every row counts for the weights. Without rows of both
     labels the model is empty and scores everything 0. Other columns of docs and labels may have any name.
     """
     tune(docs.sparkSession)
@@ -278,35 +279,69 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     some = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0)))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
     scratch = Scratch()
-    known = scratch.keep(texts.join(F.broadcast(some), "id").select("text", "toxic"))
+    known = scratch.keep(texts.join(F.broadcast(some), "id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic"))
     try:
-        return _fit(known)
+        return _fit(known, scratch)
     finally:
         scratch.clear()
 
 
-def _fit(known: DataFrame) -> Model:
-    """The model of (text, toxic) rows."""
+#: Least shingles that tell how alike two labelled texts are, and orders under which near copies meet.
+SKETCH, ORDERS = 64, (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x8CB92BA72F3D8DD7)
+
+
+def _firsts(known: DataFrame) -> set[int]:
+    """One row of each group of near copies of one label. known has max_labelled rows at most, 67 longs of each come here."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lo, hi in slices(b.column(1)):
+                h, row, _ = words(b.column(1).slice(lo, hi - lo))
+                for s in shingles(h, row, hi - lo, 5):
+                    out.append(([int(mix(s ^ np.uint64(o)).min().view(np.int64)) for o in ORDERS], np.sort(mix(s))[:SKETCH].view(np.int64)) if len(s) else ([], []))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.list_(pa.int64())) for c in zip(*out))], names=["row", "y", "m", "least"])
+
+    rows = known.mapInArrow(sign, "row long, y int, m array<long>, least array<long>").toPandas().sort_values("row")
+    seen: dict[tuple, list[int]] = {}
+    least = [set(v) for v in rows["least"]]
+    firsts: set[int] = set()
+    for i, (r, y, m) in enumerate(zip(rows["row"], rows["y"], rows["m"])):
+        places = [(y, k, v) for k, v in enumerate(m)]
+        copy = any(2 * len(least[i] & least[j]) >= min(len(least[i]), len(least[j])) for p in places for j in seen.get(p, ()))
+        if not copy:
+            firsts.add(r)
+            for p in places:
+                seen.setdefault(p, []).append(i)
+    return firsts
+
+
+def _fit(known: DataFrame, scratch: Scratch) -> Model:
+    """The model of (row, text, toxic) rows."""
+    once = _firsts(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         n = [0, 0]
         for b in batches:
-            for t, y in zip(*(c.to_pylist() for c in b.columns)):
-                seen[y].update(_terms_of(t))
-                n[y] += 1
+            for r, t, y in zip(*(c.to_pylist() for c in b.columns)):
+                if r in once:
+                    seen[y].update(_terms_of(t))
+                    n[y] += 1
         for y in (0, 1):
             rows = [("", n[y]), *seen[y].items()]
             for i in range(0, len(rows), 20_000):
                 part = rows[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] * y for x in part], pa.int64()), pa.array([x[1] * (1 - y) for x in part], pa.int64())], names=["term", "toxic", "clean"])
 
-    got = known.distinct().mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = {r.term: (r.t, r.c) for r in got.where("t >= 2 or term = ''").toLocalIterator()}
+    got = known.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    got = scratch.keep(got.where("t >= 2 or term = ''"))
+    tried = got.where("term <> '' and term not like '%*'").count()
+    counts = {r.term: (r.t, r.c) for r in got.where("t >= 5 * c or term = ''").toLocalIterator()}  # no other can be telling
     n_toxic, n_clean = counts.pop("", (0, 0))
     if not n_toxic or not n_clean:
         return Model([], np.zeros(N_FEATURES + 1))
-    model = Model(choose(counts, n_toxic, n_clean), np.zeros(N_FEATURES + 1))
+    model = Model(choose(counts, n_toxic, n_clean, tried), np.zeros(N_FEATURES + 1))
     if not model.terms:
         model.weights[-1] = np.log(n_toxic / n_clean)
         return model
