@@ -36,8 +36,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         some = rows.join(tied, "group").where(F.col("doc_id").eqNullSafe(F.col("id"))).select("group", "k1", "k2", "n")
         least = named.select("text", "k1", "k2").join(some, ["k1", "k2"]).groupBy("group").agg(F.min(F.struct("text", "k1", "k2", "n")).alias("f"))
         stay = materialize(first.where("keys = 1").select("group", "k1", "k2", "n").unionByName(least.select("group", "f.k1", "f.k2", "f.n")))
-    gone = rows.select("k1", "k2").join(stay, ["k1", "k2"], "left_anti").toDF(*both)
-    kept = keyed.join(gone, both, "left_anti")
+    gone = materialize(rows.select("k1", "k2").join(stay, ["k1", "k2"], "left_anti"))
+    (bit,) = fresh(keyed.columns, "_marked")
+    near = ngram_join.flagged(keyed, both[0], materialize(ngram_join.marks(gone, "k1")), bit)  # most rows aren't shuffled
+    kept = near.where(~column(bit)).unionByName(near.where(column(bit)).join(gone.toDF(*both), both, "left_anti").select(*map(column, near.columns))).drop(bit)
     again = materialize(stay.where("n > 1").select("k1", "k2").toDF(*both))
     if not again.isEmpty():
         kept = kept.join(again, both, "left_anti").unionByName(kept.join(again, both, "left_semi").dropDuplicates(both))
