@@ -2,10 +2,12 @@
 
 Cells: centroids are fitted on a bounded hash sample of the distinct vectors; every vector lives in the cell of its
 nearest centroid. Two vectors of different cells i and j whose difference has the length l lie at distances from the
-cells' boundary that add up to that difference's part along c_i - c_j, which for a difference of no special direction is
-about l / sqrt(d) in standard deviation. So a vector is also sent as a guest to each cell whose boundary is within half
-of ``sigmas`` such deviations (l taken at the threshold): then at least one of the two meets the other. Pairs that meet
-twice count in the lower cell.
+cells' boundary that add up to that difference's part along c_i - c_j. That part is at most l, and in standard deviation l
+times the root of the share that the direction c_i - c_j has in the variance around centroids: measured on the sample,
+as the larger of the share over all cells and of one over the number of dimensions that a cell's own vectors fill. So
+a vector is also sent as a guest to each cell whose boundary is within half of ``sigmas`` such deviations, or of l if
+that is less (l taken at the threshold): then at least one of the two meets the other, for certain where vectors fill
+few dimensions (up to sigmas squared). Pairs that meet twice count in the lower cell.
 
 Dense groups: vectors within half of the threshold's angle of their centroid (the cell's core) are all linked with each
 other, and with nothing beyond one and a half times that angle. They are counted, not compared, so that a cell that
@@ -115,8 +117,33 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _fit(one: DataFrame, n: int, cell_rows: int, max_cells: int, sample_rows: int) -> dict[int, tuple[int, np.ndarray]]:
-    """For each vector length, the number of its first cell and its centroids."""
+def spread(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance of the rows of x around their centroids as shares of the whole variance, and for each cell one over the number
+    of dimensions that its rows fill (0 where there are too few rows to tell)."""
+    near = np.concatenate([(x[lo : lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
+    rest = x - c[near]
+    cov = rest.T @ rest
+    few = np.zeros(len(c))
+    for i in range(len(c)):
+        r = rest[near == i]
+        m = len(r)
+        if m >= 32:
+            g = r @ r.T if m < r.shape[1] else r.T @ r
+            few[i] = max(0.0, (g * g).sum() / max(np.trace(g) ** 2, 1e-300) - 1 / (m - 1))
+    return cov / max(np.trace(cov), 1e-300), few
+
+
+def margins(c: np.ndarray, cov: np.ndarray, few: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
+    """For each pair of cells how much nearer its own centroid than the other's a vector may be to be sent there too."""
+    q = c @ cov @ c.T
+    gap2 = np.maximum(2 - 2 * (c @ c.T), 0)
+    share = np.maximum(np.diag(q)[:, None] - 2 * q + np.diag(q)[None, :], 0) / np.maximum(gap2, 1e-12)
+    share = np.maximum(share, np.maximum(few[:, None], few[None, :]))
+    return 0.5 * np.sqrt(2 - 2 * threshold) * np.minimum(1.0, sigmas * np.sqrt(share)) * np.sqrt(gap2)
+
+
+def _fit(one: DataFrame, n: int, cell_rows: int, max_cells: int, sample_rows: int) -> dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each vector length, the number of its first cell, its centroids and the spread around them."""
     share = min(1.0, sample_rows / max(n, 1))
     some = one.where(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") < F.lit(int(share * (1 << 32)) + (share == 1.0))).select("dim", "key", "unit")
     by: dict[int, list[tuple[str, np.ndarray]]] = {}
@@ -126,7 +153,8 @@ def _fit(one: DataFrame, n: int, cell_rows: int, max_cells: int, sample_rows: in
     for dim, rows in sorted(by.items()):
         x = np.stack([v for _, v in sorted(rows, key=lambda r: r[0])])
         k = int(min(max_cells, max(1, len(x) / share // cell_rows), len(x)))
-        out[dim] = at, spherical_kmeans(x, k)
+        c = spherical_kmeans(x, k)
+        out[dim] = (at, c, *spread(x, c))
         at += k
     return out
 
@@ -138,10 +166,7 @@ def _place(one: DataFrame, shared, threshold: float, sigmas: float) -> DataFrame
     inner, outer = np.cos(angle / 2), np.cos(1.5 * angle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = {}
-        for dim, (_, c) in shared.value.items():
-            g = 2 - 2 * (c @ c.T)
-            gaps[dim] = np.sqrt(np.maximum(g, 0))
+        limits = {dim: margins(c, cov, few, threshold, sigmas) for dim, (_, c, cov, few) in shared.value.items()}
         for b in batches:
             dims = b.column(2).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
@@ -154,12 +179,11 @@ def _place(one: DataFrame, shared, threshold: float, sigmas: float) -> DataFrame
                     no = pa.array(np.zeros(len(rows), bool))
                     yield pa.RecordBatch.from_arrays([own, own, pa.array(node), pa.array(m), no, pa.array(np.ones(len(rows), bool)), pa.array([[]] * len(rows), pa.list_(pa.int32())), units], schema=schema)
                     continue
-                first, c = shared.value[dim]
+                first, c = shared.value[dim][:2]
                 s = x @ c.T
                 home = s.argmax(axis=1)
                 top = s[np.arange(len(x)), home]
-                margin = 0.5 * sigmas * np.sqrt((2 - 2 * threshold) / dim)
-                near = top[:, None] - s <= margin * gaps[dim][home]
+                near = top[:, None] - s <= limits[dim][home] + 1e-9
                 near[np.arange(len(x)), home] = True
                 r, j = np.nonzero(near)
                 visits = [(first + np.flatnonzero(v)).tolist() for v in near]

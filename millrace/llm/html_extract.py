@@ -43,6 +43,12 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login comment comments disqus "
     "replies respond related recommended share sharing social toolbar pagination pager search dialog".split()
 )
+#: Parts of class names that say nothing of the content: a name of such parts and a mark is a mark.
+NEUTRAL = frozenset("box list links link bar block section container wrapper wrap area top bottom left right upper lower unit item items inner outer text panel site page global main primary secondary mobile desktop header slot row col column grid card group buttons button icons icon form by js u c".split())
+#: Elements that stay inside a head; any other ends one that was not closed.
+_HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Blocks that are looked at only to leave them out. They end where the next block starts.
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address".split())
 _ALWAYS_OPEN = frozenset(("html", "body", "main"))
 
 
@@ -54,8 +60,9 @@ def _role(tag: str, attrs: str) -> str:
     if not attrs.strip() or tag in ("html", "body"):
         return "content" if tag in CONTENT else "plain"
     found = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(attrs)}
-    marks = set(re.findall(r"[a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role"))))
-    if tag not in _ALWAYS_OPEN and (marks & MARKS or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")):
+    names = [re.findall(r"[a-z]+", x) for x in " ".join(found.get(k, "") for k in ("class", "id", "role")).split()]
+    boiler = any(parts and MARKS & set(parts) and set(parts) <= MARKS | NEUTRAL for parts in names)
+    if tag not in _ALWAYS_OPEN and (boiler or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")):
         return "drop"
     if tag in CONTENT or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
         return "content"
@@ -105,7 +112,14 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
                 i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if i is not None:
                     pop_to(i)
+            elif stack and stack[-1][0] == tag:
+                pop_to(len(stack) - 1)
             continue
+        if stack and stack[-1][0] == "head" and tag not in _HEAD:
+            pop_to(len(stack) - 1)
+            buf.clear()
+        if stack and stack[-1][0] in _LEAVES and tag not in INLINE and tag not in VOID:
+            pop_to(len(stack) - 1)
         if tag in VOID or m[3].endswith("/") and tag not in CONTAINERS:
             continue
         role = _role(tag, m[3])
@@ -113,7 +127,7 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
             role = "drop"
         if tag in CONTENT and role == "content" and drop and stack[-1][0] in ("nav", "header", "div", "ul") and not content:
             pop_to(next(i for i, x in enumerate(stack) if x[1] == "drop"))  # a menu or advert that was never closed
-        if tag in CONTAINERS or role == "drop" and tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
+        if tag in CONTAINERS or role == "drop" and tag in _LEAVES:
             stack.append((tag, role))
             content += role == "content"
             drop += role == "drop"

@@ -245,12 +245,16 @@ def _terms_of(text: str) -> set[str]:
     return out
 
 
+def least_count(tried: int, n_toxic: int, n_clean: int) -> float:
+    """So often a word must be in toxic documents that chance would not do it for any of the words tried."""
+    return float(max(3.0, 0.004 * n_toxic, np.log(2 * tried + 1) / np.log((n_toxic + n_clean) / n_toxic)))
+
+
 def choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, tried: int | None = None) -> list[Term]:
     """Lexicon of {word or stem*: (toxic, clean documents)}. A stem accepts no misspellings; telling words that begin with
     it stay beside it with theirs. tried: how many words were looked at, all of counts if not given."""
     tried = sum(w[-1] != "*" for w in counts) if tried is None else tried
-    # so often in toxic documents that chance would not do it for any of the words tried
-    least = max(3.0, 0.004 * n_toxic, np.log(2 * tried + 1) / np.log((n_toxic + n_clean) / n_toxic))
+    least = least_count(tried, n_toxic, n_clean)
 
     def telling(t: int, c: int) -> bool:
         return t >= least and t / n_toxic >= 30 * (c + 0.5) / n_clean and t >= 5 * c
@@ -299,18 +303,23 @@ def _firsts(known: DataFrame) -> set[int]:
             for lo, hi in slices(b.column(1)):
                 h, row, _ = words(b.column(1).slice(lo, hi - lo))
                 for s in shingles(h, row, hi - lo, 5):
-                    out.append(([int(mix(s ^ np.uint64(o)).min().view(np.int64)) for o in ORDERS], np.sort(mix(s))[:SKETCH].view(np.int64)) if len(s) else ([], []))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.list_(pa.int64())) for c in zip(*out))], names=["row", "y", "m", "least"])
-
-    rows = known.mapInArrow(sign, "row long, y int, m array<long>, least array<long>").toPandas().sort_values("row")
+                    out.append(([int(mix(s ^ np.uint64(o)).min().view(np.int64)) for o in ORDERS], np.sort(mix(s))[:SKETCH].tobytes()) if len(s) else ([], b""))
+            m = [pa.array([x[0][k] if x[0] else None for x in out], pa.int64()) for k in range(len(ORDERS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[1] for x in out], pa.binary()), *m], names=["row", "y", "least", *(f"m{k}" for k in range(len(ORDERS)))])
+
+    kinds = "row long, y int, least binary, " + ", ".join(f"m{k} long" for k in range(len(ORDERS)))
+    got = known.mapInArrow(sign, kinds).orderBy("row").toArrow().combine_chunks()
+    rows, label, least = got["row"].to_numpy(), got["y"].to_numpy(), got["least"]
+    orders = [got[f"m{k}"] for k in range(len(ORDERS))]
     seen: dict[tuple, list[int]] = {}
-    least = [set(v) for v in rows["least"]]
     firsts: set[int] = set()
-    for i, (r, y, m) in enumerate(zip(rows["row"], rows["y"], rows["m"])):
-        places = [(y, k, v) for k, v in enumerate(m)]
-        copy = any(2 * len(least[i] & least[j]) >= min(len(least[i]), len(least[j])) for p in places for j in seen.get(p, ()))
+    sketch = lambda i: np.frombuffer(least[i].as_py(), np.int64)
+    for i in range(len(rows)):
+        places = [(int(label[i]), k, v.as_py()) for k, m in enumerate(orders) if (v := m[i]).is_valid]
+        own = sketch(i)
+        copy = any(2 * len(np.intersect1d(own, other := sketch(j), assume_unique=True)) >= min(len(own), len(other)) for p in places for j in seen.get(p, ()))
         if not copy:
-            firsts.add(r)
+            firsts.add(int(rows[i]))
             for p in places:
                 seen.setdefault(p, []).append(i)
     return firsts
@@ -336,8 +345,16 @@ def _fit(known: DataFrame, scratch: Scratch) -> Model:
 
     got = known.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     got = scratch.keep(got.where("t >= 2 or term = ''"))
+    whole = got.where("term = ''").first()
     tried = got.where("term <> '' and term not like '%*'").count()
-    counts = {r.term: (r.t, r.c) for r in got.where("t >= 5 * c or term = ''").toLocalIterator()}  # no other can be telling
+    least = least_count(tried, whole.t, whole.c) if whole and whole.t and whole.c else 0
+    telling = got.where((F.col("t") >= least) & (F.col("t") >= 5 * F.col("c")))  # all that choose can take
+    stems = telling.where("term like '%*'").select(F.expr("left(term, length(term) - 1)").alias("stem"))
+    kin = got.where("c = 0 and term not like '%*'").withColumn("stem", F.explode(F.array(*[F.substring("term", 1, k) for k in range(4, 9)])))
+    kin = kin.join(stems, "stem", "left_semi").select(*got.columns)
+    counts = {r.term: (r.t, r.c) for r in telling.unionAll(kin).distinct().collect()}
+    if whole:
+        counts[""] = (whole.t, whole.c)
     n_toxic, n_clean = counts.pop("", (0, 0))
     if not n_toxic or not n_clean:
         return Model([], np.zeros(N_FEATURES + 1))

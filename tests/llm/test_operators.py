@@ -594,3 +594,62 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     expect = [(1, text(1)), (2, text(2)), (None, text(3)), (5, text(4)), (1, text(5)), (6, text(6) + " a"), *(r[:2] for r in bare)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(expect, key=str)
+
+
+def test_low_dimensional_vectors_lose_no_link(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((4000, 6)) @ np.linalg.qr(rng.standard_normal((384, 6)))[0].T
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert [n for _, n in sorted((r.vec_id, r.n_links) for r in got.collect())] == links.sum(axis=1).tolist()
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><body><p>hello world</p></body></html>", "hello world"),
+    ("<article><p>a</p><p class=advert>BUY</p><ul><li class='share'>s<li>keep</ul><p class='comment'>c</p>z</article>", "a\nkeep\nz"),
+    ("<div class='social-science'>x</div><section id='related-work'>y</section><div class='ad-box'>n</div>", "x\ny"),
+])
+def test_page_markup(page, text):
+    assert html_extract.main_text(html_extract.lines(page), []) == text
+
+
+def test_terms_of_any_script_and_number_of_automata():
+    terms = [toxicity.Term("你好世界"), toxicity.Term("ab"), toxicity.Term("terrible"), toxicity.Term("한국어욕설")]
+    for lexicon in (toxicity.Lexicon(terms), toxicity.Lexicon(terms, cells=64)):
+        for text, at in (("说 你好世界。", 2), ("ab", 0), ("a terible day", 2), ("(한국어욕설)", 1)):
+            assert lexicon.find(text)[1].tolist() == [at]
+        assert len(lexicon.find("你好 世界 abc")[1]) == 0
+    assert len(toxicity.Lexicon(terms, cells=64).parts) > 1
+
+
+def test_every_labelled_text_counts_once_per_group_of_copies(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    rows = [text() for _ in range(50)]
+    near = rows[0].rsplit(" ", 1)[0] + " other"
+    every = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*rows, rows[0], near])], "row long, text string, toxic int")
+    assert toxicity._firsts(every) == set(range(50))
+
+
+def test_alignment_memory_is_bounded_for_long_items(spark):
+    rng = random.Random(5)
+    item = [f"w{rng.randrange(3000)}" for _ in range(3000)]
+    rows = [(i, " ".join(["intro"] * 5 + item + ["end"] * 5)) for i in range(70)] + [(99, "nothing here")]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.score, r.first_word) for r in got) == [(i, 1.0, 5) for i in range(70)]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    want = con.execute(queries.ORACLE[name]).df()
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
+    key = lambda d: sorted(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False))
+    assert key(got) == key(want)
