@@ -742,6 +742,17 @@ def automl_binary(spark, d):
     return automl.TabularAutoML("binary", n_folds=2).fit_predict(x, "y", "o_orderkey")
 
 
+@query("automl_multiclass", "SELECT o_orderstatus, count(*) AS n, count(*) AS n_predicted, count(*) AS n_distributions FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IS NOT NULL GROUP BY 1")
+def automl_multiclass(spark, d):
+    """The SQL states what must hold of any model: each row once, with a distribution over the three classes."""
+    x = joined(spark, d).drop("fold", "y", "o_custkey")
+    out = automl.TabularAutoML("multiclass", n_folds=2).fit_predict(x, "o_orderstatus", "o_orderkey")
+    p = F.col("prediction")
+    whole = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
+    fine = (F.size(p) == 3) & (F.abs(whole - 1) < 1e-9) & F.forall(p, lambda v: v.between(0, 1))
+    return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("prediction").alias("n_predicted"), F.sum(fine.cast("long")).alias("n_distributions"))
+
+
 @query("pca")
 def pca(spark, d):
     return selection.project(table(spark, d, "embeddings"), "embedding", "vec_id", 500)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .scalar import clip
 
@@ -138,7 +139,10 @@ class Metric:
     sign: int
 
     def of(self, df: DataFrame, target: str, prediction: str, drop_missing: bool = True) -> float:
-        x = df.where(F.col(prediction).isNotNull() & ~F.isnan(prediction)) if drop_missing else df
+        p = F.col(prediction)
+        several = isinstance(df.schema[prediction].dataType, ArrayType)
+        missing = F.exists(p, lambda v: v.isNull() | F.isnan(v)) if several else F.isnan(p)
+        x = df.where(p.isNotNull() & ~missing) if drop_missing else df
         if self.name == "auc":
             v = auc(x, target, prediction).first()
             return float("nan") if v is None or v.auc is None else v.auc
@@ -146,7 +150,18 @@ class Metric:
         return float("nan") if v is None else self.sign * v
 
 
+def crossent_of(t: Column, p: Column, eps: float = 1e-15) -> Column:
+    """Cross-entropy of class numbers under an array with a probability for each class."""
+    return _mean(-F.log(clip(F.element_at(p, t.cast("int") + 1), eps, 1 - eps)), None)
+
+
+def accuracy_of(t: Column, p: Column) -> Column:
+    """Share of the rows whose first class with the greatest probability is the true one."""
+    return _mean((F.array_position(p, F.array_max(p)) - 1 == t).cast("double"), None)
+
+
 METRICS = {
+    "multiclass": {"crossent": Metric("crossent", crossent_of, -1), "accuracy": Metric("accuracy", accuracy_of, 1)},
     "binary": {"auc": Metric("auc", None, 1), "logloss": Metric("logloss", logloss, -1), "accuracy": Metric("accuracy", accuracy, 1)},
     "reg": {
         "mse": Metric("mse", mse, -1), "mae": Metric("mae", mae, -1), "r2": Metric("r2", r2, 1), "rmsle": Metric("rmsle", rmsle, -1),

@@ -15,14 +15,24 @@ def mean_blend(columns: list[str]) -> Column:
     return weighted_blend(columns, [1.0] * len(columns))
 
 
-def weighted_blend(columns: list[str], weights: list[float]) -> Column:
+def weighted_blend(columns: list[str | Column], weights: list[float]) -> Column:
     """Weighted mean, the weights scaled to those of the models that predicted; null if none with a weight did."""
-    pairs = [(known(F.col(c)), float(w)) for c, w in zip(columns, weights)]
+    pairs = [(known(F.col(c) if isinstance(c, str) else c), float(w)) for c, w in zip(columns, weights)]
     total = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in pairs), F.lit(0.0))
     weight = sum((F.when(x.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for x, w in pairs), F.lit(0.0))
     return F.when(weight > 0, total / weight)
 
 
+def class_blend(n_classes: int) -> Callable[[list[str], list[float]], Column]:
+    """The weighted blend of models whose predictions are arrays with a probability for each class."""
+
+    def blend(columns: list[str], weights: list[float]) -> Column:
+        each = F.array(*[weighted_blend([F.col(c)[i] for c in columns], weights) for i in range(n_classes)])
+        return F.when(~F.exists(each, lambda p: p.isNull()), each)
+
+    return blend
+
+
 def best_model(df: DataFrame, columns: list[str], metric: Callable[[Column], Column], sign: int = 1) -> str:
     """The column with the best metric (an aggregate of a prediction column); one pass for all."""
     row = df.agg(*[(metric(F.col(c)) * sign).alias(f"m{i}") for i, c in enumerate(columns)]).first()
@@ -44,12 +54,12 @@ def shifted(weights: list[float], i: int, value: float, least: float = 0.05) ->
     return out
 
 
-def optimise_weights(df: DataFrame, columns: list[str], metric: Callable[[Column], Column], sign: int = 1, rounds: int = 5, grid: int = 8, refine: int = 2) -> list[float]:
+def optimise_weights(df: DataFrame, columns: list[str], metric: Callable[[Column], Column], sign: int = 1, rounds: int = 5, grid: int = 8, refine: int = 2, blended: Callable[[list[str], list[float]], Column] = weighted_blend) -> list[float]:
     """Weights found coordinate by coordinate; each pass tries a whole grid of values in one aggregate, then finer ones."""
     weights = [1.0 / len(columns)] * len(columns)
 
     def scores(cands: list[list[float]]) -> list[float]:
-        row = df.agg(*[(metric(weighted_blend(columns, w)) * sign).alias(f"m{i}") for i, w in enumerate(cands)]).first()
+        row = df.agg(*[(metric(blended(columns, w)) * sign).alias(f"m{i}") for i, w in enumerate(cands)]).first()
         return [float("-inf") if v is None else v for v in row]
 
     best = scores([weights])[0]

@@ -136,6 +136,50 @@ class TargetEncoder:
         return Lookup(self.full, self.columns, {"code": ("oof", self.prior)}, "oof").apply(df)
 
 
+@dataclass
+class MulticlassTargetEncoder:
+    """Out-of-fold class shares of several columns' values: oof_0__x, oof_1__x, ...
+
+    cells: (feature, value, fold, alpha, code_0, ...) of `multiclass_target_encoder`; full: (feature, value, code_0, ...)
+    over all rows with the same alpha, for new data; priors: the classes' shares, which unseen values get.
+    """
+
+    cells: DataFrame
+    full: DataFrame
+    priors: list[float]
+    columns: list[str]
+    fold: str
+
+    @staticmethod
+    def fit(df: DataFrame, columns: list[str], target: str, fold: str, classes: list, alphas: tuple[float, ...] = ALPHAS) -> MulticlassTargetEncoder:
+        k = range(len(classes))
+        hits = [F.sum((F.col(target) == F.lit(c)).cast("double")).alias(f"s{i}") for i, c in zip(k, classes)]
+        row = df.agg(*hits, F.count(target).alias("n")).first()
+        priors = [(row[f"s{i}"] or 0.0) / max(row.n, 1) for i in k]
+        cells = None
+        for c in columns:
+            t = multiclass_target_encoder(df, c, target, fold, classes, alphas).withColumn("feature", F.lit(c))
+            cells = t if cells is None else cells.unionByName(t)
+        best = cells.groupBy("feature").agg(F.max("alpha").alias("alpha"))
+        whole = unpivoted(df, columns, target).groupBy("feature", "value").agg(*hits, F.count(target).alias("n")).join(best, "feature")
+        codes = [((F.col(f"s{i}") + F.col("alpha") * F.lit(p)) / (F.col("n") + F.col("alpha"))).alias(f"code_{i}") for i, p in zip(k, priors)]
+        return MulticlassTargetEncoder(cells, whole.select("feature", "value", *codes), priors, columns, fold)
+
+    def _outputs(self) -> dict[str, tuple[str, object]]:
+        return {f"code_{i}": (f"oof_{i}", p) for i, p in enumerate(self.priors)}
+
+    def apply_train(self, df: DataFrame) -> DataFrame:
+        for c in self.columns:
+            codes = [F.col(k).alias(f"{name}__{c}") for k, (name, _) in self._outputs().items()]
+            t = self.cells.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col(self.fold).alias("_f"), *codes)
+            df = df.join(t, F.col(c).cast("string").eqNullSafe(F.col("_v")) & (F.col(self.fold) == F.col("_f")), "left").drop("_v", "_f")
+        return df
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """New rows: codes over all training rows; unseen values get the classes' shares."""
+        return Lookup(self.full, self.columns, self._outputs(), "oof").apply(df)
+
+
 def multiclass_target_encoder(df: DataFrame, column: str, target: str, fold: str, classes: list, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(value, fold, alpha, code_0..): out-of-fold class shares of a column's values, adding up to 1.
 

@@ -23,6 +23,9 @@ from ..plans.folds import splits
 L2_PATH = (1e-5, 5e-5, 1e-4, 5e-4, 1e-3, 5e-3, 1e-2, 5e-2, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1e3, 5e3, 1e4, 5e4, 1e5)
 L1_PATH = (1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0, 1e3, 1e4, 1e5)
 
+#: What a search over strengths or parameters makes smallest.
+LOSSES = {"reg": METRICS["reg"]["mse"], "binary": METRICS["binary"]["logloss"], "multiclass": METRICS["multiclass"]["crossent"]}
+
 
 @dataclass
 class Timer:
@@ -75,7 +78,8 @@ class Fitted:
     def _one(self, df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
         out = model.transform(df)
         if self.task == "multiclass":
-            got = {name: vector_to_array("_prob")}
+            p = vector_to_array("_prob")  # a fold without the last classes has a shorter vector
+            got = {name: F.array(*[F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) for k in range(self.n_classes)])}
         elif self.task == "binary":
             got = {name: vector_to_array("_prob")[1]}
         else:
@@ -134,20 +138,20 @@ def fit_folds(df: DataFrame, features: list[str], target: str, task: str, estima
     return fitted, out
 
 
-def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_folds: int, name: str, l1: bool = False, path: tuple[float, ...] | None = None, patience: int = 2, timer: Timer | None = None) -> tuple[Fitted, DataFrame, float]:
+def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_folds: int, name: str, l1: bool = False, path: tuple[float, ...] | None = None, patience: int = 2, timer: Timer | None = None, n_classes: int = 1) -> tuple[Fitted, DataFrame, float]:
     """The best strength of a path from strong to weak regularisation, stopping after patience strengths without gain.
 
     Strength C means a penalty of 1/(2 n C) for the log loss and sd(y)/(4 n C) for squared error.
     """
     n = df.count()
     sd = df.agg(F.stddev_pop(F.col(target).cast("double")).alias("s")).first().s or 1.0 if task == "reg" else 1.0
-    metric = METRICS["reg"]["mse"] if task == "reg" else METRICS["binary"]["logloss"]
+    metric = LOSSES[task]
     best, bad = None, 0
     for c in path or (L1_PATH if l1 else L2_PATH):
         if best and timer is not None and timer.out():
             break
         reg = 1 / (n * c) if l1 and task != "reg" else 1 / (2 * n * c) if task != "reg" else sd / (4 * n * c)
-        fitted, out = fit_folds(df, features, target, task, linear(task, reg, l1), n_folds, name)
+        fitted, out = fit_folds(df, features, target, task, linear(task, reg, l1), n_folds, name, n_classes=n_classes)
         score = metric.of(out, target, name)
         if best is None or score > best[0]:
             best, bad = (score, fitted, out, c), 0
@@ -158,7 +162,7 @@ def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_fo
     return best[1], best[2], best[3]
 
 
-def tune(df: DataFrame, features: list[str], target: str, task: str, key: str, trials: int = 4, seed: int = 42, timer: Timer | None = None) -> dict:
+def tune(df: DataFrame, features: list[str], target: str, task: str, key: str, trials: int = 4, seed: int = 42, timer: Timer | None = None, n_classes: int = 1) -> dict:
     """Tree parameters by a seeded random search on a hash holdout, within a budget of trials and time."""
     import random
 
@@ -166,14 +170,14 @@ def tune(df: DataFrame, features: list[str], target: str, task: str, key: str, t
     h = hash_unit(F.concat_ws(":", F.lit("tune"), F.col(key).cast("string")))
     y = df.withColumn("_y", F.col(target).cast("double"))
     train, valid = y.where(h >= 0.2), y.where(h < 0.2)
-    metric = METRICS["reg"]["mse"] if task == "reg" else METRICS["binary"]["logloss"]
+    metric = LOSSES[task]
     best = None
     for _ in range(trials):
         if best and timer is not None and timer.out():
             break
         params = {"depth": rng.randint(2, 6), "rounds": rng.choice([10, 20, 40]), "rate": 10 ** rng.uniform(-1.5, -0.5)}
         model = Pipeline(stages=[_assemble(features), trees(task, **params)]).fit(train)
-        score = metric.of(Fitted([model], task, "_s").predict(valid), target, "_s")
+        score = metric.of(Fitted([model], task, "_s", n_classes).predict(valid), target, "_s")
         if best is None or score > best[0]:
             best = score, params
     return best[1]

@@ -23,11 +23,11 @@ class Features:
     flags: numeric.NanFlags
     fill: numeric.FillMedian
     scale: numeric.StandardScaler
-    means: categorical.TargetEncoder | None
+    means: categorical.TargetEncoder | categorical.MulticlassTargetEncoder | None
     counts: categorical.Lookup | None
 
     @staticmethod
-    def fit(df: DataFrame, roles: dict[str, Role], target: str, binary: bool, fold: str = "fold") -> Features:
+    def fit(df: DataFrame, roles: dict[str, Role], target: str, task: str, fold: str = "fold", n_classes: int = 2) -> Features:
         by = lambda n: [c for c, r in roles.items() if r.name == n and c != target]
         numbers, categories, times = by("numeric"), by("category"), by("datetime")
         nums = numbers + [f"time__{c}" for c in times]
@@ -35,7 +35,11 @@ class Features:
         fill = numeric.FillMedian.fit(x, nums) if nums else numeric.FillMedian({})
         filled = fill.apply(x)
         scale = numeric.StandardScaler.fit(filled, [f"fillnamed__{c}" for c in nums]) if nums else numeric.StandardScaler({})
-        means = categorical.TargetEncoder.fit(df, categories, target, fold, binary) if categories else None
+        means = None
+        if categories and task == "multiclass":
+            means = categorical.MulticlassTargetEncoder.fit(df, categories, target, fold, list(range(n_classes)))
+        elif categories:
+            means = categorical.TargetEncoder.fit(df, categories, target, fold, task == "binary")
         counts = categorical.freq_encoder(df, categories) if categories else None
         return Features(numbers, categories, times, numeric.NanFlags.fit(df, numbers) if numbers else numeric.NanFlags([]), fill, scale, means, counts)
 
@@ -46,14 +50,23 @@ class Features:
             x = self.counts.apply(self.means.apply_train(x) if train else self.means.apply(x))
         return x
 
+    @property
+    def oof(self) -> list[str]:
+        """Prefixes of the target means: one, or one for each class."""
+        return [f"oof_{i}" for i in range(len(self.means.priors))] if isinstance(self.means, categorical.MulticlassTargetEncoder) else ["oof"]
+
     @property
     def names(self) -> list[str]:
-        return [f"nanflg__{c}" for c in self.flags.columns] + [f"scaler__{c}" for c in self.scale.stats] + [f"{p}__{c}" for p in ("oof", "freq") for c in self.categories]
+        return [f"nanflg__{c}" for c in self.flags.columns] + [f"scaler__{c}" for c in self.scale.stats] + [f"{p}__{c}" for p in (*self.oof, "freq") for c in self.categories]
 
 
 @dataclass
 class TabularAutoML:
-    """fit_predict gives out-of-fold predictions of the blend, predict those of new rows."""
+    """fit_predict gives out-of-fold predictions of the blend, predict those of new rows.
+
+    With the task multiclass, targets are of any type, classes holds them in order, rows without a target are left out of
+    training and of the result, and a prediction is an array with the probability of each class.
+    """
 
     task: str
     n_folds: int = 3
@@ -66,29 +79,35 @@ class TabularAutoML:
         names = [c for c, r in guessed.items() if r.name != "drop"]
         ok = {r.feature for r in usable(profile(df, names)).where("ok").collect()}
         self.roles = {c: r for c, r in guessed.items() if c in ok}
+        several = self.task == "multiclass"
+        if several:
+            self.classes = sorted(r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect())
+            df = df.where(F.col(target).isNotNull()).withColumn("_class", (F.array_position(F.array(*map(F.lit, self.classes)), F.col(target)) - 1).cast("int"))
+        k, label = (len(self.classes), "_class") if several else (1, target)
         x = kfold(df, key, self.n_folds) if self.task == "reg" else stratified_kfold(df, key, target, self.n_folds)
-        self.features = Features.fit(x, self.roles, target, self.task != "reg")
+        self.features = Features.fit(x, self.roles, label, self.task, n_classes=k)
         x = self.features.apply(x, train=True)
         self.models = []
         for a in self.algorithms:
             if self.models and timer.out():
                 break
             if a == "linear":
-                m, x, _ = models.linear_path(x, self.features.names, target, self.task, self.n_folds, "pred_linear", path=(1e-3, 1e-1, 10.0), timer=timer)
+                m, x, _ = models.linear_path(x, self.features.names, label, self.task, self.n_folds, "pred_linear", path=(1e-3, 1e-1, 10.0), timer=timer, n_classes=k)
             else:
-                m, x = models.fit_folds(x, self.features.names, target, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer)
+                m, x = models.fit_folds(x, self.features.names, label, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer, n_classes=k)
             self.models.append(m)
-        y = F.col(target).cast("double")
-        loss = (lambda p: M.mse(y, p)) if self.task == "reg" else (lambda p: M.logloss(y, p))
+        y = F.col(label).cast("double")
+        loss = {"reg": M.mse, "binary": M.logloss, "multiclass": M.crossent_of}[self.task]
+        self.blended = blend.class_blend(k) if several else blend.weighted_blend
         preds = [m.name for m in self.models]
-        self.weights = blend.optimise_weights(x, preds, loss, -1, rounds=1) if len(preds) > 1 else [1.0]
-        return x.withColumn("prediction", blend.weighted_blend(preds, self.weights)).select(key, target, *preds, "prediction")
+        self.weights = blend.optimise_weights(x, preds, lambda p: loss(y, p), -1, rounds=1, blended=self.blended) if len(preds) > 1 else [1.0]
+        return x.withColumn("prediction", self.blended(preds, self.weights)).select(key, target, *preds, "prediction")
 
     def predict(self, df: DataFrame) -> DataFrame:
         x = self.features.apply(df)
         for m in self.models:
             x = m.predict(x)
-        return x.withColumn("prediction", blend.weighted_blend([m.name for m in self.models], self.weights)).select(*df.columns, "prediction")
+        return x.withColumn("prediction", self.blended([m.name for m in self.models], self.weights)).select(*df.columns, "prediction")
 
 
 def partial_dependence(model: TabularAutoML, df: DataFrame, column: str, values: list) -> DataFrame:

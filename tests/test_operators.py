@@ -173,3 +173,26 @@ def test_text_and_vector_queries_do_the_whole_job(spark):
     assert len(catalogue.QUERIES["pca"](spark, at).columns) == 1 + min(500, dims - 1)
     voc = catalogue.QUERIES["document_frequencies"](spark, at).count()
     assert catalogue.QUERIES["tfidf_whole"](spark, at).select("token").distinct().count() == voc > 1000
+
+
+def test_multiclass_automl(spark):
+    from millrace.operators.categorical import MulticlassTargetEncoder
+    from millrace.plans.automl import TabularAutoML
+
+    rows = [(i, "abc"[i % 3], float(i % 3 * 10 + i % 7), None if i % 11 == 0 else "xyz"[(i + i // 50) % 3]) for i in range(240)]
+    df = spark.createDataFrame([*rows, (240, None, 1.0, "x")], "id int, kind string, size double, colour string")
+    model = TabularAutoML("multiclass", n_folds=2)
+    out = model.fit_predict(df, "kind", "id").toPandas()
+    assert model.classes == ["a", "b", "c"] and len(out) == 240  # the row without a target is left out
+    p = np.array(out["prediction"].tolist())
+    assert np.allclose(p.sum(axis=1), 1) and (np.array(model.classes)[p.argmax(axis=1)] == out["kind"]).mean() > 0.95
+    new = spark.createDataFrame([(1, 2.0, "x"), (2, 22.0, "unseen"), (3, None, None)], "id int, size double, colour string")
+    got = {r.id: r.prediction for r in model.predict(new).collect()}
+    assert np.argmax(got[1]) == 0 and np.argmax(got[2]) == 2 and abs(sum(got[3]) - 1) < 1e-9
+
+    x = spark.createDataFrame([(0, "u", 0), (0, "u", 1), (1, "u", 2), (2, "v", 0), (2, "v", 3)], "y int, c string, fold int").withColumn("fold", F.col("fold") % 2)
+    enc = MulticlassTargetEncoder.fit(x, ["c"], "y", "fold", [0, 1, 2])
+    got = enc.apply(x.select("c").distinct().union(spark.createDataFrame([("w",)], "c string"))).toPandas().set_index("c")
+    assert np.allclose(got.sum(axis=1), 1) and np.allclose(got.loc["w"], [0.4, 0.2, 0.4])
+    assert got.loc["u", "oof_0__c"] > got.loc["v", "oof_0__c"]
+    assert np.allclose(enc.apply_train(x).select("oof_0__c", "oof_1__c", "oof_2__c").toPandas().sum(axis=1), 1)
