@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from .running import running
 from .scalar import clip
 
 
@@ -82,9 +83,8 @@ def auc(df: DataFrame, target: str, score: str, *groups: str) -> DataFrame:
     """(groups, auc): the share of pairs of a 1 and a 0 that the score orders rightly, ties half."""
     by = df.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.sum(F.col(target).cast("double")).alias("pos"), F.count("*").alias("n"))
     by = by.withColumn("neg", F.col("n") - F.col("pos"))
-    w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    hits = F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))
+    by = running(by, score, ["neg"], *groups)
+    hits = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))
     return by.groupBy(*groups).agg(hits.alias("auc"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import neighbours, running
+
 MODES = ("qini", "cum_gain", "adj_qini")
 
 
@@ -18,9 +20,9 @@ def curve(df: DataFrame, y: str, score: str, treatment: str, mode: str = "adj_qi
     t = F.col(treatment).cast("double")
     yy = F.col(y).cast("double")
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(t).alias("nt"), F.sum(yy * t).alias("yt"), F.sum(yy * (F.lit(1.0) - t)).alias("yc"))
-    run = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    c = by.select("s", *[F.sum(k).over(run).alias(k) for k in ("n", "nt", "yt", "yc")], F.sum("n").over(whole).alias("all"), F.sum("nt").over(whole).alias("allt"))
+    sums = ["n", "nt", "yt", "yc"]
+    by = running(by, "s", sums, descending=True)
+    c = by.select("s", *[(F.col(f"before_{k}") + F.col(k)).alias(k) for k in sums], F.col("all_n").alias("all"), F.col("all_nt").alias("allt"))
     nc, allc = F.col("n") - F.col("nt"), F.col("all") - F.col("allt")
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     value = {
@@ -34,9 +36,8 @@ def curve(df: DataFrame, y: str, score: str, treatment: str, mode: str = "adj_qi
 
 def area(points: DataFrame) -> DataFrame:
     """(auc): trapezoids under a curve."""
-    w = Window.orderBy("share")
-    x = points.select("share", "value", F.lag("share").over(w).alias("s0"), F.lag("value").over(w).alias("v0"))
-    return x.agg(F.coalesce(F.sum((F.col("share") - F.col("s0")) * (F.col("value") + F.col("v0")) / 2), F.lit(0.0)).alias("auc"))
+    x = neighbours(points.select("share", "value"), "share", ["share", "value"])
+    return x.agg(F.coalesce(F.sum((F.col("share") - F.col("last_share")) * (F.col("value") + F.col("last_value")) / 2), F.lit(0.0)).alias("auc"))
 
 
 def uplift_auc(df: DataFrame, y: str, score: str, treatment: str, mode: str = "adj_qini", normed: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running
 from ..functions.scalar import hash24, hash_fold
 
 
@@ -50,15 +51,14 @@ def time_parts(df: DataFrame, time: str, key: str, n: int = 5, name: str = "fold
     Rows are counted by time first; only rows of a time that a boundary cuts are numbered one by one.
     """
     per = df.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    per = running(per, "_t", ["_n"]).select("_t", F.col("before__n").alias("_before"))
     total = df.count()
     x = df.join(per, F.col(time).eqNullSafe(F.col("_t")))
     i = F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(key)) - 1
     size, more = divmod(total, n)
     cut = more * (size + 1)
     part = F.when(i < cut, F.floor(i / F.lit(size + 1))).otherwise(F.lit(more) + F.floor((i - cut) / F.lit(max(size, 1))))
-    return x.withColumn(name, part.cast("int")).drop("_t", "_n", "_before")
+    return x.withColumn(name, part.cast("int")).drop("_t", "_before")
 
 
 def uplift_folds(df: DataFrame, key: str, treatment: str, arm: int, n: int = 5, name: str = "fold") -> DataFrame:

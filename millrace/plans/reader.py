@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import auc
+from ..functions.running import running
 from ..functions.scalar import known, missing
 
 
@@ -159,7 +160,7 @@ def equal_bins(df: DataFrame, score: str, key: str, n: int = 20) -> DataFrame:
     """df with bin: n bins of equal size by descending score (ties by key)."""
     rows = df.count()
     by = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = df.join(by.select("_s", before.alias("_before")), F.col(score).eqNullSafe(F.col("_s")))
+    before = running(by, "_s", ["_n"], descending=True).select("_s", F.col("before__n").alias("_before"))
+    x = df.join(before, F.col(score).eqNullSafe(F.col("_s")))
     i = F.col("_before") + F.row_number().over(Window.partitionBy(score).orderBy(key)) - 1
     return x.withColumn("bin", F.floor(i * n / F.lit(rows)).cast("int")).drop("_s", "_before")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running
 from ..functions.scalar import log_odds
 from .reader import equal_bins
 
@@ -41,11 +42,10 @@ def best_cutoff(cutoffs: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, target: str, score: str) -> DataFrame:
-    """(score, tp, fp, pos, neg): counts at and above each distinct score."""
+    """(score, hits, tp, fp, pos, neg): the 1s of each distinct score, counts at and above it, and of all rows."""
     by = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(target).cast("double")).alias("p"), F.count("*").alias("n"))
-    w, whole = Window.orderBy(F.desc("score")).rowsBetween(*_UP), Window.partitionBy()
-    neg = F.col("n") - F.col("p")
-    return by.select("score", F.sum("p").over(w).alias("tp"), F.sum(neg).over(w).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum(neg).over(whole).alias("neg"))
+    by = running(by.select("score", "p", (F.col("n") - F.col("p")).alias("q")), "score", ["p", "q"], descending=True)
+    return by.select("score", F.col("p").alias("hits"), (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_q") + F.col("q")).alias("fp"), F.col("all_p").alias("pos"), F.col("all_q").alias("neg"))
 
 
 def roc_points(df: DataFrame, target: str, score: str) -> DataFrame:
@@ -58,9 +58,8 @@ def pr_points(df: DataFrame, target: str, score: str) -> DataFrame:
 
 def average_precision(df: DataFrame, target: str, score: str) -> DataFrame:
     """(ap): precision summed over the steps of recall."""
-    p = pr_points(df, target, score)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return p.select((F.col("precision") * step).alias("x")).agg(F.sum("x").alias("ap"))
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return ranked(df, target, score).agg(F.sum(precision * F.col("hits") / F.col("pos")).alias("ap"))
 
 
 def threshold_counts(df: DataFrame, target: str, score: str, at: float) -> DataFrame:

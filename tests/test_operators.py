@@ -196,3 +196,20 @@ def test_multiclass_automl(spark):
     assert np.allclose(got.sum(axis=1), 1) and np.allclose(got.loc["w"], [0.4, 0.2, 0.4])
     assert got.loc["u", "oof_0__c"] > got.loc["v", "oof_0__c"]
     assert np.allclose(enc.apply_train(x).select("oof_0__c", "oof_1__c", "oof_2__c").toPandas().sum(axis=1), 1)
+
+
+def test_running_sums_and_neighbours(spark):
+    from millrace.functions.running import neighbours, running
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v), int(n)) for g in "ab" for v, n in zip(rng.permutation(700) - 300 * (g == "b"), rng.integers(0, 9, 700))] + [("a", None, 5), ("b", float("inf"), 2)]
+    x = spark.createDataFrame(rows, "g string, s double, n int")
+    for down in (False, True):
+        got = running(x, "s", ["n"], "g", descending=down).toPandas()
+        for _, part in got.groupby("g"):
+            part = part.sort_values("s", ascending=not down, na_position="last" if down else "first")
+            assert (part["before_n"].to_numpy() == np.r_[0, part["n"].cumsum().to_numpy()[:-1]]).all() and (part["all_n"] == part["n"].sum()).all()
+    assert running(x.where("false"), "s", ["n"]).count() == 0
+    pair = neighbours(x.where("g = 'a' and s is not null").select("s", "n"), "s", ["s", "n"]).toPandas().sort_values("s")
+    assert np.isnan(pair["last_s"].iloc[0]) and (pair["last_s"].to_numpy()[1:] == pair["s"].to_numpy()[:-1]).all()
+    assert (pair["last_n"].to_numpy()[1:] == pair["n"].to_numpy()[:-1]).all()
