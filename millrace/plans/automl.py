@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,8 @@ class TabularAutoML:
         k, label = (len(self.classes), "_class") if several else (1, target)
         x = kfold(df, key, self.n_folds) if self.task == "reg" else stratified_kfold(df, key, target, self.n_folds)
         self.features = Features.fit(x, self.roles, label, self.task, n_classes=k)
-        x = self.features.apply(x, train=True)
+        # every fold, strength and pass of a solver reads the features; lost or evicted blocks are computed anew
+        x = self.features.apply(x, train=True).persist(StorageLevel.MEMORY_AND_DISK)
         self.models = []
         for a in self.algorithms:
             if self.models and timer.out():
