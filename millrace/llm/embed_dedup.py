@@ -118,10 +118,13 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 
 def spread(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Covariance of the rows of x around their centroids as shares of the whole variance, and for each cell one over the number
-    of dimensions that its rows fill (0 where there are too few rows to tell)."""
+    """Covariance of the rows of x around their cell's mean as shares of the whole variance, and for each cell one over the
+    number of dimensions that its rows fill (0 where there are too few rows to tell). The mean is inside the sphere, the
+    centroid on it: around the centroid, what all rows of a cell share would count as spread along it."""
     near = np.concatenate([(x[lo : lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
-    rest = x - c[near]
+    mean = np.zeros_like(c)
+    np.add.at(mean, near, x)
+    rest = x - (mean / np.maximum(np.bincount(near, minlength=len(c)), 1)[:, None])[near]
     cov = rest.T @ rest
     few = np.zeros(len(c))
     for i in range(len(c)):

@@ -653,3 +653,11 @@ def test_query_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
     key = lambda d: sorted(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_cells_of_isotropic_vectors_fill_all_dimensions():
+    x = np.random.default_rng(2).standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = embed_dedup.spherical_kmeans(x, 8)
+    cov, few = embed_dedup.spread(x, c)
+    assert few.max() < 1.5 / 32 and np.linalg.eigvalsh(cov)[-1] < 1.5 / 32
