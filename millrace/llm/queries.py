@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, html_extract, masked_lm, mixing, ngram_join, packing, resample, toxicity, url_filter
+from . import decontaminate, embed_dedup, html_extract, lloyd, masked_lm, mixing, ngram_join, packing, resample, target_sampling, token_counts, toxicity, url_filter
 from .common import tune
 
 
@@ -111,6 +111,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    words = token_counts.Tokenizer(public_tokenizers.path("word_bpe_49k.json"), spaces=True, lower=True)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), words)
+
+
 OP8_SQL = """
 WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.9),
@@ -131,6 +146,43 @@ m AS (SELECT id, min(root) AS component_id FROM c GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
 """
 
+#: One round of OP11_SQL: assignment, component sums, moved centroids.
+_ROUND = """
+a{i} AS MATERIALIZED (SELECT r, q, (min({{'d': list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::BIGINT, 'k': k}})).k AS k FROM v, c{i} GROUP BY r, q),
+s{i} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY k, i),
+c{j} AS MATERIALIZED (SELECT k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{i} GROUP BY k) m USING (k)),"""
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, vec_id, q) - 1)::INT AS k, q AS c
+  FROM (SELECT sha256('1:' || vec_id) AS h, vec_id, q FROM v ORDER BY h, vec_id, q LIMIT 16)),""" + "".join(_ROUND.format(i=i, j=i + 1) for i in range(3)) + """
+f AS (SELECT r, vec_id, min({'d': list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::BIGINT, 'k': k}) AS f FROM v, c3 GROUP BY r, vec_id)
+SELECT vec_id, f.k AS cluster, f.d AS distance, (sum(f.d) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(f.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.c, ',')) AS centroid_sha256 FROM f JOIN c3 ON c3.k = f.k
+"""
+
+#: crc32 by its rule: 0xEDB88320 is 3988292384, the register starts and ends inverted.
+OP12_SQL = r"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
+d AS (SELECT 0 AS of, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS MATERIALIZED (SELECT of, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+g AS MATERIALIZED (SELECT of, r, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS k FROM
+  (SELECT of, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(n)) GROUP BY 1, 2, 3),
+x AS MATERIALIZED (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM g)),
+b AS MATERIALIZED (SELECT g, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+  lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295), 4294967295) % 10000 AS b FROM x, tab),
+p AS MATERIALIZED (SELECT of, r, b, sum(k)::BIGINT AS k FROM g JOIN b USING (g) GROUP BY 1, 2, 3),
+c AS (SELECT b, coalesce(sum(k) FILTER (of = 0), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (of = 1), 0)::DOUBLE AS t FROM p GROUP BY 1),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM c),
+e AS (SELECT b, floor(1000 * ln((c.t + 1) * (a.s + 10000) / ((c.s + 1) * (a.t + 10000))))::BIGINT AS e FROM c, a),
+m AS (SELECT r, sum(k)::BIGINT AS n_features, sum(k * e)::BIGINT AS weight FROM p JOIN e USING (b) WHERE of = 0 GROUP BY 1),
+z AS (SELECT r, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN m USING (r) WHERE of = 0),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, 5 * count(*) OVER () // 100 AS k FROM z WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, o.rank FROM z LEFT JOIN o ON o.r = z.r AND o.rank <= o.k
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -142,5 +194,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_token_counts": op13_token_counts,
 }
-ORACLE = {"op2_url_filter": OP2_SQL, "op4_mixing": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE = {"op2_url_filter": OP2_SQL, "op4_mixing": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL, "op11_centroid_clustering": OP11_SQL, "op12_target_resampling": OP12_SQL}
