@@ -62,10 +62,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(newest: int = 0) -> None:
-    """Delete the tables of materialize but for the newest ones."""
-    gone = _made[: len(_made) - newest]
-    del _made[: len(gone)]
+def made() -> frozenset[str]:
+    """The tables of materialize that there are: what others made before a run begins."""
+    return frozenset(path for _, path in _made)
+
+
+def release(newest: int = 0, but: frozenset[str] = frozenset()) -> None:
+    """Delete the tables of materialize but for the newest ones and the named ones."""
+    gone = [t for t in _made[: len(_made) - newest] if t[1] not in but]
+    _made[:] = [t for t in _made if t not in gone]
     for spark, path in gone:
         if spark.sparkContext._jsc is not None:  # a stopped session can't delete any more
             _delete(spark, path)

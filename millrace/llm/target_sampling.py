@@ -28,6 +28,9 @@ WIDTH = BUCKETS // GROUPS
 BLOCK = 256
 #: Blocks whose postings of one group make a key of the shuffle.
 SALT_BLOCKS = 64
+#: Drawn rows are numbered by ranges of their scores: about so many rows in one, so many ranges at most.
+RANGE_ROWS = 500
+RANGES = 1_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -271,13 +274,14 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     enough = cand.agg(*[F.count_if(F.col("score") >= c) for c in cuts]).first() if k else []
     cut = next((c for c, m in zip(cuts or [], enough) if m >= k), None)
     some = cand.where(F.col("score") >= cut) if cut is not None else cand.where("false")
-    order = [F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "block", "doc"]
-    size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = some.select("block", "doc", "doc_id", "n_features", "score").repartitionByRange(size, *order).sortWithinPartitions(*order)
-    ranged = materialize(ranged.select("block", "doc", F.monotonically_increasing_id().alias("at")))
-    part = F.shiftright("at", 33).alias("part")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = ranged.groupBy(part).agg(F.count("*").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    rank = (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("rank")
-    drawn = ranged.withColumn("part", part).join(F.broadcast(starts), "part").select("block", "doc", rank).where(F.col("rank") <= k)
+    some = some.select("block", "doc", "doc_id", "n_features", "score")
+    ranges = max(1, min(RANGES, k // RANGE_ROWS))
+    bounds = some.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)] or [0.5], 10 * RANGES)).first()[0] or []
+    above = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b > F.col("score"))) if bounds else F.lit(0)
+    some = some.withColumn("range", above)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    starts = some.groupBy("range").agg(F.count("*").alias("m")).select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("range").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "block", "doc")
+    rank = (F.col("start") + F.row_number().over(inside)).alias("rank")
+    drawn = some.join(F.broadcast(starts), "range").select("block", "doc", rank).where(F.col("rank") <= k)
     return w.join(drawn, ["block", "doc"], "left").select("doc_id", "n_features", "weight", "score", "rank")
