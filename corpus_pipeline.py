@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, ngram_join, packing, queries, toxicity
-from millrace.llm.common import column, fresh, materialize, release, row_keys
+from millrace.llm.common import column, fresh, made, materialize, release, row_keys
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs)
-            release(newest=1)
+            release(newest=1, but=before)
     return docs
