@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import metrics as M
 from .functions.scalar import hash24, hash_fold, hash_unit
-from .operators import blend, categorical, dates, metalearners, models, numeric, selection, texts, uplift
-from .plans import automl, folds, pipelines, reader, report
+from .functions import losses
+from .operators import additive, blend, boosting, categorical, dates, metalearners, models, numeric, selection, texts, uplift
+from .plans import automl, folds, pipelines, reader, report, selectors, tuning
 from .sources.tables import batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -736,12 +737,102 @@ def trees_oof(spark, d):
     return out.select("o_orderkey", "prediction")
 
 
+@query("boosted_means", f"""WITH {JOINED}, s AS (SELECT c_mktsegment, fold, sum(o_totalprice) AS s, count(*) AS n FROM j GROUP BY 1, 2),
+a AS (SELECT c_mktsegment, fold, (sum(s) OVER w - s) / (sum(n) OVER w - n) AS m FROM s WINDOW w AS (PARTITION BY c_mktsegment))
+SELECT o_orderkey, round(m, 2) AS prediction FROM j JOIN a USING (c_mktsegment, fold)""")
+def boosted_means(spark, d):
+    """Full steps on squared error tell all five segments apart: a row's prediction is its segment's mean over the other folds."""
+    p = boosting.Params(rounds=2, rate=1.0, depth=4, patience=0, least_rows=1)
+    _, out = boosting.boost(joined(spark, d), ["c_mktsegment"], "o_totalprice", losses.mse(), p, 5, "prediction", "o_orderkey")
+    return rounded(out.select("o_orderkey", "prediction"), "prediction", to=2)
+
+
+@query("boosted_losses", f"""WITH {JOINED} SELECT loss, count(*) AS n, count(*) AS n_predicted, true AS no_worse FROM j, (VALUES ('mae'), ('quantile'), ('huber')) AS l(loss) GROUP BY 1""")
+def boosted_losses(spark, d):
+    """Boosted regressions of several losses, stopped on each fold. The SQL states what must hold of any: each row predicted
+    once, the folds' loss at the chosen round not above that of the constant start."""
+    out = None
+    x = joined(spark, d).withColumn("t", F.col("o_totalprice") / 1e5)
+    for name in ("mae", "quantile", "huber"):
+        b, got = boosting.boost(x, ["c_acctbal", "o_orderpriority", "c_nationkey"], "t", losses.of("reg", name), boosting.Params(rounds=3, depth=3, rate=0.5, patience=2), 5, "p", "o_orderkey")
+        fine = all(h[k] <= h[0] for h, k in zip(b.history, b.best))
+        row = got.agg(F.lit(name).alias("loss"), F.count("*").alias("n"), F.count("p").alias("n_predicted"), F.lit(fine).alias("no_worse"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("boosted_multiclass", "SELECT o_orderstatus, count(*) AS n, count(*) AS n_distributions FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def boosted_multiclass(spark, d):
+    """Softmax boosting of the order's status. The SQL states what must hold of any model: a distribution for each row."""
+    x = joined(spark, d).withColumn("k", F.array_position(F.array(*map(F.lit, "FOP")), F.col("o_orderstatus")) - 1)
+    _, out = boosting.boost(x, ["o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment"], "k", losses.crossentropy(3), boosting.Params(rounds=4, depth=3, rate=0.3), 5, "p", "o_orderkey")
+    p = F.col("p")
+    fine = (F.size(p) == 3) & (F.abs(F.aggregate(p, F.lit(0.0), lambda a, v: a + v) - 1) < 1e-9) & F.forall(p, lambda v: v.between(0, 1))
+    return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(fine.cast("long")).alias("n_distributions"))
+
+
+@query("additive_weights", f"""WITH {JOINED}, v AS (SELECT 'c_mktsegment' AS feature, c_mktsegment AS value FROM j UNION SELECT 'o_orderpriority', o_orderpriority FROM j
+  UNION SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM j), o AS (SELECT DISTINCT feature, '<OTHER>' AS value FROM v)
+SELECT feature, value, true AS weighted FROM (SELECT * FROM v UNION ALL SELECT * FROM o UNION ALL SELECT '<INTERCEPT>', NULL UNION ALL SELECT 'scaler__o_totalprice', NULL)""")
+def additive_weights(spark, d):
+    """An additive logistic model with a weight for each customer, segment and priority. The SQL states which weights there are."""
+    x = joined(spark, d)
+    x = numeric.StandardScaler.fit(x, ["o_totalprice"]).apply(x).withColumn("fold", F.lit(0))
+    m, _ = additive.fit(x.unionByName(x.withColumn("fold", F.lit(1))), ["scaler__o_totalprice"], ["c_mktsegment", "o_orderpriority", "o_custkey"], "y", "binary", 2, "p", path=(0.1,))
+    return m.weights().select("feature", "value", (F.abs("weight") < 50).alias("weighted"))
+
+
+@query("additive_oof", f"""WITH {JOINED} SELECT fold, count(*) AS n, count(*) AS n_probabilities FROM j GROUP BY 1""")
+def additive_oof(spark, d):
+    """Out-of-fold probabilities of an additive model with the customer as a category; the SQL states their number and bounds."""
+    x = joined(spark, d)
+    x = numeric.StandardScaler.fit(x, ["o_totalprice"]).apply(x)
+    _, out = additive.fit(x, ["scaler__o_totalprice"], ["c_mktsegment", "o_custkey"], "y", "binary", 5, "p", path=(0.1, 10.0))
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col("p").between(0.001, 0.999).cast("long")).alias("n_probabilities"))
+
+
+@query("selected_columns", """SELECT * FROM (VALUES ('none', 'o_totalprice,c_acctbal,twice,flat,y2'), ('predefined', 'c_acctbal,flat'), ('uncorrelated', 'o_totalprice,c_acctbal,y2'),
+  ('cutoff', 'y2'), ('composed', 'y2')) AS t(selector, columns)""")
+def selected_columns(spark, d):
+    """What selectors keep of columns of which one is the target with an error in ten rows, one is twice another and one is constant."""
+    x = joined(spark, d)
+    x = x.withColumns({"twice": F.col("c_acctbal") * 2 + 1, "flat": F.lit(1.0), "y2": F.when(hash24(F.concat(F.lit("e"), F.col("o_orderkey"))) % 10 == 0, 1 - F.col("y")).otherwise(F.col("y")).cast("double")})
+    columns = ["o_totalprice", "c_acctbal", "twice", "flat", "y2"]
+    problem = selectors.Problem("y", "binary", "o_orderkey", params=boosting.Params(rounds=3, rate=0.5, depth=1, patience=2))
+    some = {
+        "none": selectors.Selector(), "predefined": selectors.Predefined(["flat", "c_acctbal", "absent"]), "uncorrelated": selectors.HighCorrelation(),
+        "cutoff": selectors.Cutoff(), "composed": selectors.Composed([selectors.HighCorrelation(), selectors.Cutoff(), selectors.Forward(by="gain")]),
+    }
+    rows = [(k, ",".join(s.fit(x, columns, problem).selected)) for k, s in some.items()]
+    return spark.createDataFrame(rows, "selector string, columns string")
+
+
+@query("tuned_boosting", f"WITH {JOINED} SELECT 4 AS trials, true AS best_is_least, true AS no_worse_than_start FROM j LIMIT 1")
+def tuned_boosting(spark, d):
+    """Four trials on one holdout. The SQL states what must hold: so many trials, the chosen one has the least loss."""
+    space = {"rate": tuning.log(0.05, 1.0), "depth": tuning.integer(1, 3)}
+    start = boosting.Params(rounds=3, patience=2)
+    _, s = tuning.tune_boosting(joined(spark, d), ["o_totalprice", "c_acctbal", "o_orderpriority"], "y", losses.logloss(), start, "o_orderkey", 4, space=space)
+    rows = [(len(s.trials), s.loss == min(t for _, t in s.trials), s.loss <= 0.7)]
+    return spark.createDataFrame(rows, "trials int, best_is_least boolean, no_worse_than_start boolean")
+
+
 @query("automl_binary")
 def automl_binary(spark, d):
     x = joined(spark, d).drop("fold", "o_orderstatus", "o_custkey")
     return automl.TabularAutoML("binary", n_folds=2).fit_predict(x, "y", "o_orderkey")
 
 
+@query("automl_selected", f"""WITH {JOINED} SELECT count(*) AS n, count(*) AS n_probabilities, 'y2' AS columns FROM j""")
+def automl_selected(spark, d):
+    """The loop with a selector, additive and boosted models; the SQL states the rows, their bounds and the column chosen."""
+    x = joined(spark, d).withColumn("y2", F.when(hash24(F.concat(F.lit("e"), F.col("o_orderkey"))) % 10 == 0, 1 - F.col("y")).otherwise(F.col("y")).cast("double"))
+    x = x.select("o_orderkey", "y", "o_totalprice", "c_acctbal", "y2")
+    m = automl.TabularAutoML("binary", n_folds=2, algorithms=("additive", "boost"), selector=selectors.Cutoff(), boosting=boosting.Params(rounds=3, rate=0.5, depth=1, patience=2))
+    out = m.fit_predict(x, "y", "o_orderkey", {"y2": "numeric"})
+    return out.agg(F.count("*").alias("n"), F.sum(F.col("prediction").between(0, 1).cast("long")).alias("n_probabilities"), F.lit(",".join(m.selector.selected)).alias("columns"))
+
+
 @query("automl_multiclass", "SELECT o_orderstatus, count(*) AS n, count(*) AS n_predicted, count(*) AS n_distributions FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IS NOT NULL GROUP BY 1")
 def automl_multiclass(spark, d):
     """The SQL states what must hold of any model: each row once, with a distribution over the three classes."""

@@ -11,7 +11,7 @@ since then are applied on the fly, so that passes depend on nothing but a durabl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,8 +77,8 @@ class Bins:
     ranks: dict[str, list[str]]
 
     @staticmethod
-    def fit(df: DataFrame, features: list[str], bins: int, categories: int) -> Bins:
-        text = [f for f in features if isinstance(df.schema[f].dataType, StringType)]
+    def fit(df: DataFrame, features: list[str], bins: int, categories: int, categorical: tuple[str, ...] = ()) -> Bins:
+        text = [f for f in features if f in categorical or isinstance(df.schema[f].dataType, StringType)]
         numbers = [f for f in features if f not in text]
         edges: dict[str, np.ndarray] = {}
         if numbers:
@@ -208,7 +208,7 @@ class _Batch:
     def __init__(self, b: pa.RecordBatch, fit: _Fit, live: list[list[Tree]] | None) -> None:
         n, m, k = b.num_rows, fit.n_models, fit.loss.classes
         flat = lambda name, dtype: pc.list_flatten(b.column(name)).to_numpy(zero_copy_only=False).astype(dtype)
-        self.codes = flat("codes", np.int64).reshape(n, -1)
+        self.codes = flat("codes", np.int64).reshape(n, len(fit.sizes))
         self.y, self.w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
         self.fold = b.column("fold").to_numpy(zero_copy_only=False)
         self.uid = b.column("uid").to_numpy(zero_copy_only=False)
@@ -248,7 +248,7 @@ class _Fit:
         s = b.score[use, i]
         g, h = self.loss.grad(b.y[use], s if self.loss.classes > 1 else s[:, 0])
         w = b.w[use][:, None]
-        return g.reshape(len(s), -1) * w, h.reshape(len(s), -1) * w
+        return g.reshape(len(s), self.loss.classes) * w, h.reshape(len(s), self.loss.classes) * w
 
 
 _SUMS = pa.schema([("model", pa.int32()), ("cls", pa.int32()), ("cell", pa.int64()), ("g", pa.float64()), ("h", pa.float64()), ("n", pa.int64())])
@@ -445,18 +445,19 @@ def _starts(table: DataFrame, loss: Loss, n_models: int) -> np.ndarray:
 
 
 def boost(df: DataFrame, features: list[str], target: str, loss: Loss, params: Params, n_folds: int, name: str, key: str, fold: str = "fold",
-          weight: str | None = None, out_of_time=None) -> tuple[Booster, DataFrame]:
+          weight: str | None = None, out_of_time: Callable[[], bool] | None = None, categorical: tuple[str, ...] = ()) -> tuple[Booster, DataFrame]:
     """(booster, df with out-of-fold predictions). Rows of fold f (0 to n_folds - 1) are predicted by the model grown on the others.
 
     With n_folds 1, rows of fold 0 are for validation and all others for training. Rows without a target or of no fold have
-    no part in training; rows without a target are predicted all the same. Text columns are categories, missing
-    values of either kind have a bin of their own. A model stops at the round with the least loss on its own fold, after
-    params.patience rounds without a better one; out_of_time() may end training earlier.
+    no part in training; rows without a target are predicted all the same. Text columns and those named categorical are
+    categories, missing values of either kind have a bin of their own. A model stops at the round with the least loss on
+    its own fold, after params.patience rounds without a better one (0: all rounds are kept); out_of_time() may end
+    training earlier.
     """
     spark = df.sparkSession
     made = Workspace(spark)
     some = df.where(F.col(target).isNotNull() & F.col(fold).isNotNull())
-    bins = Bins.fit(some, features, params.bins, params.categories)
+    bins = Bins.fit(some, features, params.bins, params.categories, categorical)
     y = F.col(target).cast("double")
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     rows = some.select(F.xxhash64(F.col(key).cast("string")).alias("uid"), y.alias("y"), w.alias("w"), F.col(fold).cast("int").alias("fold"), *bins.columns(df))
@@ -489,7 +490,7 @@ def boost(df: DataFrame, features: list[str], target: str, loss: Loss, params: P
                     if not stopped[i]:
                         history[i].append(float(side[-1][0] / side[-1][1]) if -1 in side and side[-1][1] > 0 else math.nan)
                         since = len(history[i]) - 1 - int(np.nanargmin(history[i])) if not np.isnan(history[i]).all() else 0
-                        if since >= params.patience:
+                        if params.patience and since >= params.patience:
                             stopped[i], live[i] = True, None
                 if last or all(stopped):
                     break
@@ -518,7 +519,7 @@ def boost(df: DataFrame, features: list[str], target: str, loss: Loss, params: P
             table = made.keep(_refreshed(table, fit))
             made.clear(newest=1)
             fit.pending = []
-    best = [int(np.nanargmin(h)) if len(h) and not np.isnan(h).all() else len(t) for h, t in zip(history, trees)]
+    best = [int(np.nanargmin(h)) if params.patience and len(h) and not np.isnan(h).all() else len(t) for h, t in zip(history, trees)]
     made.clear()
     booster = Booster(bins, loss, start, trees, best, name, history)
     return booster, out_of_fold(booster, df, fold)
@@ -545,7 +546,7 @@ def _refreshed(table: DataFrame, fit: _Fit) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            s = _Batch(rb, fit, None).score.reshape(rb.num_rows, -1)
+            s = _Batch(rb, fit, None).score.reshape(rb.num_rows, fit.n_models * fit.loss.classes)
             ends = np.arange(rb.num_rows + 1, dtype=np.int32) * s.shape[1]
             score = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.ravel()))
             yield pa.RecordBatch.from_arrays([score if c == "score" else rb.column(c) for c in names], names=names)

@@ -84,7 +84,7 @@ class Fitted:
             got = {name: vector_to_array("_prob")[1]}
         else:
             got = {name: F.col("_p")}
-        return out.withColumns(got).drop("_features", "_raw", "_prob", "_p", "_y")
+        return out.withColumns(got).drop("_features", "_raw", "_prob", "_p", "_y", *[c for c in out.columns if c.startswith("_hot__")])
 
     def predict(self, df: DataFrame) -> DataFrame:
         names = [f"_fold{i}" for i in range(len(self.models))]
@@ -107,13 +107,14 @@ class Fitted:
         return total
 
 
-def fit_folds(df: DataFrame, features: list[str], target: str, task: str, estimator, n_folds: int, name: str, fold: str = "fold", parallel: int = 2, timer: Timer | None = None, n_classes: int = 1) -> tuple[Fitted, DataFrame]:
+def fit_folds(df: DataFrame, features: list[str], target: str, task: str, estimator, n_folds: int, name: str, fold: str = "fold", parallel: int = 2, timer: Timer | None = None, n_classes: int = 1, stages: list | None = None) -> tuple[Fitted, DataFrame]:
     """(models, df with out-of-fold predictions). Folds are independent Spark jobs, a few of them at a time.
 
-    The first fold is always trained; rows of folds that time did not allow have a null prediction.
+    The first fold is always trained; rows of folds that time did not allow have a null prediction. stages: what makes the
+    feature vector, by default an assembler of the features.
     """
     y = df.withColumn("_y", F.col(target).cast("double"))
-    pipe = Pipeline(stages=[_assemble(features), estimator])
+    pipe = Pipeline(stages=[*(stages or [_assemble(features)]), estimator])
 
     def run(part):
         k, train, valid = part
@@ -138,7 +139,7 @@ def fit_folds(df: DataFrame, features: list[str], target: str, task: str, estima
     return fitted, out
 
 
-def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_folds: int, name: str, l1: bool = False, path: tuple[float, ...] | None = None, patience: int = 2, timer: Timer | None = None, n_classes: int = 1) -> tuple[Fitted, DataFrame, float]:
+def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_folds: int, name: str, l1: bool = False, path: tuple[float, ...] | None = None, patience: int = 2, timer: Timer | None = None, n_classes: int = 1, stages: list | None = None, fold: str = "fold") -> tuple[Fitted, DataFrame, float]:
     """The best strength of a path from strong to weak regularisation, stopping after patience strengths without gain.
 
     Strength C means a penalty of 1/(2 n C) for the log loss and sd(y)/(4 n C) for squared error.
@@ -151,7 +152,7 @@ def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_fo
         if best and timer is not None and timer.out():
             break
         reg = 1 / (n * c) if l1 and task != "reg" else 1 / (2 * n * c) if task != "reg" else sd / (4 * n * c)
-        fitted, out = fit_folds(df, features, target, task, linear(task, reg, l1), n_folds, name, n_classes=n_classes)
+        fitted, out = fit_folds(df, features, target, task, linear(task, reg, l1), n_folds, name, fold, n_classes=n_classes, stages=stages)
         score = metric.of(out, target, name)
         if best is None or score > best[0]:
             best, bad = (score, fitted, out, c), 0

@@ -8,10 +8,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import losses
 from ..functions import metrics as M
-from ..operators import blend, categorical, dates, models, numeric
+from ..operators import additive, blend, boosting, categorical, dates, models, numeric
 from .folds import kfold, stratified_kfold
 from .reader import Role, guess_roles, profile, usable
+from .selectors import Problem, Selector
+from .tuning import tune_boosting
 
 
 @dataclass
@@ -67,12 +70,21 @@ class TabularAutoML:
 
     With the task multiclass, targets are of any type, classes holds them in order, rows without a target are left out of
     training and of the result, and a prediction is an array with the probability of each class.
+
+    algorithms: linear (encoded features), additive (a weight for each value of a category), trees (Spark's boosting; with
+    several classes the same as boost), boost (histogram boosting on the raw columns, stopped on each fold). selector
+    chooses columns before any of them is trained; with tuning, so many trials on a holdout set boost's parameters.
+    loss: of the boosted models, a name or an object of functions.losses.
     """
 
     task: str
     n_folds: int = 3
     seconds: float = float("inf")
     algorithms: tuple[str, ...] = ("linear", "trees")
+    selector: Selector | None = None
+    tuning: int = 0
+    boosting: boosting.Params = boosting.Params(rounds=20, rate=0.2, depth=4, patience=5)
+    loss: str | losses.Loss | None = None
 
     def fit_predict(self, df: DataFrame, target: str, key: str, roles: dict[str, str] | None = None) -> DataFrame:
         timer = models.Timer(self.seconds)
@@ -85,31 +97,61 @@ class TabularAutoML:
             self.classes = sorted(r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect())
             df = df.where(F.col(target).isNotNull()).withColumn("_class", (F.array_position(F.array(*map(F.lit, self.classes)), F.col(target)) - 1).cast("int"))
         k, label = (len(self.classes), "_class") if several else (1, target)
+        if self.selector is not None:
+            raw, columns = self._raw(df)
+            self.selector.fit(raw, columns, Problem(label, self.task, key, k, tuple(self._categories()), params=self.boosting))
+            self.roles = {c: r for c, r in self.roles.items() if c in self.selector.selected or f"time__{c}" in self.selector.selected}
         x = kfold(df, key, self.n_folds) if self.task == "reg" else stratified_kfold(df, key, target, self.n_folds)
         self.features = Features.fit(x, self.roles, label, self.task, n_classes=k)
         # every fold, strength and pass of a solver reads the features; lost or evicted blocks are computed anew
-        x = self.features.apply(x, train=True).persist(StorageLevel.MEMORY_AND_DISK)
+        x = kept = self.features.apply(x, train=True).persist(StorageLevel.MEMORY_AND_DISK)
         self.models = []
         for a in self.algorithms:
             if self.models and timer.out():
                 break
-            if a == "linear":
-                m, x, _ = models.linear_path(x, self.features.names, label, self.task, self.n_folds, "pred_linear", path=(1e-3, 1e-1, 10.0), timer=timer, n_classes=k)
-            else:
-                m, x = models.fit_folds(x, self.features.names, label, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer, n_classes=k)
+            m, x = self._train(a, x, label, key, k, timer)
             self.models.append(m)
         y = F.col(label).cast("double")
         loss = {"reg": M.mse, "binary": M.logloss, "multiclass": M.crossent_of}[self.task]
         self.blended = blend.class_blend(k) if several else blend.weighted_blend
-        preds = [m.name for m in self.models]
+        preds = [m.fitted.name if isinstance(m, additive.Additive) else m.name for m in self.models]
         self.weights = blend.optimise_weights(x, preds, lambda p: loss(y, p), -1, rounds=1, blended=self.blended) if len(preds) > 1 else [1.0]
+        self.names, self._kept = preds, kept
         return x.withColumn("prediction", self.blended(preds, self.weights)).select(key, target, *preds, "prediction")
 
+    def release(self) -> None:
+        """Let go of the training features, once the out-of-fold predictions have been read."""
+        self._kept.unpersist()
+
+    def _categories(self) -> list[str]:
+        return [c for c, r in self.roles.items() if r.name == "category"]
+
+    def _raw(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """df and the columns that boosting and selectors read: numbers, categories, times as numbers."""
+        times = [c for c, r in self.roles.items() if r.name == "datetime"]
+        x = df.withColumns({f"time__{c}": dates.time_to_num(F.col(c)) for c in times})
+        return x, [c for c, r in self.roles.items() if r.name in ("numeric", "category")] + [f"time__{c}" for c in times]
+
+    def _train(self, algorithm: str, x: DataFrame, label: str, key: str, k: int, timer: models.Timer):
+        """(model, x with its out-of-fold predictions)."""
+        if algorithm == "linear":
+            return models.linear_path(x, self.features.names, label, self.task, self.n_folds, "pred_linear", path=(1e-3, 1e-1, 10.0), timer=timer, n_classes=k)[:2]
+        if algorithm == "additive":
+            numbers = [f for f in self.features.names if f.startswith(("nanflg__", "scaler__"))]
+            return additive.fit(x, numbers, self._categories(), label, self.task, self.n_folds, "pred_additive", (1e-3, 1e-1, 10.0), timer=timer, n_classes=k)
+        if algorithm == "boost" or self.task == "multiclass":
+            x, columns = self._raw(x)
+            cats, loss = tuple(self._categories()), losses.of(self.task, self.loss, k)
+            if self.tuning:
+                self.boosting, self.search = tune_boosting(x, columns, label, loss, self.boosting, key, self.tuning, timer=timer, categorical=cats)
+            return boosting.boost(x, columns, label, loss, self.boosting, self.n_folds, "pred_boost", key, out_of_time=timer.out, categorical=cats)
+        return models.fit_folds(x, self.features.names, label, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer, n_classes=k)
+
     def predict(self, df: DataFrame) -> DataFrame:
-        x = self.features.apply(df)
+        x = self._raw(self.features.apply(df))[0]
         for m in self.models:
             x = m.predict(x)
-        return x.withColumn("prediction", self.blended([m.name for m in self.models], self.weights)).select(*df.columns, "prediction")
+        return x.withColumn("prediction", self.blended(self.names, self.weights)).select(*df.columns, "prediction")
 
 
 def partial_dependence(model: TabularAutoML, df: DataFrame, column: str, values: list) -> DataFrame:

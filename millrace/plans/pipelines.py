@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import hash24, log_odds
 from ..operators import categorical, dates, models, numeric
-from ..operators.selection import drop_correlated
+from ..operators.selection import drop_correlated, raw_name
 from .automl import TabularAutoML
 from .reader import Role
 
@@ -22,11 +22,6 @@ def columns_by_role(roles: dict[str, Role], name: str, **options) -> list[str]:
     return sorted(c for c, r in roles.items() if r.name == name and all(r.options.get(k) == v for k, v in options.items()))
 
 
-def raw_name(feature: str, raw: list[str]) -> str | None:
-    """The longest raw column that a derived feature's name ends in."""
-    return max((r for r in raw if feature == r or feature.endswith("__" + r)), key=len, default=None)
-
-
 @dataclass
 class Steps:
     """Fitted steps in a row; each maps a DataFrame to one with more columns. names: the features they make."""
