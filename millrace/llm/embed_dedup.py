@@ -7,7 +7,10 @@ times the root of the share that the direction c_i - c_j has in the variance aro
 as the larger of the share over all cells and of one over the number of dimensions that a cell's own vectors fill. So
 a vector is also sent as a guest to each cell whose boundary is within half of ``sigmas`` such deviations, or of l if
 that is less (l taken at the threshold): then at least one of the two meets the other, for certain where vectors fill
-few dimensions (up to sigmas squared). Pairs that meet twice count in the lower cell.
+few dimensions (up to sigmas squared). Near pairs may differ along other directions than their cells spread (all by one
+shift, say). So the differences of near pairs are measured too: PROBES vectors, picked by hash, are compared with all
+others, and the margin of two cells is at least what the found differences need across that boundary.
+Pairs that meet twice count in the lower cell.
 
 Dense groups: vectors within half of the threshold's angle of their centroid (the cell's core) are all linked with each
 other, and with nothing beyond one and a half times that angle. They are counted, not compared, so that a cell that
@@ -28,6 +31,10 @@ from pyspark.sql import functions as F
 from .common import components, materialize, tune
 
 
+#: Vectors that are compared with all others to see how near pairs differ; each adds one difference at most.
+PROBES = 1024
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
     """k unit centroids of the unit rows of x. A centroid without rows takes the row that its own serves worst."""
     rng = np.random.default_rng(seed)
@@ -99,6 +106,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     n = classes.count()
     one = pts.join(classes.select(F.col("node").alias("uid"), "m"), "uid").select(F.col("uid").alias("node"), "m", "dim", "unit", "key")
     cells = _fit(one, n, cell_rows, max_cells, sample_rows)
+    steps = _steps(one, n, threshold)
+    cells = {dim: (*c, steps.get(dim, np.zeros((0, dim)))) for dim, c in cells.items()}
     shared = spark.sparkContext.broadcast(cells)
     placed = materialize(_place(one, shared, threshold, sigmas))
     found = materialize(_compare(placed, shared, threshold, chunk))
@@ -136,13 +145,58 @@ def spread(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cov / max(np.trace(cov), 1e-300), few
 
 
-def margins(c: np.ndarray, cov: np.ndarray, few: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
+def _steps(one: DataFrame, n: int, threshold: float) -> dict[int, np.ndarray]:
+    """For each vector length, unit differences of near pairs, one for each probe that has a near vector."""
+    if n < 2:
+        return {}
+    share = min(1.0, 2 * PROBES / n)
+    some = one.where(F.conv(F.substring("key", 9, 8), 16, 10).cast("long") < F.lit(int(share * (1 << 32)) + (share == 1.0)))
+    rows = some.select("dim", "node", "unit", "key").orderBy(F.reverse("key")).limit(PROBES).collect()
+    probes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {r.dim for r in rows}:
+        mine = [r for r in rows if r.dim == dim]
+        probes[dim] = np.array([r.node for r in mine]), np.stack([np.frombuffer(r.unit, np.float64) for r in mine])
+    shared = one.sparkSession.sparkContext.broadcast(probes)
+    schema = pa.schema([("probe", pa.int64()), ("dim", pa.int32()), ("turn", pa.int64()), ("step", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, int, bytes]] = {}
+        for b in batches:
+            node, dims = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for dim in np.unique(dims).tolist():
+                if dim not in shared.value:
+                    continue
+                at = np.flatnonzero(dims == dim)
+                x = np.stack(_unit(b.column(2).take(pa.array(at))))
+                ids, p = shared.value[dim]
+                near = (x @ p.T >= threshold) & (node[at][:, None] != ids)
+                turn = (node[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+                for j in np.flatnonzero(near.any(axis=0)).tolist():  # one near vector a probe, by hash
+                    i = min(np.flatnonzero(near[:, j]).tolist(), key=lambda r: turn[r])
+                    d = x[i] - p[j]
+                    size = np.linalg.norm(d)
+                    if size > 1e-6 and (int(ids[j]) not in best or int(turn[i]) < best[int(ids[j])][1]):
+                        best[int(ids[j])] = dim, int(turn[i]), (d / size).tobytes()
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best)), *(pa.array([v[k] for v in best.values()], f.type) for k, f in enumerate(list(schema)[1:]))], schema=schema)
+
+    found = one.select("node", "dim", "unit").mapInArrow(run, "probe long, dim int, turn long, step binary")
+    out: dict[int, list[np.ndarray]] = {}
+    for r in found.groupBy("probe", "dim").agg(F.min_by("step", "turn").alias("step")).collect():  # at most PROBES rows
+        out.setdefault(r.dim, []).append(np.frombuffer(r.step, np.float64))
+    return {dim: np.stack(v) for dim, v in out.items()}
+
+
+def margins(c: np.ndarray, cov: np.ndarray, few: np.ndarray, threshold: float, sigmas: float, steps: np.ndarray | None = None) -> np.ndarray:
     """For each pair of cells how much nearer its own centroid than the other's a vector may be to be sent there too."""
     q = c @ cov @ c.T
     gap2 = np.maximum(2 - 2 * (c @ c.T), 0)
     share = np.maximum(np.diag(q)[:, None] - 2 * q + np.diag(q)[None, :], 0) / np.maximum(gap2, 1e-12)
     share = np.maximum(share, np.maximum(few[:, None], few[None, :]))
-    return 0.5 * np.sqrt(2 - 2 * threshold) * np.minimum(1.0, sigmas * np.sqrt(share)) * np.sqrt(gap2)
+    across = sigmas * np.sqrt(share) * np.sqrt(gap2)
+    for p in (c @ steps.T).T if steps is not None else ():
+        across = np.maximum(across, np.abs(p[:, None] - p[None, :]))
+    return 0.5 * np.sqrt(2 - 2 * threshold) * np.minimum(np.sqrt(gap2), across)
 
 
 def _fit(one: DataFrame, n: int, cell_rows: int, max_cells: int, sample_rows: int) -> dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,7 +223,7 @@ def _place(one: DataFrame, shared, threshold: float, sigmas: float) -> DataFrame
     inner, outer = np.cos(angle / 2), np.cos(1.5 * angle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = {dim: margins(c, cov, few, threshold, sigmas) for dim, (_, c, cov, few) in shared.value.items()}
+        limits = {dim: margins(c, cov, few, threshold, sigmas, steps) for dim, (_, c, cov, few, steps) in shared.value.items()}
         for b in batches:
             dims = b.column(2).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():

@@ -647,7 +647,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     want = con.execute(queries.ORACLE[name]).df()
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
@@ -661,3 +661,44 @@ def test_cells_of_isotropic_vectors_fill_all_dimensions():
     c = embed_dedup.spherical_kmeans(x, 8)
     cov, few = embed_dedup.spread(x, c)
     assert few.max() < 1.5 / 32 and np.linalg.eigvalsh(cov)[-1] < 1.5 / 32
+
+
+def links_of(x: np.ndarray) -> list[int]:
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    return links.sum(axis=1).tolist()
+
+
+def shifted(rng: np.random.Generator, n: int = 3000, dims: int = 384) -> np.ndarray:
+    """Isotropic unit vectors, and a copy of each that moved along one direction that all copies share."""
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = rng.standard_normal(dims)
+    return np.concatenate([x, x + 0.43 * d / np.linalg.norm(d)])
+
+
+def mixed(rng: np.random.Generator, n: int = 4000, more: int = 400, k: int = 5, dims: int = 384) -> np.ndarray:
+    """Isotropic vectors and some that fill few dimensions."""
+    return np.concatenate([rng.standard_normal((n, dims)), rng.standard_normal((more, k)) @ np.linalg.qr(rng.standard_normal((dims, k)))[0].T])
+
+
+@pytest.mark.parametrize("make", [shifted, mixed])
+def test_shifted_and_mixed_vectors_lose_no_link(spark, make):
+    x = make(np.random.default_rng(1))
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert [n for _, n in sorted((r.vec_id, r.n_links) for r in got.collect())] == links_of(x)
+
+
+def test_a_result_outlives_another_release(spark):
+    from millrace.llm import common
+
+    first = embed_dedup.near_duplicates(spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(9)], "vec_id long, embedding array<double>"))
+    rows = sorted(first.collect())
+    before = common.made()
+    second = common.materialize(spark.range(5))
+    third = common.materialize(second)
+    common.release(newest=1, but=before)
+    assert sorted(first.collect()) == rows and third.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        second.count()
