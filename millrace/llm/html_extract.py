@@ -1,13 +1,14 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are sorted by (host, path). Each is paired with the page before or after it on its host whose path shares the
-longer prefix, their text lines are aligned by longest common subsequence, and the lines that both hold are deleted as
-template, unless the page's own markup vouches for them: lines inside an article, main or article body container are
+Pages are sorted by (host, path). Each is paired with the page of its host, among the REACH before and after it, whose
+path shares the longest prefix; a page that is a copy (the lines that both hold carry over two thirds of its characters) tells
+nothing of the template, so the next nearest is taken, and none if all are copies. The lines of both are aligned by
+longest common subsequence, and those that both hold are deleted as template, unless the page's own markup vouches for them: lines inside an article, main or article body container are
 kept (copies of one article on neighbouring urls would otherwise delete each other), and lines inside containers that
 are marked as boilerplate (menus, adverts, notices, forms, comments ...) are dropped even if no other page has them. If
 a page has a content container, its text is what that container holds.
 
-Pages are dealt into url ranges at sampled split points; the page before and the page after a range are sent along, so
+Pages are dealt into url ranges at sampled split points; the REACH pages before and after a range are sent along, so
 that pairing is exact and a host with a third of all pages is spread over many tasks.
 """
 
@@ -18,15 +19,19 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import tune
 from .url_filter import url_parts
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"=\s*([\"'])|>")
+#: Pages before and after a page among which its pair is looked for.
+REACH = 3
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose text is no text of the page.
 SILENT = frozenset("script style noscript template iframe svg object canvas audio video select textarea button head".split())
@@ -35,6 +40,8 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 CONTENT = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body div section article main nav header footer aside form menu dialog ul ol dl table tbody thead tfoot tr td th figure details blockquote center fieldset".split()) | SILENT
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+#: Elements without text of their own that stand inside a line.
+_INSIDE = frozenset("script style noscript template svg object canvas audio video select textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id and role that mark boilerplate.
 MARKS = frozenset(
@@ -44,7 +51,7 @@ MARKS = frozenset(
     "replies respond related recommended share sharing social toolbar pagination pager search dialog".split()
 )
 #: Parts of class names that say nothing of the content: a name of such parts and a mark is a mark.
-NEUTRAL = frozenset("box list links link bar block section container wrapper wrap area top bottom left right upper lower unit item items inner outer text panel site page global main primary secondary mobile desktop header slot row col column grid card group buttons button icons icon form by js u c".split())
+NEUTRAL = frozenset("box list links link bar block section container wrapper wrap area top bottom left right upper lower unit item items inner outer text panel site page global main primary secondary mobile desktop header slot row col column grid card group buttons button icons icon form by js u c user users reader readers visitor visitors".split())
 #: Elements that stay inside a head; any other ends one that was not closed.
 _HEAD = frozenset("head title meta link base script style noscript template".split())
 #: Blocks that are looked at only to leave them out. They end where the next block starts.
@@ -59,8 +66,9 @@ def _role(tag: str, attrs: str) -> str:
         return "drop"
     if not attrs.strip() or tag in ("html", "body"):
         return "content" if tag in CONTENT else "plain"
-    found = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(attrs)}
-    names = [re.findall(r"[a-z]+", x) for x in " ".join(found.get(k, "") for k in ("class", "id", "role")).split()]
+    given = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
+    found = {k: v.lower() for k, v in given.items()}
+    names = [[w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", x)] for x in " ".join(given.get(k, "") for k in ("class", "id", "role")).split()]
     boiler = any(parts and MARKS & set(parts) and set(parts) <= MARKS | NEUTRAL for parts in names)
     if tag not in _ALWAYS_OPEN and (boiler or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")):
         return "drop"
@@ -69,6 +77,49 @@ def _role(tag: str, attrs: str) -> str:
     return "plain"
 
 
+def _markup(page: str, at: int, last: int) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, tag, attributes) of each piece of markup from at on; comments and declarations have no
+    tag. last: where the page's last > is.
+
+    A tag ends at the first > outside of quoted attribute values; a quote that is never closed is none. A < behind which
+    no > follows begins no tag. Each character is looked at a fixed number of times.
+    """
+    while m := _OPEN.search(page, at):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, "", ""
+            continue
+        if at > last:
+            return
+        if m[2]:
+            at = page.find(">", at) + 1
+            yield start, at, False, "", ""
+            continue
+        pos = at
+        while True:
+            stop = _STOP.search(page, pos)
+            if stop is None:  # the last > is inside a quoted value
+                pos = last + 1
+                break
+            pos = stop.end()
+            if stop[1] is None:
+                break
+            close = page.find(stop[1], pos)
+            if close < 0:
+                pos = page.find(">", pos) + 1 or last + 1
+                break
+            pos = close + 1
+        yield start, max(pos, at), bool(m[3]), m[4].lower(), page[at : max(pos, at) - 1]
+        at = max(pos, at)
+
+
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def lines(page: str | None) -> list[tuple[str, bool, bool]]:
     """(text, inside a content container, inside boilerplate) of each block of a page, in page order."""
     out: list[tuple[str, bool, bool]] = []
@@ -94,20 +145,18 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
 
     at = 0
     size = len(page)
+    last = page.rfind(">")
+    pieces = _markup(page, 0, last)
     while at < size:
-        m = _MARKUP.search(page, at)
-        stop = m.start() if m else size
+        start, end, closes, tag, attrs = next(pieces, (size, size, False, "", ""))
         if not (stack and stack[-1][0] in SILENT):
-            buf.append(page[at:stop])
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+            buf.append(page[at:start])
+        at = end
         if not tag:
             continue
-        if not (tag in INLINE):
+        if tag not in INLINE and tag not in _INSIDE:
             flush()
-        if m[1]:
+        if closes:
             if tag in CONTAINERS:
                 i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if i is not None:
@@ -120,9 +169,9 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
             buf.clear()
         if stack and stack[-1][0] in _LEAVES and tag not in INLINE and tag not in VOID:
             pop_to(len(stack) - 1)
-        if tag in VOID or m[3].endswith("/") and tag not in CONTAINERS:
+        if tag in VOID or attrs.endswith("/") and tag not in CONTAINERS:
             continue
-        role = _role(tag, m[3])
+        role = _role(tag, attrs)
         if tag in ("header",) and not content:
             role = "drop"
         if tag in CONTENT and role == "content" and drop and stack[-1][0] in ("nav", "header", "div", "ul") and not content:
@@ -132,8 +181,9 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
             content += role == "content"
             drop += role == "drop"
         if tag in SILENT and tag != "head":
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.start() if end else size
+            close = _closing(tag).search(page, at)
+            at = close.start() if close else size
+            pieces = _markup(page, at, last)
     flush()
     return out
 
@@ -165,12 +215,28 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(page: list[tuple[str, bool, bool]], near: list[tuple[str, bool, bool]]) -> str:
-    """The page's text, given its lines and those of the nearest page."""
+def is_copy(page: list[str], shared: set[int]) -> bool:
+    """Whether the shared lines carry over two thirds of the page's characters."""
+    return 3 * sum(len(page[i]) for i in shared) > 2 * sum(map(len, page))
+
+
+def template(page: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> tuple[set[int], int]:
+    """(positions of the page's lines that the nearest page which is no copy holds too, lines shared with the nearest page of all).
+
+    near: neighbours, nearest first.
+    """
+    own, first = [x for x, _, _ in page], 0
+    for k, other in enumerate(near):
+        shared = common_lines(own, [x for x, _, _ in other])
+        first = len(shared) if k == 0 else first
+        if not is_copy(own, shared):
+            return shared, first
+    return set(), first
+
+
+def main_text(page: list[tuple[str, bool, bool]], shared: set[int]) -> str:
+    """The page's text, given its lines and which of them are template."""
     has = any(c and not d for _, c, d in page)
-    shared = common_lines([x for x, _, _ in page], [x for x, _, _ in near]) if near else set()
-    if len(shared) > 0.9 * len(page):
-        shared = set()  # a copy of the page tells nothing about its template
     return "\n".join(x for i, (x, c, d) in enumerate(page) if not d and (c if has else i not in shared))
 
 
@@ -196,11 +262,20 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
     block = lambda k: bisect.bisect_right(cuts, k)
     ends: dict[str, list[int]] = {}
     if cuts:
-        bucket = F.udf(block, "int")
-        edge = d.select("key").withColumn("block", bucket("key")).groupBy("block").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("block").collect()
-        for x, y in zip(edge, edge[1:]):  # a row or two for each block
-            ends.setdefault(x.hi, []).append(y.block)
-            ends.setdefault(y.lo, []).append(x.block)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([block(k) for k in b.column(0).to_pylist()], pa.int32()), b.column(0)], names=["block", "key"])
+
+        edge = d.select("key").mapInArrow(dealt, "block int, key string")
+        up, down = (F.row_number().over(Window.partitionBy("block").orderBy(k)) for k in (F.asc("key"), F.desc("key")))
+        edge = edge.select("block", "key", up.alias("up"), down.alias("down")).where((F.col("up") <= REACH) | (F.col("down") <= REACH))
+        rows = sorted((r.key, r.block) for r in edge.collect())  # 2 * REACH for each block
+        at = [b for _, b in rows]
+        for b in sorted(set(at)):
+            lo, hi = bisect.bisect_left(at, b), bisect.bisect_right(at, b)
+            for k, _ in rows[max(0, lo - REACH) : lo] + rows[hi : hi + REACH]:
+                ends.setdefault(k, []).append(b)
 
     routed = pa.schema([("block", pa.int32()), ("guest", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
 
@@ -221,24 +296,28 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
                 for r in b.to_pylist():
                     yield r | {"lines": lines(r.pop("html"))}
 
-        def finish(prev, cur, nxt):
-            near = [x for x in (prev, nxt) if x and x["block"] == cur["block"] and x["host"] == cur["host"]]
-            best = max(near, key=lambda x: _prefix(x["path"], cur["path"]), default=None)
-            other = best["lines"] if best else []
-            n_shared = len(common_lines([x[0] for x in cur["lines"]], [x[0] for x in other])) if other else 0
-            text = main_text(cur["lines"], other)
+        def finish(before, cur, after):
+            near = [(_prefix(x["path"], cur["path"]), -i, x["lines"]) for side in (before[::-1], after) for i, x in enumerate(side) if x["block"] == cur["block"] and x["host"] == cur["host"]]
+            near.sort(key=lambda x: x[:2], reverse=True)
+            shared, n_shared = template(cur["lines"], [x[2] for x in near])
+            text = main_text(cur["lines"], shared)
             return {"page_id": cur["page_id"], "url": cur["url"], "text": text, "n_chars": len(text), "n_shared": n_shared}
 
-        out, prev, cur = [], None, None
-        for nxt in rows():
-            if cur and not cur["guest"]:
-                out.append(finish(prev, cur, nxt))
-            prev, cur = cur, nxt
+        out, window, here = [], [], 0  # window[here] is the next page to be finished
+        for nxt in chain(rows(), repeat(None, REACH)):
+            if nxt is not None:
+                window.append(nxt)
+            if len(window) - here > REACH or nxt is None and here < len(window):
+                cur = window[here]
+                if not cur["guest"]:
+                    out.append(finish(window[max(0, here - REACH) : here], cur, window[here + 1 : here + 1 + REACH]))
+                here += 1
+            if here > REACH:
+                window.pop(0)
+                here -= 1
             if len(out) >= 100:
                 yield pa.RecordBatch.from_pylist(out, schema=result)
                 out = []
-        if cur and not cur["guest"]:
-            out.append(finish(prev, cur, None))
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=result)
 

@@ -702,3 +702,69 @@ def test_a_result_outlives_another_release(spark):
     assert sorted(first.collect()) == rows and third.count() == 5
     with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
         second.count()
+
+
+def test_malformed_pages_are_parsed_in_linear_time():
+    import time
+
+    began = time.monotonic()
+    for page in ("<a " * 350_000, "<a " * 350_000 + ">x", '<a x="' * 170_000 + ">x", "<script>a</script>b" * 50_000, "<!--" * 250_000, "<" * 1_000_000, "<p '" * 250_000):
+        html_extract.lines(page)
+    assert time.monotonic() - began < 20
+    began = time.monotonic()
+    html_extract.lines("<a " * 350_000)
+    assert time.monotonic() - began < 1
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>x <button>b</button> y</p>", "x y"),
+    ("<p alt=\"x'>stray", "stray"),
+    ("<p don't>it's</p><p title='a>b'>t</p>", "it's\nt"),
+    ("<div class='user-comments'>c</div><div class=adContainer>d</div><div id=cookieBanner>e</div><p>a</p>", "a"),
+    ("a < b <b>c</b> <i", "a < b c <i"),
+])
+def test_page_markup_that_is_odd(page, text):
+    assert html_extract.main_text(html_extract.lines(page), set()) == text
+
+
+def page_rows() -> list[tuple]:
+    """Pages without containers: a template of the host, an article; some are copies of one article on neighbouring urls."""
+    rng = random.Random(8)
+    line = lambda k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(12))
+    rows = []
+    for h in range(3):
+        top, foot = line("menu"), line("foot")
+        for i in range(40):
+            body = [line("word") for _ in range(5)] if i % 4 else body_of(h)
+            rows.append((1000 * h + i, f"http://h{h}.com/{i // 8}/{i:03d}", f"<p>{top}</p>" + "".join(f"<p>{b}</p>" for b in body) + f"<p>{foot}</p>"))
+    lone = [line("alone") for _ in range(3)]
+    return rows + [(9000 + i, f"http://twins.com/{i}", "".join(f"<p>{b}</p>" for b in [*lone, f"own menu {i}"])) for i in range(2)] + [(9100, None, None), (9101, "", "<p>only</p>")]
+
+
+def body_of(h: int) -> list[str]:
+    return [f"the same article {h} with its sentence {k} and some more words" for k in range(6)]
+
+
+def test_pages_differ_from_their_nearest_page_that_is_no_copy(spark):
+    rows = page_rows()
+    host = lambda u: (u or "").split("://")[-1].split("/")[0] if "://" in (u or "") else ""
+    path = lambda u: "/" + u.split("://")[-1].split("/", 1)[1] if "://" in (u or "") else ""
+    ordered = sorted(rows, key=lambda r: (host(r[1]), path(r[1]), r[0]))
+    want = {}
+    for i, (k, u, h) in enumerate(ordered):
+        own = [x for x, _, _ in html_extract.lines(h)]
+        some = [(j, ordered[j]) for j in [*range(i - 1, i - 4, -1), *range(i + 1, i + 4)] if 0 <= j < len(ordered) and host(ordered[j][1]) == host(u)]
+        some = [r for _, r in sorted(some, key=lambda x: -html_extract._prefix(path(x[1][1]), path(u)))]
+        gone: set = set()
+        for r in some:
+            other = [x for x, _, _ in html_extract.lines(r[2])]
+            shared = html_extract.common_lines(own, other)
+            if 3 * sum(len(own[n]) for n in shared) <= 2 * sum(map(len, own)):
+                gone = shared
+                break
+        want[k] = "\n".join(x for n, x in enumerate(own) if n not in gone)
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (256, 5):
+        got = {r.page_id: r.text for r in html_extract.extract(d.repartition(4), block_pages=size).collect()}
+        assert got == want
+    assert want[9000].endswith("own menu 0") and want[4].split("\n") == body_of(0) and not any("menu" in want[1000 * h + i] for h in range(3) for i in range(40))
