@@ -524,12 +524,7 @@ for _m in uplift.MODES:
 
 @query("uplift_auc", f"WITH {SCORES} SELECT " + ", ".join(f"(SELECT round(auc, 6) FROM {sql_area(sql_curve(m))}) AS {m}" for m in uplift.MODES))
 def uplift_auc(spark, d):
-    s = scores(spark, d)
-    out = None
-    for m in uplift.MODES:
-        one = uplift.uplift_auc(s, "u", "p", "w", m).select(F.round("auc", 6).alias(m))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    return rounded(uplift.curve_areas(scores(spark, d), "u", "p", "w"), *uplift.MODES)
 
 
 @query("uplift_auc_normed", f"""WITH {SCORES}, i AS (SELECT *, CASE WHEN w = 1 THEN 2 * u ELSE 1 - 2 * u END AS ideal FROM s)

@@ -1,7 +1,7 @@
 """Running sums and neighbours over a whole ordered table, without one task that holds it.
 
-Rows are dealt into ranges of the order column by approximate quantiles (one extra pass, a few hundred numbers on the
-driver). A sum is that of the ranges before plus the running sum inside the range; any bounds give the same result, they
+The table is written once (callers group it by the order column first, so that it is small), then dealt into ranges of the
+order column by approximate quantiles (a few hundred numbers on the driver). A sum is that of the ranges before plus the running sum inside the range; any bounds give the same result, they
 only decide how evenly the ranges are filled.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import hold
+
 RANGES = 200
 
 
@@ -34,6 +36,7 @@ def running(df: DataFrame, order: str, names: list[str], *groups: str, descendin
 
     The order column is to be distinct inside a group; null comes first, or last if descending.
     """
+    df = hold(df)
     bounds = df.agg(_quantiles(order)).first()[0] or []
     x = df.withColumn("_range", _range(df, order, bounds))
     turn = F.desc if descending else F.asc
@@ -53,6 +56,7 @@ def running(df: DataFrame, order: str, names: list[str], *groups: str, descendin
 
 def neighbours(df: DataFrame, order: str, names: list[str]) -> DataFrame:
     """df with last_x, x of the row before in the order (null for the first). Ties are taken in the order of names."""
+    df = hold(df)
     bounds = df.agg(_quantiles(order)).first()[0] or []
     x = df.withColumn("_range", _range(df, order, bounds))
     w = Window.partitionBy("_range").orderBy(order, *names)

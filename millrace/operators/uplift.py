@@ -15,25 +15,53 @@ def perfect_score(y: Column, treatment: Column) -> Column:
     return F.when(treatment == 1, F.when(y == 1, 2).otherwise(0)).otherwise(F.when(y == 1, -1).otherwise(1))
 
 
-def curve(df: DataFrame, y: str, score: str, treatment: str, mode: str = "adj_qini") -> DataFrame:
-    """(share, value): at the start and after each distinct score, downwards."""
+SUMS = ("n", "nt", "yt", "yc")
+
+
+def _sums(df: DataFrame, y: str, score: str, treatment: str) -> DataFrame:
+    """For each distinct score s, downwards: rows n, treated nt, responses of the treated yt and of the others yc, with what
+    came before (before_n ...) and the whole (all_n ...)."""
     t = F.col(treatment).cast("double")
     yy = F.col(y).cast("double")
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(t).alias("nt"), F.sum(yy * t).alias("yt"), F.sum(yy * (F.lit(1.0) - t)).alias("yc"))
-    sums = ["n", "nt", "yt", "yc"]
-    by = running(by, "s", sums, descending=True)
-    c = by.select("s", *[(F.col(f"before_{k}") + F.col(k)).alias(k) for k in sums], F.col("all_n").alias("all"), F.col("all_nt").alias("allt"))
-    nc, allc = F.col("n") - F.col("nt"), F.col("all") - F.col("allt")
+    return running(by, "s", list(SUMS), descending=True)
+
+
+def _point(n: Column, nt: Column, yt: Column, yc: Column, mode: str) -> tuple[Column, Column]:
+    """(share, value) of a curve where so much has been summed up."""
+    allt, rest, allc = F.col("all_nt"), n - nt, F.col("all_n") - F.col("all_nt")
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     value = {
-        "qini": ratio(F.col("yt"), F.col("allt")) - ratio(F.col("yc"), allc),
-        "cum_gain": (ratio(F.col("yt"), F.col("nt")) - ratio(F.col("yc"), nc)) * F.col("n") / F.col("all"),
-        "adj_qini": ratio(F.col("yt") - F.col("yc") * ratio(F.col("nt"), nc), F.col("allt")),
+        "qini": ratio(yt, allt) - ratio(yc, allc),
+        "cum_gain": (ratio(yt, nt) - ratio(yc, rest)) * n / F.col("all_n"),
+        "adj_qini": ratio(yt - yc * ratio(nt, rest), allt),
     }[mode]
-    points = c.select((F.col("n") / F.col("all")).alias("share"), value.alias("value"))
+    return n / F.col("all_n"), value
+
+
+def _ends(mode: str) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """The curve's points before and after a score."""
+    before = [F.col(f"before_{k}") for k in SUMS]
+    return _point(*before, mode), _point(*[b + F.col(k) for b, k in zip(before, SUMS)], mode)
+
+
+def curve(df: DataFrame, y: str, score: str, treatment: str, mode: str = "adj_qini") -> DataFrame:
+    """(share, value): at the start and after each distinct score, downwards."""
+    share, value = _ends(mode)[1]
+    points = _sums(df, y, score, treatment).select(share.alias("share"), value.alias("value"))
     return points.unionByName(df.sparkSession.range(1).select(F.lit(0.0).alias("share"), F.lit(0.0).alias("value")))
 
 
+def curve_areas(df: DataFrame, y: str, score: str, treatment: str, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """A column for each mode: trapezoids under its curve. All come from one table of running sums: the point before a row is
+    made of the sums before it."""
+    parts = []
+    for m in modes:
+        (x0, v0), (x1, v1) = _ends(m)
+        parts.append(F.coalesce(F.sum((x1 - x0) * (v1 + v0) / 2), F.lit(0.0)).alias(m))
+    return _sums(df, y, score, treatment).agg(*parts)
+
+
 def area(points: DataFrame) -> DataFrame:
     """(auc): trapezoids under a curve."""
     x = neighbours(points.select("share", "value"), "share", ["share", "value"])
@@ -42,12 +70,12 @@ def area(points: DataFrame) -> DataFrame:
 
 def uplift_auc(df: DataFrame, y: str, score: str, treatment: str, mode: str = "adj_qini", normed: bool = False) -> DataFrame:
     """(auc), normed: 0 for random and 1 for the ideal order."""
-    got = area(curve(df, y, score, treatment, mode))
+    got = curve_areas(df, y, score, treatment, (mode,)).select(F.col(mode).alias("auc"))
     if not normed:
         return got
     lo = base_area(df, y, treatment)
     ideal = df.withColumn("_ideal", perfect_score(F.col(y), F.col(treatment)))
-    hi = area(curve(ideal, y, "_ideal", treatment, mode)).select(F.col("auc").alias("hi"))
+    hi = curve_areas(ideal, y, "_ideal", treatment, (mode,)).select(F.col(mode).alias("hi"))
     return got.crossJoin(lo).crossJoin(hi).select(((F.col("auc") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("auc"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -41,3 +42,22 @@ class Workspace:
         for path in gone:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+
+
+#: Tables that lazy results may still read.
+_held: dict[int, Workspace] = {}
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df, written once for results that read it several times and are not computed yet; deleted when the process ends."""
+    at = _held.setdefault(id(df.sparkSession.sparkContext), Workspace(df.sparkSession))
+    return at.keep(df)
+
+
+def _clear() -> None:
+    for w in _held.values():
+        if w.spark.sparkContext._jsc is not None:  # a stopped session can't delete any more
+            w.clear()
+
+
+atexit.register(_clear)
