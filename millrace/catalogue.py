@@ -16,7 +16,7 @@ from .functions.scalar import hash24, hash_fold, hash_unit
 from .functions import losses
 from .operators import additive, blend, boosting, categorical, dates, metalearners, models, numeric, selection, texts, uplift
 from .plans import automl, folds, pipelines, reader, report, selectors, tuning
-from .sources.tables import batches
+from .sources.tables import batches, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -550,7 +550,7 @@ _DOCS = f"k AS (SELECT doc_id, {_EN} AS toks FROM documents)"
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", texts.tokens_en(F.col("text")).alias("toks"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", texts.tokens_en(F.col("text")).alias("toks"))
 
 
 @query("tokenize_en", f"WITH {_DOCS} SELECT doc_id, array_to_string(toks, ' ') AS tokens FROM k")
@@ -574,17 +574,20 @@ def document_frequencies(spark, d):
     return rounded(texts.document_frequencies(tokens(spark, d), "toks"), "idf")
 
 
-@query("tfidf", f"""WITH {_DOCS}, t AS (SELECT doc_id, unnest(toks) AS token FROM k), f AS (SELECT token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
-v AS (SELECT token, ln((1.0 + (SELECT count(*) FROM documents)) / (df + 1)) + 1 AS idf FROM f ORDER BY df DESC, token LIMIT 1000), x AS (SELECT doc_id, token, count(*) * any_value(idf) AS w FROM t JOIN v USING (token) GROUP BY 1, 2)
-SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
+TFIDF = f"""WITH {_DOCS}, t AS (SELECT doc_id, unnest(toks) AS token FROM k), f AS (SELECT token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+v AS (SELECT token, ln((1.0 + (SELECT count(*) FROM documents)) / (df + 1)) + 1 AS idf FROM f ORDER BY df DESC, token LIMIT 30000), x AS (SELECT doc_id, token, count(*) * any_value(idf) AS w FROM t JOIN v USING (token) GROUP BY 1, 2)
+SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x"""
+
+
+@query("tfidf", TFIDF)
 def tfidf(spark, d):
-    x = tokens(spark, d)
-    return rounded(texts.tfidf(x, "doc_id", "toks", texts.document_frequencies(x, "toks", top=1000)), "weight")
+    """Over the operator's own vocabulary of 30,000 tokens, fitted and applied in one go."""
+    return rounded(texts.fit_tfidf(tokens(spark, d), "doc_id", "toks")[1], "weight")
 
 
-@query("tfidf_whole")
+@query("tfidf_whole", TFIDF)
 def tfidf_whole(spark, d):
-    """tfidf over the operator's own vocabulary of 30,000 tokens; the query tfidf is bounded by its SQL."""
+    """The same with a vocabulary that was fitted before."""
     x = tokens(spark, d)
     return rounded(texts.tfidf(x, "doc_id", "toks", texts.document_frequencies(x, "toks")), "weight")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +70,31 @@ def permuted(df: DataFrame, column: str, key: str, seed: int = 42, buckets: int
 
 
 def gram(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, sums and sums of products of a vector column's dimensions: d * (d + 1) numbers, whatever the rows."""
-    x = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "a"))
-    x = x.select("i", "a", F.posexplode("v").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"), F.sum("a").alias("t"), F.count("*").alias("n"))
-    rows = x.collect()
-    if not rows:
+    """Row count, sums and sums of products of a vector column's dimensions: d * (d + 1) numbers, whatever the rows.
+
+    Each task multiplies its own rows and returns one row for each dimension; these are added up by a groupBy.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t, g = 0, None, None
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                n, t, g = n + len(x), (x.sum(axis=0) if t is None else t + x.sum(axis=0)), (x.T @ x if g is None else g + x.T @ x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int32()), pa.array([n] * len(t), pa.int64()), pa.array(t), pa.array(list(g), pa.list_(pa.float64()))], names=["i", "n", "t", "g"])
+
+    x = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    parts = x.mapInArrow(work, "i int, n long, t double, g array<double>").select("i", "n", "t", F.posexplode("g").alias("j", "s"))
+    rows = parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
+    if not rows.num_rows:
         return 0, np.zeros(0), np.zeros((0, 0))
-    d = max(r.i for r in rows) + 1
-    g, t = np.zeros((d, d)), np.zeros(d)
-    for r in rows:
-        g[r.i, r.j] = r.s
-        t[r.i] = r.t
-    return rows[0].n, t, g
+    i, j, s, t, n = (rows.column(c).to_numpy() for c in ("i", "j", "s", "t", "n"))
+    d = int(i.max()) + 1
+    g, sums = np.zeros((d, d)), np.zeros(d)
+    g[i, j] = s
+    sums[i] = t
+    return int(n[0]), sums, g
 
 
 def project(df: DataFrame, vector: str, key: str, k: int, centred: bool = True) -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import hold
+from .selection import gram
+
 #: English function words (fixed values).
 STOPWORDS_EN = "a an and are as at be but by for from had has have he her his i in is it its of on or she that the their they this to was we were will with you".split()
 
@@ -36,20 +43,38 @@ def tokens_ru(text: Column, stopwords: list[str] | None = None) -> Column:
 
 def document_frequencies(df: DataFrame, tokens: str, min_df: int = 5, max_df: float = 1.0, top: int | None = 30_000) -> DataFrame:
     """(token, df, idf) of the vocabulary: the most frequent tokens within the bounds; idf = log((1 + N) / (1 + df)) + 1."""
-    n = df.count()
     each = df.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return _vocabulary(each, df.count(), min_df, max_df, top)
+
+
+def _vocabulary(each: DataFrame, n: int, min_df: int, max_df: float, top: int | None) -> DataFrame:
     kept = each.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     if top is not None:
         kept = kept.orderBy(F.desc("df"), "token").limit(top)
     return kept.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)
 
 
+def term_counts(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, token, tf): how often a text holds a token."""
+    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+
+
 def tfidf(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """(key, token, weight): term counts times idf, each document scaled to the length 1."""
-    tf = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    raw = tf.join(vocabulary, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
+    return _weighted(term_counts(df, key, tokens), key, vocabulary)
+
+
+def _weighted(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    raw = counts.join(vocabulary, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "token", (F.col("w") / norm).alias("weight"))
+
+
+def fit_tfidf(df: DataFrame, key: str, tokens: str, min_df: int = 5, max_df: float = 1.0, top: int | None = 30_000) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, tfidf of df by it): texts are tokenised and counted once, the counts are written and read for both."""
+    counts = hold(term_counts(df, key, tokens))
+    voc = _vocabulary(counts.groupBy("token").agg(F.count("*").alias("df")), df.select(key).count(), min_df, max_df, top)
+    return voc, _weighted(counts, key, voc)
 
 
 def word_weights(df: DataFrame, tokens: str, kind: str = "sif", a: float = 1e-3) -> DataFrame:
@@ -87,18 +112,17 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
 
     Documents stay sparse; products with their Gram matrix run on executors, and the driver holds top * k numbers.
     """
-    import numpy as np
     from pyspark.mllib.linalg import SparseVector, VectorUDT
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     sc = df.sparkSession.sparkContext
-    voc = document_frequencies(df, tokens, min_df=min_df, top=top)
+    voc, weights = fit_tfidf(df, key, tokens, min_df, top=top)
     names = [r.token for r in voc.orderBy(F.desc("df"), "token").select("token").collect()]
     if not names:
         return df.select(key)
     n, k = len(names), max(1, min(k, len(names) - 1))
     place = df.sparkSession.createDataFrame(list(zip(names, range(n))), "token string, i int")
-    w = tfidf(df, key, tokens, voc).join(place, "token")
+    w = weights.join(place, "token")
     rows = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("s"))
     sparse = F.udf(lambda s: SparseVector(n, [x.i for x in s], [x.weight for x in s]), VectorUDT())
     held = rows.select(sparse("s").alias("v")).persist()
@@ -109,8 +133,15 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
     dirs = np.pad(dirs, ((0, 0), (0, k - dirs.shape[1])))  # directions without any weight
     dirs = dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), range(k)])
     shared = sc.broadcast(dirs)
-    onto = F.udf(lambda s: (np.array([x.weight for x in s]) @ shared.value[[x.i for x in s]]).tolist(), "array<double>")
-    got = rows.select(key, onto("s").alias("p"))
+
+    def onto(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b.column(1).offsets.to_numpy()
+            i, x = (b.column(c).flatten().to_numpy() for c in (1, 2))
+            parts = [x[lo - ends[0] : hi - ends[0]] @ shared.value[i[lo - ends[0] : hi - ends[0]]] for lo, hi in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.float64()))], names=[key, "p"])
+
+    got = rows.select(key, "s.i", "s.weight").mapInArrow(onto, f"{key} {df.schema[key].dataType.simpleString()}, p array<double>")
     return df.select(key).join(got, key, "left").select(key, *[F.coalesce(F.col("p")[j], F.lit(0.0)).alias(f"svd_{j}") for j in range(k)])
 
 
@@ -123,10 +154,6 @@ def random_projection(df: DataFrame, key: str, tokens: str, dims: int = 16, how:
 
 def without_first_direction(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vector): vectors less their part along the first singular direction of all of them."""
-    import numpy as np
-
-    from .selection import gram
-
     n, _, g = gram(vectors, vector)
     if not n:
         return vectors.select(key, vector)

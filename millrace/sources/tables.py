@@ -39,6 +39,13 @@ def read_table(spark: SparkSession, data: Any, **options) -> DataFrame:
     raise TypeError(f"no reader for {type(data).__name__}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores: for costly work per row over a table of a few files, whose
+    splits would keep most cores idle. A table of many splits stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def count_lines(spark: SparkSession, path: str, header: bool = True) -> int:
     """Lines of a text file that aren't blank, without the header."""
     return spark.read.text(path).where(F.trim("value") != "").count() - int(header)
