@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions import metrics as M
 from .functions.scalar import hash24, hash_fold, hash_unit
 from .functions import losses
-from .operators import additive, blend, boosting, categorical, dates, metalearners, models, numeric, selection, texts, uplift
-from .plans import automl, folds, pipelines, reader, report, selectors, tuning
+from .operators import additive, binning, blend, boosting, categorical, dates, metalearners, models, numeric, selection, texts, uplift
+from .plans import automl, explain, folds, levels, pipelines, reader, report, selectors, tuning
 from .sources.tables import batches, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -842,6 +842,50 @@ def automl_multiclass(spark, d):
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("prediction").alias("n_predicted"), F.sum(fine.cast("long")).alias("n_distributions"))
 
 
+@query("nested_levels", f"WITH {JOINED} SELECT count(*) AS n, count(*) AS n_probabilities, 0 AS n_changed FROM j WHERE fold % 2 = 0")
+def nested_levels(spark, d):
+    """Two levels of boosted trees, nested, trained twice: the second time the targets of one fold are turned around. The SQL
+    states that no prediction of that fold has seen its target."""
+    x = joined(spark, d).withColumn("fold", F.col("fold") % 2)
+    p = boosting.Params(rounds=2, rate=0.5, depth=2, patience=2)
+    task, columns = levels.Task("binary", "y", "o_orderkey"), ["o_totalprice", "c_acctbal", "o_orderpriority"]
+    graph = lambda: levels.Graph([[levels.Boost(p)], [levels.Boost(p)]], inner=2)
+    a = graph().fit_predict(x, columns, task, 2).where("fold = 0").select("o_orderkey", F.col("prediction").alias("a"))
+    turned = x.withColumn("y", F.when(F.col("fold") == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    b = graph().fit_predict(turned, columns, task, 2).where("fold = 0").select("o_orderkey", F.col("prediction").alias("b"))
+    fine = F.col("a").between(0, 1).cast("long")
+    return a.join(b, "o_orderkey").agg(F.count("*").alias("n"), F.sum(fine).alias("n_probabilities"), F.sum((F.col("a") != F.col("b")).cast("int")).cast("int").alias("n_changed"))
+
+
+@query("text_feature_oof", "SELECT count(*) AS n, count(*) AS n_probabilities FROM documents JOIN labels USING (doc_id)")
+def text_feature_oof(spark, d):
+    """Quality by a hashed text model of each fold; the SQL states the rows and the bounds."""
+    x = tokens(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("fold", hash_fold(F.col("doc_id"), 3))
+    _, out = models.text_oof(x, "toks", "quality", "binary", 3, "p")
+    return out.agg(F.count("*").alias("n"), F.sum(F.col("p").between(0, 1).cast("long")).alias("n_probabilities"))
+
+
+@query("text_surrogate", r"""WITH w AS (SELECT item_id, len(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))) AS n FROM benchmark)
+SELECT item_id, least(n, 10)::BIGINT AS tokens FROM w WHERE n > 0""")
+def text_surrogate(spark, d):
+    """The ten tokens of each item that move its share of the letter e most, by a ridge surrogate; the SQL states their number."""
+    score = lambda t: t.withColumn("score", F.length(F.regexp_replace("text", "[^e]", "")) / F.greatest(F.lit(1), F.length("text")))
+    got = explain.surrogate(spread(table(spark, d, "benchmark")), "text", "item_id", score, samples=50)
+    return got.groupBy("item_id").agg(F.count("*").alias("tokens"))
+
+
+@query("supervised_bins", "SELECT 'c_acctbal' AS feature, true AS no_less, true AS few UNION ALL SELECT 'o_totalprice', true, true FROM (SELECT 1 FROM orders LIMIT 1)")
+def supervised_bins(spark, d):
+    """The SQL states what must hold of bins cut by the target: five at most, and no less information value than quantile bins."""
+    x = joined(spark, d)
+    columns = ["c_acctbal", "o_totalprice"]
+    ours, plain = binning.SupervisedBins.fit(x, columns, "y"), numeric.QuantileBinning.fit(x, columns, 5)
+    coded = plain.apply(ours.apply(x))
+    iv = lambda c: models.woe_table(coded, c, "y").agg(F.sum("iv")).first()[0]
+    rows = [(c, iv(f"sbin__{c}") >= iv(f"qntl__{c}") - 1e-3, len(ours.cuts[c]) <= 4) for c in columns]
+    return spark.createDataFrame(rows, "feature string, no_less boolean, few boolean")
+
+
 @query("pca")
 def pca(spark, d):
     return selection.project(table(spark, d, "embeddings"), "embedding", "vec_id", 500)

@@ -129,3 +129,113 @@ def test_the_loop_takes_other_losses(table):
     out = m.fit_predict(table.select("id", "a", "b", "k"), "a", "id", {"k": "category", "b": "numeric"})
     share = out.agg(F.avg((F.col("a") < F.col("prediction")).cast("int")).alias("s")).first().s
     assert 0.8 < share < 0.97
+
+
+def flipped(table):
+    """The table with the targets of fold 0 turned around."""
+    return table.withColumn("y", F.when(F.col("fold") == 0, 1 - F.col("y")).otherwise(F.col("y")))
+
+
+def test_no_prediction_of_nested_levels_saw_its_target(table):
+    from millrace.plans import levels
+
+    task = levels.Task("binary", "y", "id")
+    p = boosting.Params(rounds=3, rate=0.5, depth=2, patience=2)
+    of = lambda nested, t: {r.id: (r.fold, r.prediction) for r in levels.Graph([[levels.Boost(p), levels.Linear()], [levels.Boost(p)]], nested=nested, inner=2).fit_predict(t, ["a", "b", "k"], task, 3).collect()}
+    a, b = of(True, table), of(True, flipped(table))
+    assert len(a) == 600 and all(0 < v < 1 for _, v in a.values())
+    assert all(a[i] == b[i] for i in a if a[i][0] == 0) and any(a[i] != b[i] for i in a if a[i][0] != 0)
+    c, d = of(False, table), of(False, flipped(table))
+    assert any(c[i] != d[i] for i in c if c[i][0] == 0)  # shared folds: what nesting is for
+
+
+def test_levels_predict_new_rows_and_blend_within_time(spark, table):
+    from millrace.plans import levels
+
+    task = levels.Task("multiclass", "cls", "id", 3)
+    x = table.withColumn("cls", F.when(F.col("a") > 0.5, 2).when(F.col("a") > -0.5, 1).otherwise(0))
+    p = boosting.Params(rounds=3, rate=0.5, depth=2, patience=2)
+    g = levels.Graph([[levels.Boost(p)], [levels.Boost(p)]], nested=False, skip=False)
+    out = g.fit_predict(x, ["a", "b"], task, 3)
+    assert out.where(F.array_position("prediction", F.array_max("prediction")) - 1 == F.col("cls")).count() > 540
+    assert g.predict(x.select("id", "a", "b").limit(3)).where(F.abs(F.aggregate("prediction", F.lit(0.0), lambda s, v: s + v) - 1) < 1e-9).count() == 3
+    done, w, mixed = levels.utilise(table, ["a", "b"], levels.Task("binary", "y", "id"), 3, [levels.Graph([[levels.Boost(p)]], nested=False), levels.Graph([[levels.Linear()]], nested=False)], 1e9)
+    assert len(done) == 2 and abs(sum(w) - 1) < 1e-9 and mixed.where("prediction is null").count() == 0
+    done, w, _ = levels.utilise(table, ["a"], levels.Task("binary", "y", "id"), 3, [levels.Graph([[levels.Linear()]], nested=False)] * 2, 0.0)
+    assert len(done) == 1 and w == [1.0]
+
+
+def test_blend_weights_are_near_the_best(spark):
+    from millrace.operators import blend
+
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=500)
+    a, b = y + rng.normal(size=500), y + rng.normal(size=500) / 2
+    df = spark.createDataFrame([(float(t), float(u), float(v)) for t, u, v in zip(y, a, b)], "y double, a double, b double")
+    w = blend.optimise_weights(df, ["a", "b"], lambda p: F.avg((F.col("y") - p) * (F.col("y") - p)), -1)
+    best = ((b - y) @ (b - a)) / ((b - a) @ (b - a))
+    assert abs(w[0] - best) < 1e-3
+
+
+def test_text_feature_of_a_fold_equals_a_model_without_it(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, [str(w) for w in rng.choice(words, 12)] if i % 20 else None, i % 3) for i in range(240)]
+    rows = [(i, t, int("w1" in (t or []) or "w2" in (t or [])), f) for i, t, f in rows]
+    df = spark.createDataFrame(rows, "id long, t array<string>, y int, fold int")
+    _, out = models.text_oof(df, "t", "y", "binary", 3, "p", slots=1 << 12)
+    assert out.count() == 240 and out.where("p is null").count() == 0
+    other = df.where("fold != 1")
+    est = models.linear("binary", 1 / (2 * 240 * 0.1))
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    put = lambda d: d.withColumns({"t": F.coalesce("t", F.array().cast("array<string>")), "_y": F.col("y").cast("double")})
+    m = Pipeline(stages=[HashingTF(inputCol="t", outputCol="h", numFeatures=1 << 12), IDF(inputCol="h", outputCol="i"), Normalizer(inputCol="i", outputCol="_features"), est]).fit(put(other))
+    want = {r.id: r.p for r in m.transform(put(df.where("fold = 1"))).select("id", vector_to_array("_prob")[1].alias("p")).collect()}
+    got = {r.id: r.p for r in out.where("fold = 1").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_surrogate_equals_plain_ridge(spark):
+    from millrace.plans import explain
+
+    df = spark.createDataFrame([(1, "good film with a bad end"), (2, ""), (3, None), (4, " ".join(f"t{i}" for i in range(300)))], "id long, text string")
+    score = lambda t: t.withColumn("score", F.when(F.col("text").contains("good"), 1.0).otherwise(0.2) - F.when(F.col("text").contains("bad"), 0.5).otherwise(0.0))
+    got = explain.surrogate(df, "text", "id", score, samples=60, top=None).collect()
+    rows = explain.perturbed(df.where("id in (1, 4)"), "text", "id", 60, 1)
+    for key, n in ((1, 6), (4, 300)):
+        some = score(rows.where(F.col("id") == key)).orderBy("_s").collect()
+        x, y = np.array([[0.0 if o else 1.0 for o in r._off] for r in some]), np.array([r.score for r in some])
+        k = np.exp(-((100 * (1 - np.sqrt(x.mean(axis=1))) / 25) ** 2))
+        full = np.hstack([x, np.ones((len(x), 1))])
+        pen = np.eye(n + 1)
+        pen[n, n] = 0
+        want = np.linalg.solve(full.T @ (full * k[:, None]) + pen, full.T @ (k * y))
+        mine = {r.token: r.weight for r in got if r.id == key}
+        assert len(mine) == n and all(abs(mine[w] - v) < 1e-6 for w, v in zip(some[0]._w, want))
+    best = {r.token: r.weight for r in explain.surrogate(df, "text", "id", score, samples=60, top=2).where("id = 1").collect()}
+    assert set(best) == {"good", "bad"} and best["good"] > 0 > best["bad"]
+    assert {r.id for r in got} == {1, 4}
+
+
+def test_supervised_bins_tell_at_least_what_quantile_bins_tell(spark):
+    from millrace.operators import binning, numeric
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=3000)
+    y = ((np.abs(x) > 1) ^ (rng.random(3000) < 0.2)).astype(int)
+    df = spark.createDataFrame([(float(v) if i % 30 else None, int(t), float(i % 3)) for i, (v, t) in enumerate(zip(x, y))], "x double, y int, z double")
+    fitted = binning.SupervisedBins.fit(df, ["x", "z"], "y")
+    iv = lambda d, c: sum(r.iv for r in models.woe_table(d, c, "y").collect())
+    ours, plain = fitted.apply(df), numeric.QuantileBinning.fit(df, ["x"], 5).apply(df)
+    assert iv(ours, "sbin__x") > iv(plain, "qntl__x") and len(fitted.cuts["x"]) <= 4
+    assert ours.where("x is null and sbin__x != 0").count() == 0
+    # exact on a few fine bins: every way to cut them
+    from itertools import combinations
+
+    pos, neg = rng.integers(0, 30, 9).astype(float), rng.integers(1, 30, 9).astype(float)
+    worth = lambda cut: binning.information(*(np.add.reduceat(v, [0, *cut]) for v in (pos, neg))).sum() if all(s.sum() >= 0.1 * (pos + neg).sum() for s in np.split(pos + neg, cut)) else -1
+    best = max((list(c) for k in range(4) for c in combinations(range(1, 9), k)), key=worth)
+    assert abs(worth(binning.best_cuts(pos, neg, 4, 0.1)) - worth(best)) < 1e-12
