@@ -296,15 +296,53 @@ def gini_normalized(spark, d):
     return rounded(M.gini(o, "y", "o_totalprice", "o_orderkey"), "gini")
 
 
-@query("role_stats")
+def sql_encoded(column: str, source: str = "j") -> str:
+    """SELECT x, y: out-of-fold means of a column of a table with y and fold."""
+    return f"""SELECT code AS x, y FROM {source} t JOIN (WITH j AS (SELECT {column} AS f, fold, y FROM {source}), {sql_target('f', 'y', True)} SELECT v, fold AS cfold, code FROM cells) c ON t.{column} = c.v AND t.fold = c.cfold"""
+
+
+def sql_counted(column: str) -> str:
+    """SELECT x, y: how often the value was seen."""
+    return f"SELECT CAST(n AS DOUBLE) AS x, y FROM j JOIN (SELECT {column} AS v, count(*) AS n FROM j GROUP BY 1) ON {column} = v"
+
+
+def sql_ginis(parts: dict[tuple[str, str], str]) -> str:
+    """SELECT feature, kind, gini of tables of x and y."""
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, '{k}' AS kind, x, y FROM ({q})" for (f, k), q in parts.items())
+    return f"(SELECT feature, kind, abs(2 * auc - 1) AS gini FROM {sql_auc(f'({rows})', 'feature', 'kind')})"
+
+
+_NUMBERS = ("o_totalprice", "c_acctbal", "c_nationkey")
+_BINS = ", ".join(
+    f"b_{c} AS (SELECT fold, y, 1 + (SELECT count(*) FROM (SELECT DISTINCT unnest(quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM j) WHERE e < j.{c}) AS q FROM j)" for c in _NUMBERS
+)
+_ROLE_PARTS = {(c, k): q for c in _NUMBERS for k, q in (("raw", f"SELECT CAST({c} AS DOUBLE) AS x, y FROM j"), ("binned", sql_encoded("q", f"b_{c}")), ("encoded", sql_encoded(c)), ("freq", sql_counted(c)))}
+_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, count(DISTINCT {c}) AS n_unique, (SELECT max(k) FROM (SELECT count(*) AS k FROM j GROUP BY {c})) AS most FROM j" for c in _NUMBERS)
+
+
+@query("role_stats", f"""WITH {JOINED}, {_BINS}, u AS {sql_ginis(_ROLE_PARTS)},
+g AS (SELECT feature, {", ".join(f"max(gini) FILTER (kind = '{k}') AS {k}" for k in ("raw", "binned", "encoded", "freq"))} FROM u GROUP BY 1),
+p AS ({_PROFILE}), r AS (SELECT *, list_sort([{", ".join(f"{{'s': -{k}, 'i': {i}}}" for i, k in enumerate(("raw", "binned", "encoded", "freq")))}]) AS r FROM g JOIN p USING (feature)),
+a AS (SELECT *, -r[1].s AS a0, -r[2].s AS a1, -r[3].s AS a2, max(-r[1].s) OVER () AS top FROM r),
+k AS (SELECT *, r[1].i = 0 AS raw_best, n_unique <= 2 AS two_values, n_unique / n > 0.999 AS many_values, coalesce(a0 / nullif(a2, 0) < 1.1, false) AS no_matter,
+  r[1].i = 1 AND coalesce(a0 / nullif(a2, 0) > 2, true) AS bins_win, r[2].i = 0 AND coalesce(a0 / nullif(a1, 0) < 1.1, false) AS raw_near, coalesce(a0 / nullif(top, 0) < 0.2, true) OR a0 < 0.04 AS weak FROM a),
+z AS (SELECT *, raw_best OR two_values OR many_values OR no_matter OR bins_win OR raw_near OR weak AS number FROM k)
+SELECT feature, round(raw, 6) AS raw, round(binned, 6) AS binned, round(encoded, 6) AS encoded, round(freq, 6) AS freq, 0.0 AS nan_rate, n_unique, n_unique / n AS unique_rate, most / n AS top_freq,
+  raw_best, two_values, many_values, no_matter, bins_win, raw_near, weak, CASE WHEN number AND NOT weak AND coalesce(binned / nullif(raw, 0) > 2, false) THEN 'numeric_binned' WHEN number THEN 'numeric'
+  WHEN n_unique < 10 THEN 'category_int' WHEN coalesce(freq / nullif(encoded, 0) > 1.3, false) THEN 'category_freq' ELSE 'category_auto' END AS role, n_unique / n > 0.01 AS ordinal FROM z""")
 def role_stats(spark, d):
-    s = reader.numeric_stats(joined(spark, d), ["o_totalprice", "c_acctbal", "c_nationkey"], "y", "fold")
-    return reader.encoding_rules(s)
+    s = reader.numeric_stats(joined(spark, d), list(_NUMBERS), "y", "fold")
+    return rounded(reader.encoding_rules(s), "raw", "binned", "encoded", "freq")
+
 
+_CATEGORIES = ("o_orderpriority", "c_mktsegment")
+_CATEGORY_PARTS = {(c, k): q for c in _CATEGORIES for k, q in (("encoded", sql_encoded(c)), ("freq", sql_counted(c)), ("ord", f"SELECT CAST(k AS DOUBLE) AS x, y FROM j JOIN (SELECT {c} AS v, rank() OVER (ORDER BY {c}) AS k FROM j GROUP BY 1) ON {c} = v"))}
 
-@query("category_roles")
+
+@query("category_roles", f"""WITH {JOINED}, u AS {sql_ginis(_CATEGORY_PARTS)}, g AS (SELECT feature, {", ".join(f"max(gini) FILTER (kind = '{k}') AS {k}" for k in ("encoded", "freq", "ord"))} FROM u GROUP BY 1)
+SELECT feature, round(encoded, 6) AS encoded, round(freq, 6) AS freq, round(ord, 6) AS ord, CASE WHEN encoded >= greatest(freq, ord) THEN 'auto' WHEN freq >= ord THEN 'freq' ELSE 'ord' END AS handler FROM g""")
 def category_roles(spark, d):
-    return reader.category_rules(reader.category_stats(joined(spark, d), ["o_orderpriority", "c_mktsegment"], "y", "fold"))
+    return rounded(reader.category_rules(reader.category_stats(joined(spark, d), list(_CATEGORIES), "y", "fold")), "encoded", "freq", "ord")
 
 
 @query("class_mapping", "SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS class FROM (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1)")
@@ -558,7 +596,10 @@ def tokenize_en(spark, d):
     return tokens(spark, d).select("doc_id", F.array_join("toks", " ").alias("tokens"))
 
 
-@query("tokenize_ru")
+@query("tokenize_ru", r"""WITH f AS (SELECT doc_id, trim(regexp_replace(replace(replace(coalesce(text, ''), 'ё', 'е'), 'Ё', 'Е'), '[^A-Za-zА-Яа-я0-9]+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda w: length(w) > 1 AND NOT regexp_matches(w, '[0-9]')) AS w FROM f),
+c AS (SELECT doc_id, array_to_string(list_transform(w, lambda w: CASE WHEN length(w) <= 5 AND length(regexp_replace(w, '[^A-ZА-Я]', '', 'g')) > 1 THEN w ELSE lower(w) END), ' ') AS t FROM w)
+SELECT doc_id, trim(replace(replace(' ' || t, ' не ', ' не'), ' ни ', ' ни')) AS tokens FROM c""")
 def tokenize_ru(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(texts.tokens_ru(F.col("text")), " ").alias("tokens"))
 
@@ -934,18 +975,31 @@ def simple_features(spark, d):
     return rounded(s.apply(x).select("o_orderkey", *s.names), "time__o_orderdate")
 
 
-@query("advanced_features")
-def advanced_features(spark, d):
-    x = joined(spark, d)
-    s = pipelines.advanced_features(x, _roles(), "y", "fold")
-    return s.apply(x).select("o_orderkey", *[F.col(f"`{n}`") for n in s.names])
+_DAYS = "(epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2020-01-01')) / 8.64e10"
+_SCALED = {"scaler__fillnamed__c_acctbal": "c_acctbal", "scaler__fillnamed__o_totalprice": "o_totalprice", "scaler__fillnamed__time__o_orderdate": _DAYS}
+_CODES = ", ".join(f"{n} AS (SELECT {c} AS {n}v, row_number() OVER (ORDER BY count(*) DESC, {c}) AS {n}k, count(*) AS {n}n FROM j GROUP BY 1 HAVING count(*) > 5)" for n, c in (("a", "c_mktsegment"), ("b", "o_orderpriority")))
+_CODED = "j LEFT JOIN a ON c_mktsegment = av LEFT JOIN b ON o_orderpriority = bv"
 
 
-@query("linear_features")
+@query("linear_features", f"""WITH {JOINED}, {_CODES} SELECT o_orderkey, {", ".join(f"round(({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER (), 5) AS {n}" for n, x in _SCALED.items())},
+{", ".join(f"CAST(coalesce({t}k = {k}, false) AS FLOAT) AS ohe_{k}__le__{c}" for t, c in (("a", "c_mktsegment"), ("b", "o_orderpriority")) for k in range(1, 6))} FROM {_CODED}""")
 def linear_features(spark, d):
     x = joined(spark, d)
     s = pipelines.linear_features(x, _roles())
-    return s.apply(x).select("o_orderkey", *s.names)
+    return rounded(s.apply(x).select("o_orderkey", *s.names), *_SCALED, to=5)
+
+
+@query("advanced_features", f"""WITH {JOINED}, {_CODES}, x AS (SELECT *, c_mktsegment || '__' || o_orderpriority AS pair FROM j), m AS (SELECT o_orderkey AS mkey, code FROM x JOIN (WITH j AS (SELECT pair AS f, fold, y FROM x),
+{sql_target('f', 'y', True)} SELECT v, fold AS cfold, code FROM cells) c ON x.pair = c.v AND x.fold = c.cfold)
+SELECT o_orderkey, c_acctbal, o_totalprice, round({_DAYS}, 6) AS time__o_orderdate, CAST(month(o_orderdate) AS INTEGER) AS season_m__o_orderdate, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS season_wd__o_orderdate,
+CAST(hour(CAST(o_orderdate AS TIMESTAMP)) AS INTEGER) AS season_hour__o_orderdate, CAST(an AS DOUBLE) AS freq__c_mktsegment, CAST(bn AS DOUBLE) AS freq__o_orderpriority, CAST(ak AS INTEGER) AS le__c_mktsegment,
+CAST(bk AS INTEGER) AS le__o_orderpriority, round(code, 6) AS "oof__(c_mktsegment__o_orderpriority)" FROM {_CODED} JOIN m ON o_orderkey = mkey""")
+def advanced_features(spark, d):
+    x = joined(spark, d)
+    s = pipelines.advanced_features(x, _roles(), "y", "fold")
+    out = s.apply(x).select("o_orderkey", *[F.col(f"`{n}`") for n in s.names])
+    oof = "oof__(c_mktsegment__o_orderpriority)"
+    return rounded(out, "time__o_orderdate").withColumn(oof, F.round(F.col(f"`{oof}`"), 6))
 
 
 @query("scorecard")
