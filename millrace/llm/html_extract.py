@@ -30,7 +30,6 @@ from .url_filter import url_parts
 
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _STOP = re.compile(r"=\s*([\"'])|>")
-_LINES = pa.list_(pa.struct([("text", pa.string()), ("content", pa.bool_()), ("drop", pa.bool_())]))
 #: Pages before and after a page among which its pair is looked for.
 REACH = 3
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -278,18 +277,20 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
             for k, _ in rows[max(0, lo - REACH) : lo] + rows[hi : hi + REACH]:
                 ends.setdefault(k, []).append(b)
 
-    routed = pa.schema([("block", pa.int32()), ("guest", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", _LINES)])
+    routed = pa.schema([("block", pa.int32()), ("guest", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("marks", pa.list_(pa.int8()))])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("key").to_pylist()
             own = [(i, block(k), False) for i, k in enumerate(keys)]
             own += [(i, t, True) for i, k in enumerate(keys) for t in ends.get(k, ())]
-            parsed = pa.array([[{"text": t, "content": c, "drop": d} for t, c, d in lines(h.as_py())] for h in b.column("html")], _LINES)
+            parsed = [lines(h) for h in b.column("html").to_pylist()]
             at = pa.array([x[0] for x in own], pa.int64())
             cols = [pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own], pa.bool_())]
-            cols += [b.column(c.name).cast(c.type).take(at) for c in list(routed)[2:-1]]
-            yield pa.RecordBatch.from_arrays([*cols, parsed.take(at)], schema=routed)
+            cols += [b.column(c.name).cast(c.type).take(at) for c in list(routed)[2:-2]]
+            cols.append(pa.array([[x[0] for x in p] for p in parsed], pa.list_(pa.string())).take(at))
+            cols.append(pa.array([[x[1] + 2 * x[2] for x in p] for p in parsed], pa.list_(pa.int8())).take(at))  # content, boilerplate
+            yield pa.RecordBatch.from_arrays(cols, schema=routed)
 
     result = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())])
 
@@ -297,7 +298,7 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
         def rows():
             for b in batches:
                 for r in b.to_pylist():
-                    yield r | {"lines": [(x["text"], x["content"], x["drop"]) for x in r["lines"]]}
+                    yield r | {"lines": [(t, m & 1 > 0, m & 2 > 0) for t, m in zip(r["lines"], r["marks"])]}
 
         def finish(before, cur, after):
             near = [(_prefix(x["path"], cur["path"]), -i, x["lines"]) for side in (before[::-1], after) for i, x in enumerate(side) if x["block"] == cur["block"] and x["host"] == cur["host"]]
@@ -324,7 +325,7 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=result)
 
-    spread = d.select("host", "path", "key", "page_id", "url", "html").mapInArrow(route, "block int, guest boolean, host string, path string, key string, page_id long, url string, lines array<struct<text:string,content:boolean,drop:boolean>>")
+    spread = d.select("host", "path", "key", "page_id", "url", "html").mapInArrow(route, "block int, guest boolean, host string, path string, key string, page_id long, url string, lines array<string>, marks array<tinyint>")
     ordered = spread.repartition("block").sortWithinPartitions("block", "key", "guest")
     return ordered.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_shared long")
 
