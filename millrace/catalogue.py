@@ -872,6 +872,27 @@ def automl_selected(spark, d):
     return out.agg(F.count("*").alias("n"), F.sum(F.col("prediction").between(0, 1).cast("long")).alias("n_probabilities"), F.lit(",".join(m.selector.selected)).alias("columns"))
 
 
+@query("automl_text", "SELECT count(*) AS n, count(*) AS n_probabilities, true AS no_worse FROM documents JOIN labels USING (doc_id)")
+def automl_text(spark, d):
+    """Quality by text and source; the SQL states the rows, their bounds, and a loss not above that of the share of good ones."""
+    x = spread(table(spark, d, "documents").select("doc_id", "text", "source")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    m = automl.TabularAutoML("binary", n_folds=2, algorithms=("boost",), boosting=boosting.Params(rounds=3, rate=0.5, depth=2, patience=2, least_rows=5))
+    out = m.fit_predict(x, "quality", "doc_id", {"text": "text"})
+    y = F.col("quality").cast("double")
+    plain = F.avg("quality")
+    return out.agg(F.count("*").alias("n"), F.sum(F.col("prediction").between(0, 1).cast("long")).alias("n_probabilities"),
+                   (M.logloss(y, F.col("prediction")) <= 0.02 - plain * F.log(plain) - (1 - plain) * F.log(1 - plain)).alias("no_worse"))
+
+
+@query("parsed_roles", """SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS DOUBLE) AS price, CAST(TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN '2020-13-45' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS TIMESTAMP) AS day,
+CAST(DATE '2000-01-01' + CAST(o_orderkey % 1000 AS INTEGER) AS TIMESTAMP) AS counted, CAST(o_custkey AS VARCHAR) AS customer FROM orders""")
+def parsed_roles(spark, d):
+    x = table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("price"),
+        F.when(F.col("o_orderkey") % 5 == 0, "2020-13-45").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), (F.col("o_orderkey") % 1000).alias("counted"), F.col("o_custkey").alias("customer"))
+    return reader.cast_roles(x, {"price": reader.Role("numeric"), "day": reader.Role("datetime", {"format": "yyyy-MM-dd"}), "counted": reader.Role("datetime", {"unit": "D", "origin": "2000-01-01"}), "customer": reader.Role("category")})
+
+
 @query("automl_multiclass", "SELECT o_orderstatus, count(*) AS n, count(*) AS n_predicted, count(*) AS n_distributions FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IS NOT NULL GROUP BY 1")
 def automl_multiclass(spark, d):
     """The SQL states what must hold of any model: each row once, with a distribution over the three classes."""

@@ -163,13 +163,13 @@ def linear_path(df: DataFrame, features: list[str], target: str, task: str, n_fo
     return best[1], best[2], best[3]
 
 
-def text_oof(df: DataFrame, tokens: str, target: str, task: str, n_folds: int, name: str, slots: int = 1 << 16, strength: float = 0.1, fold: str = "fold", n_classes: int = 1) -> tuple[Fitted, DataFrame]:
+def text_oof(df: DataFrame, tokens: str, target: str, task: str, n_folds: int, name: str, slots: int = 1 << 16, strength: float = 0.1, steps: int = 30, fold: str = "fold", n_classes: int = 1) -> tuple[Fitted, DataFrame]:
     """(models, df with a text's score as an out-of-fold feature): a linear model of hashed token counts for each fold, fitted on
     the other folds. Vectors are sparse, weights are as many as slots, whatever the vocabulary."""
     term = [HashingTF(inputCol=tokens, outputCol="_hot__text", numFeatures=slots), IDF(inputCol="_hot__text", outputCol="_hot__idf"), Normalizer(inputCol="_hot__idf", outputCol="_features")]
     x = df.withColumn(tokens, F.coalesce(tokens, F.array().cast("array<string>")))
     n = x.count()
-    return fit_folds(x, [], target, task, linear(task, 1 / (2 * max(1, n) * strength)), n_folds, name, fold, n_classes=n_classes, stages=term)
+    return fit_folds(x, [], target, task, linear(task, 1 / (2 * max(1, n) * strength)).setMaxIter(steps), n_folds, name, fold, n_classes=n_classes, stages=term)
 
 
 def tune(df: DataFrame, features: list[str], target: str, task: str, key: str, trials: int = 4, seed: int = 42, timer: Timer | None = None, n_classes: int = 1) -> dict:

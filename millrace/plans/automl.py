@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses
 from ..functions import metrics as M
-from ..operators import additive, blend, boosting, categorical, dates, models, numeric
+from ..operators import additive, blend, boosting, categorical, dates, models, numeric, texts
 from .folds import kfold, stratified_kfold
 from .reader import Role, guess_roles, profile, usable
 from .selectors import Problem, Selector
@@ -74,6 +74,7 @@ class TabularAutoML:
     algorithms: linear (encoded features), additive (a weight for each value of a category), trees (Spark's boosting; with
     several classes the same as boost), boost (histogram boosting on the raw columns, stopped on each fold). selector
     chooses columns before any of them is trained; with tuning, so many trials on a holdout set boost's parameters.
+    Columns of the role text become features text__x: out-of-fold scores of a hashed linear text model (one for each class).
     loss: of the boosted models, a name or an object of functions.losses.
     """
 
@@ -102,6 +103,7 @@ class TabularAutoML:
             self.selector.fit(raw, columns, Problem(label, self.task, key, k, tuple(self._categories()), params=self.boosting))
             self.roles = {c: r for c, r in self.roles.items() if c in self.selector.selected or f"time__{c}" in self.selector.selected}
         x = kfold(df, key, self.n_folds) if self.task == "reg" else stratified_kfold(df, key, target, self.n_folds)
+        x = self._texts(x, label, k)
         self.features = Features.fit(x, self.roles, label, self.task, n_classes=k)
         # every fold, strength and pass of a solver reads the features; lost or evicted blocks are computed anew
         x = kept = self.features.apply(x, train=True).persist(StorageLevel.MEMORY_AND_DISK)
@@ -119,6 +121,23 @@ class TabularAutoML:
         self.names, self._kept = preds, kept
         return x.withColumn("prediction", self.blended(preds, self.weights)).select(key, target, *preds, "prediction")
 
+    def _texts(self, x: DataFrame, label: str, k: int) -> DataFrame:
+        """x with the features of its text columns, which count as numbers from here on."""
+        self.text_models = {}
+        for c in [c for c, r in self.roles.items() if r.name == "text"]:
+            tokens = x.withColumn(f"_tokens__{c}", texts.tokens_en(F.col(c)))
+            m, out = models.text_oof(tokens, f"_tokens__{c}", label, self.task, self.n_folds, f"text__{c}", n_classes=k)
+            self.text_models[c] = m
+            x, names = self._flat(out.drop(f"_tokens__{c}"), f"text__{c}", k)
+            self.roles |= {n: Role("numeric") for n in names}
+        return x
+
+    def _flat(self, x: DataFrame, name: str, k: int) -> tuple[DataFrame, list[str]]:
+        if self.task != "multiclass":
+            return x, [name]
+        names = [f"{name}_{i}" for i in range(k)]
+        return x.withColumns({n: F.col(name)[i] for i, n in enumerate(names)}).drop(name), names
+
     def release(self) -> None:
         """Let go of the training features, once the out-of-fold predictions have been read."""
         self._kept.unpersist()
@@ -148,7 +167,11 @@ class TabularAutoML:
         return models.fit_folds(x, self.features.names, label, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer, n_classes=k)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        x = self._raw(self.features.apply(df))[0]
+        x = df
+        for c, m in self.text_models.items():
+            x = m.predict(x.withColumn(f"_tokens__{c}", texts.tokens_en(F.col(c)))).drop(f"_tokens__{c}")
+            x, _ = self._flat(x, m.name, m.n_classes)
+        x = self._raw(self.features.apply(x))[0]
         for m in self.models:
             x = m.predict(x)
         return x.withColumn("prediction", self.blended(self.names, self.weights)).select(*df.columns, "prediction")

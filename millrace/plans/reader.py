@@ -39,6 +39,33 @@ def guess_roles(df: DataFrame, given: dict[str, str] | None = None) -> dict[str,
     return out
 
 
+#: Microseconds of the units that numbers count times in.
+UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "D": 86_400_000_000}
+
+
+def cast_roles(df: DataFrame, roles: dict[str, Role]) -> DataFrame:
+    """df with columns of the type that their role needs; what cannot be read becomes null, nothing fails.
+
+    Numeric: double (also from text). Datetime: text by the option format, or as Spark reads it; numbers count the option unit
+    (us, ms, s or D) from the option origin (a date, 1970-01-01 without one). Category and text: string.
+    """
+    out = {}
+    for c, r in roles.items():
+        if c not in df.columns:
+            continue
+        kind, x = df.schema[c].dataType, F.col(c)
+        if r.name == "numeric":
+            out[c] = x.cast("double") if isinstance(kind, (T.NumericType, T.BooleanType)) else x.cast("string").try_cast("double")
+        elif r.name == "datetime" and isinstance(kind, T.NumericType):
+            start = F.unix_micros(F.to_timestamp(F.lit(r.options.get("origin", "1970-01-01"))))
+            out[c] = F.timestamp_micros((x.cast("double") * UNITS[r.options.get("unit", "s")]).try_cast("long") + start)
+        elif r.name == "datetime" and isinstance(kind, T.StringType):
+            out[c] = F.try_to_timestamp(x, F.lit(r.options["format"])) if "format" in r.options else x.try_cast("timestamp")
+        elif r.name in ("category", "text"):
+            out[c] = x.cast("string")
+    return df.withColumns(out)
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n, nan_rate, n_unique, unique_rate, top_freq): missing share, distinct values, and the share of the most
     frequent one; from one unpivot and two aggregates for all columns."""

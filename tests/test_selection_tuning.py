@@ -183,7 +183,7 @@ def test_text_feature_of_a_fold_equals_a_model_without_it(spark):
     rows = [(i, [str(w) for w in rng.choice(words, 12)] if i % 20 else None, i % 3) for i in range(240)]
     rows = [(i, t, int("w1" in (t or []) or "w2" in (t or [])), f) for i, t, f in rows]
     df = spark.createDataFrame(rows, "id long, t array<string>, y int, fold int")
-    _, out = models.text_oof(df, "t", "y", "binary", 3, "p", slots=1 << 12)
+    _, out = models.text_oof(df, "t", "y", "binary", 3, "p", slots=1 << 12, steps=100)
     assert out.count() == 240 and out.where("p is null").count() == 0
     other = df.where("fold != 1")
     est = models.linear("binary", 1 / (2 * 240 * 0.1))
@@ -239,3 +239,20 @@ def test_supervised_bins_tell_at_least_what_quantile_bins_tell(spark):
     worth = lambda cut: binning.information(*(np.add.reduceat(v, [0, *cut]) for v in (pos, neg))).sum() if all(s.sum() >= 0.1 * (pos + neg).sum() for s in np.split(pos + neg, cut)) else -1
     best = max((list(c) for k in range(4) for c in combinations(range(1, 9), k)), key=worth)
     assert abs(worth(binning.best_cuts(pos, neg, 4, 0.1)) - worth(best)) < 1e-12
+
+
+def test_roles_cast_what_they_can_and_the_loop_reads_texts(spark):
+    from millrace.plans import reader
+
+    df = spark.createDataFrame([(1, "2.5", "03/01/2020", 1.0, True), (2, "x", "99/99/2020", None, None), (3, None, None, float("nan"), False)], "id long, n string, t string, d double, b boolean")
+    roles = {"n": reader.Role("numeric"), "t": reader.Role("datetime", {"format": "dd/MM/yyyy"}), "d": reader.Role("datetime", {"unit": "D"}), "b": reader.Role("numeric"), "absent": reader.Role("numeric")}
+    got = [(r.n, r.t and r.t.day, r.b) for r in reader.cast_roles(df, roles).orderBy("id").collect()]
+    assert got == [(2.5, 3, 1.0), (None, None, None), (None, None, 0.0)]
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(str(w) for w in rng.choice(["red", "green", "blue", "white"], 6)), float(rng.normal())) for i in range(200)]
+    x = spark.createDataFrame([(i, t if i % 17 else None, v, int("red" in t)) for i, t, v in rows], "id long, t string, v double, y int")
+    m = automl.TabularAutoML("binary", n_folds=2, algorithms=("boost",), boosting=boosting.Params(rounds=5, rate=0.5, depth=2, patience=3, least_rows=5))
+    out = m.fit_predict(x, "y", "id", {"t": "text"})
+    assert out.count() == 200 and m.predict(x.limit(9)).where("prediction between 0 and 1").count() == 9
+    r = out.join(x.select("id", "t"), "id").where("t is not null").agg(F.avg(((F.col("prediction") > 0.5).cast("int") == F.col("y")).cast("int")).alias("v")).first()
+    assert r.v > 0.9
