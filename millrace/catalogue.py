@@ -15,7 +15,7 @@ from .functions import metrics as M
 from .functions.scalar import hash24, hash_fold, hash_unit
 from .functions import losses
 from .operators import additive, binning, blend, boosting, categorical, dates, metalearners, models, numeric, selection, texts, uplift
-from .plans import automl, explain, folds, levels, pipelines, reader, report, selectors, tuning
+from .plans import automl, explain, folds, levels, pipelines, reader, report, selectors, tuning, uplift_search
 from .sources.tables import batches, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -971,6 +971,17 @@ for _m in metalearners.LEARNERS:
     _learner(_m)
 
 
+@query("uplift_search", "SELECT 8 AS candidates, 16 AS fits, true AS best_is_greatest, count(*) AS n, count(*) AS n_predicted FROM orders")
+def uplift_search_query(spark, d):
+    """Four learners over two kinds of base models, judged on held-out rows. The SQL states that eight base models of each kind
+    were fitted once, and that the winner has the greatest area and predicts all rows."""
+    x = scores(spark, d).withColumns({"f1": F.col("t") / 1e5, "f2": hash_unit(F.col("o_orderkey"))})
+    kinds = {"linear": uplift_search.linear, "boosted": uplift_search.boosted(boosting.Params(rounds=2, rate=0.5, depth=2, patience=2))}
+    found = uplift_search.search(x, ["f1", "f2"], "u", "w", "o_orderkey", kinds=kinds)
+    great = found.areas[found.best] == max(found.areas.values())
+    return found.predict(x).agg(F.lit(len(found.areas)).alias("candidates"), F.lit(found.fits).alias("fits"), F.lit(great).alias("best_is_greatest"), F.count("*").alias("n"), F.count("uplift").alias("n_predicted"))
+
+
 @query("text_explanation")
 def text_explanation(spark, d):
     """Which tokens move a text's share of the letter e."""

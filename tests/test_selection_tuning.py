@@ -256,3 +256,21 @@ def test_roles_cast_what_they_can_and_the_loop_reads_texts(spark):
     assert out.count() == 200 and m.predict(x.limit(9)).where("prediction between 0 and 1").count() == 9
     r = out.join(x.select("id", "t"), "id").where("t is not null").agg(F.avg(((F.col("prediction") > 0.5).cast("int") == F.col("y")).cast("int")).alias("v")).first()
     assert r.v > 0.9
+
+
+def test_uplift_search_fits_each_base_once_and_finds_the_effect(spark):
+    from millrace.plans import uplift_search
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(1500):
+        a, w = float(rng.normal()), int(rng.random() < 0.4)
+        rows.append((i, a, w, int(rng.random() < 0.3 + (0.5 if w and a > 0 else 0.0))))
+    df = spark.createDataFrame(rows, "id long, a double, w int, y int").cache()
+    kinds = {"linear": uplift_search.linear, "boosted": uplift_search.boosted(boosting.Params(rounds=4, rate=0.5, depth=2, patience=3))}
+    found = uplift_search.search(df, ["a"], "y", "w", "id", kinds=kinds)
+    assert len(found.areas) == 8 and found.fits == 16 and all(set(b.known) == {"outcome", "outcome0", "outcome1", "propensity", "effect0", "effect1", "residual", "dependent"} for b in found.bases.values())
+    assert found.areas[found.best] == max(found.areas.values())
+    out = found.predict(df)
+    mean = {r.s: r.m for r in out.groupBy((F.col("a") > 0).alias("s")).agg(F.avg("uplift").alias("m")).collect()}
+    assert mean[True] > 0.25 and abs(mean[False]) < 0.2 and set(out.columns) == {*df.columns, "uplift"}
