@@ -76,8 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents; each stage's documents are written to the shared folder and reread, and
-    what
-    the stage before wrote in this run is deleted then; tables that other results read stay."""
+    what the stage before wrote in this run is deleted then; tables that other results read stay."""
     before = made()
     docs = queries.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
