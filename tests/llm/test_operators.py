@@ -651,7 +651,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     want = con.execute(queries.ORACLE[name]).df()
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
-    key = lambda d: sorted(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False))
+    key = lambda d: sorted(tuple(str(round(float(v), 6)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v) for v in r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False))
     assert key(got) == key(want)
 
 
