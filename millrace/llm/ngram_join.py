@@ -16,7 +16,9 @@ one random order, then under another) meet in one task, in salted portions of at
 the earlier point that it can overlap most; those without one meet again. Verified pairs make groups. Only blocks that
 still hold different groups are joined by their trees, and only pairs across groups count: first a few of
 each point, those with the most room; blocks with more come again once those have been verified, in the end with all. So every link is found or lies inside a group, and a
-group of thousands of near copies costs time in proportion to its size. In a block beyond ``chunk`` points the largest
+group of thousands of near copies costs time in proportion to its size. Two long texts with a common passage meet in
+hundreds of blocks, but only one of them returns the pair: the first block that is among the FIRST lowest of both; texts
+with no such block are paired wherever they meet. In a block beyond ``chunk`` points the largest
 group is dealt out in portions and only the points outside of it are sent to all of them.
 
 What moves: a block key and a number for each first shingle once, points (512 bytes) of those that share one, and for a
@@ -45,6 +47,8 @@ ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Pairs that a block's join returns for each point in each round, those with the most room. A block with more of them comes
 #: into the next round; the last round returns all that are left.
 ROUNDS = (4, 16, None)
+#: Lowest blocks of a point that tell which of two points' common blocks returns the pair.
+FIRST = 16
 
 
 def _sets(batch: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -287,15 +291,15 @@ def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point) rows; each: so many for
-    each point and block. (block, null) for a block that has more."""
+    """Pairs (a, b) of nodes of different groups, from (block, cnt, top, most, node, comp, size, point, first) rows; each: so
+    many for each point and block. (block, null) for a block that has more."""
     whole, out = F.col("cnt") <= chunk, F.col("comp") != F.col("top")
     n_out, n_top = (F.ceil(c / chunk).cast("int") for c in (F.col("cnt") - F.col("most"), F.col("most")))
     spread = lambda k: F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")
     own = F.when(whole, F.lit(0)).when(out, spread(n_out)).otherwise(n_out + spread(n_top))
     others = F.when(whole, F.array(F.lit(0))).when(out, F.sequence(F.lit(0), n_out + n_top - 1)).otherwise(F.sequence(F.lit(0), n_out - 1))
     x = blocks.withColumn("own", own).withColumn("other", F.explode(others))
-    x = x.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "size", "point")
+    x = x.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "size", "point", "first")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +308,8 @@ def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) ->
             if len(np.unique(comp)) < 2:
                 continue
             point = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), GROUPS)
-            p, q, more = _across(comp, size, point, side, percent, each)
+            first = np.frombuffer(b"".join(r[8].ljust(8 * FIRST, b"\0") for r in rows), ">i8").reshape(len(rows), FIRST)
+            p, q, more = _across(rows[0][0], comp, size, point, first, side, percent, each)
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(f(node[p], node[q])) for f in (np.minimum, np.maximum)], schema=schema)
             if more:
@@ -314,9 +319,24 @@ def candidates(blocks: DataFrame, percent: int, chunk: int, each: int | None) ->
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndarray, percent: int, each: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of different groups that survive the tree join: within side 0, or between the sides 0 and 1. Whether there
-    are more."""
+def lowest(members: DataFrame) -> DataFrame:
+    """(node, first) of (block, node) rows: the FIRST lowest blocks of each node as bytes."""
+    longs = F.slice(F.sort_array(F.collect_list("block")), 1, FIRST)
+    return members.groupBy("node").agg(F.unhex(F.array_join(F.transform(longs, lambda b: F.lpad(F.hex(b), 16, "0")), "")).alias("first"))
+
+
+def _owned(block: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the block is the one that returns a pair, for the lowest blocks of its ends (0: none). Of all common blocks the
+    lowest is among the lowest of both ends if any common one is."""
+    common = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x != 0)
+    return ~common.any(axis=1) | (np.where(common, x, np.iinfo(np.int64).max).min(axis=1) == block)
+
+
+def _across(
+    block: int, comp: np.ndarray, size: np.ndarray, point: np.ndarray, first: np.ndarray, side: np.ndarray, percent: int, each: int | None
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of different groups that survive the tree join and are this block's: within side 0, or between the sides 0
+    and 1. Whether there are more."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     a = Tree(point[left], size[left])
     b, other = (Tree(point[right], size[right]), right) if len(right) else (a, left)
@@ -324,6 +344,7 @@ def _across(comp: np.ndarray, size: np.ndarray, point: np.ndarray, side: np.ndar
     for p, q, room in tree_join(a, b, percent):
         p, q = left[p], other[q]
         differ = comp[p] != comp[q]
+        differ[differ] = _owned(block, first[p[differ]], first[q[differ]])
         ps.append(p[differ]), qs.append(q[differ]), rooms.append(room[differ])
     p, q, room = np.concatenate(ps), np.concatenate(qs), np.concatenate(rooms)
     if each is not None and len(p):
@@ -424,7 +445,7 @@ def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk:
     members = keep(_blocks(prof, reps, keep))
     some = keep(reps.select("node", "place", "key").join(members.select("node").distinct(), "node", "left_semi"))
     least = [f"m{k}" for k in range(len(ORDERS))]
-    shapes = keep(prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point", *least).join(some.select("node"), "node", "left_semi"))
+    shapes = keep(prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point", *least).join(some.select("node"), "node", "left_semi").join(lowest(members), "node"))
     tried = keep(_drawn(shapes, percent, chunk, keep).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comp = keep(components(keep(verify(tried, docs, some, n, percent, chunk)), keep).where("id <> root"))
     for each in ROUNDS:

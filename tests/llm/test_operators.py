@@ -103,6 +103,39 @@ def test_ngram_join_of_a_chain_and_a_large_group(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == linked_components(rows)
 
 
+def test_ngram_join_of_long_texts_with_common_passages(spark):
+    """Texts that meet in many blocks: some linked, most only alike. Small chunks split the blocks into portions."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}x{rng.randrange(10**6)}" for _ in range(300)) for k in range(6)]
+    rows = []
+    for i in range(70):
+        parts = rng.sample(passages, 3) + [" ".join(f"o{i}x{j}" for j in range(rng.choice([20, 60, 200, 700])))]
+        rows.append((i, " ".join(parts), "en", "s", 0))
+    for i in range(70, 90):
+        words = rows[rng.randrange(70)][1].split()
+        words[rng.randrange(len(words))] = f"e{i}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    d = spark.createDataFrame(rows, DOCS)
+    for chunk in (1024, 16):
+        got = ngram_join.join(d, chunk=chunk)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == linked_components(rows)
+
+
+def test_a_pair_belongs_to_its_first_common_block(spark):
+    rng = random.Random(4)
+    held = {node: rng.sample(range(-60, 60), rng.choice([3, 20, 60])) for node in range(30)}
+    members = spark.createDataFrame([(b or 99, n) for n, bs in held.items() for b in bs], "block long, node long")
+    first = {r.node: np.frombuffer(bytes(r.first).ljust(8 * ngram_join.FIRST, b"\0"), ">i8")[None] for r in ngram_join.lowest(members).collect()}
+    several = 0
+    for a in held:
+        for b in range(a):
+            common = {x or 99 for x in held[a]} & {x or 99 for x in held[b]}
+            owners = [k for k in common if ngram_join._owned(k, first[a], first[b])[0]]
+            assert (min(common) in owners) if common else not owners
+            several += len(owners) > 1
+    assert several < 60
+
+
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(0)
     sets = [set(rng.choice(400, rng.integers(20, 60), replace=False).tolist()) for _ in range(80)]
