@@ -21,8 +21,8 @@ hundreds of blocks, but only one of them returns the pair: the first block that
 with no such block are paired wherever they meet. In a block beyond ``chunk`` points the largest
 group is dealt out in portions and only the points outside of it are sent to all of them.
 
-What moves: a block key and a number for each first shingle once, points (512 bytes) of those that share one, and for a
-verified pair the text of the end with fewer pairs; the other end's text goes once to each ``chunk`` of its partners.
+What moves: a block key and a number for each first shingle once, points (512 bytes) and lowest blocks (128 bytes) of those
+that share one, and for a verified pair the text of the end with fewer pairs; the other end's text goes once to each ``chunk`` of its partners.
 Shingles that very many texts hold are counted by partial sums, all others by key.
 """
 
