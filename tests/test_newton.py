@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from millrace.operators import models
+from millrace.operators import additive, models, newton
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,15 @@ def test_softmax_equals_sparks(rows):
     assert np.allclose(fitted.models[0].coef, lr.coefficientMatrix.toArray(), atol=5e-3)
     assert out.where(F.abs(F.aggregate("p", F.lit(0.0), lambda s, v: s + v) - 1) > 1e-9).count() == 0
 
+
+@pytest.mark.parametrize("room", [6, 30])
+def test_large_categories_stay_off_the_driver(monkeypatch, rows, room):
+    """Weights of values that the driver doesn't hold equal those of one dense fit; with little room both categories are large."""
+    whole, want = additive.fit(rows, ["a"], ["k", "u"], "y", "binary", 3, "p", path=(1.0,))
+    monkeypatch.setattr(newton, "DENSE", room)
+    part, got = additive.fit(rows, ["a"], ["k", "u"], "y", "binary", 3, "p", path=(1.0,))
+    assert whole.fitted.models[0].coef.shape == part.fitted.models[0].coef.shape == (1, 1)
+    w, g = ({(r.feature, r.value): r.weight for r in m.weights(1).collect()} for m in (whole, part))
+    assert w.keys() == g.keys() and len(w) == 2 + 40 + 7 + 2 and max(abs(w[k] - g[k]) for k in w) < 2e-2
+    p = want.select("id", F.col("p").alias("q")).join(got.select("id", "p"), "id")
+    assert p.count() == 900 and p.where("abs(p - q) > 5e-3").count() == 0
