@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import percentiles
 from ..functions.scalar import known, log_odds, missing
 
 
@@ -33,8 +34,8 @@ class FillMedian:
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str]) -> FillMedian:
-        row = df.agg(*[F.percentile(known(F.col(c)), F.lit(0.5)).alias(c) for c in columns]).first()
-        return FillMedian({c: 0.0 if row[c] is None else row[c] for c in columns})
+        found = percentiles(df, {c: known(F.col(c)) for c in columns}, [0.5])
+        return FillMedian({c: 0.0 if found[c][0] is None else found[c][0] for c in columns})
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"fillnamed__{c}": F.coalesce(known(F.col(c)), F.lit(m)) for c, m in self.medians.items()})
@@ -74,9 +75,8 @@ class QuantileBinning:
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str], bins: int = 10) -> QuantileBinning:
-        at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-        row = df.agg(*[F.percentile(known(F.col(c)), at).alias(c) for c in columns]).first()
-        return QuantileBinning({c: sorted(set(row[c] or [])) for c in columns})
+        found = percentiles(df, {c: known(F.col(c)) for c in columns}, [i / bins for i in range(1, bins)])
+        return QuantileBinning({c: sorted({e for e in found[c] if e is not None}) for c in columns})
 
     def apply(self, df: DataFrame) -> DataFrame:
         def bin_of(c: str, edges: list[float]):
