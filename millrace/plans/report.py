@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import running
+from ..functions.running import percentiles, running
 from ..functions.scalar import log_odds
 from .reader import equal_bins
 
@@ -89,8 +89,10 @@ def regression_line(df: DataFrame, target: str, prediction: str) -> DataFrame:
 def numeric_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n, nan_rate, min, q25, mean, median, q75, max, std)."""
     x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")).select("p.*")
-    q = lambda p: F.percentile("v", F.lit(p))
-    return x.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.col("v").isNull().cast("double")).alias("nan_rate"), F.min("v").alias("min"), q(0.25).alias("q25"), F.avg("v").alias("mean"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"))
+    found = percentiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    q = df.sparkSession.createDataFrame([(c, *v) for c, v in found.items()], "feature string, q25 double, median double, q75 double")
+    by = x.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.col("v").isNull().cast("double")).alias("nan_rate"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"))
+    return by.join(q, "feature").select("feature", "n", "nan_rate", "min", "q25", "mean", "median", "q75", "max", "std")
 
 
 def datetime_features(df: DataFrame, columns: list[str]) -> DataFrame:
