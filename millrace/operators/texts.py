@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def tokens_ru(text: Column, stopwords: list[str] | None = None) -> Column:
 
 def document_frequencies(df: DataFrame, tokens: str, min_df: int = 5, max_df: float = 1.0, top: int | None = 30_000) -> DataFrame:
     """(token, df, idf) of the vocabulary: the most frequent tokens within the bounds; idf = log((1 + N) / (1 + df)) + 1."""
-    each = df.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    each = word_counts(df, tokens).select("token", "df")
     return _vocabulary(each, df.count(), min_df, max_df, top)
 
 
@@ -59,9 +60,63 @@ def term_counts(df: DataFrame, key: str, tokens: str) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+def _terms(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, count, tokens by code) of the different tokens of each row of a batch."""
+    words = pc.list_flatten(b.column(at)).dictionary_encode(null_encoding="encode")
+    n = max(1, len(words.dictionary))
+    row = pc.list_parent_indices(b.column(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, tf = np.unique(row * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return pairs // n, pairs % n, tf, words.dictionary
+
+
+def word_counts(df: DataFrame, tokens: str) -> DataFrame:
+    """(token, n, df): occurrences, and rows that hold the token; batches are counted in tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, code, tf, words = _terms(b, 0)
+            n, rows = np.bincount(code, tf, len(words)).astype(np.int64), np.bincount(code, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(rows.astype(np.int64))], names=["token", "n", "df"])
+
+    return df.select(tokens).mapInArrow(work, "token string, n long, df long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def row_terms(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, token, tf) of each row, counted in tasks; rows of one key are not put together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, code, tf, words = _terms(b, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), words.take(pa.array(code)), pa.array(tf.astype(np.int64))], names=[key, "token", "tf"])
+
+    return df.select(key, tokens).mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, token string, tf long")
+
+
+#: Vocabularies up to this are sent to all tasks, which then weigh rows by themselves.
+SENT = 50_000
+
+
 def tfidf(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame) -> DataFrame:
-    """(key, token, weight): term counts times idf, each document scaled to the length 1."""
-    return _weighted(term_counts(df, key, tokens), key, vocabulary)
+    """(key, token, weight): term counts times idf, each document scaled to the length 1.
+
+    With a vocabulary that fits into tasks and a row for each key nothing is shuffled; else counts are joined.
+    """
+    known = vocabulary.select("token", "idf").where("token is not null").limit(SENT + 1).toArrow()
+    if known.num_rows > SENT or not df.groupBy(key).count().where("count > 1").isEmpty():
+        return _weighted(term_counts(df, key, tokens), key, vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast((known.column("token").combine_chunks(), known.column("idf").to_numpy()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = shared.value
+        for b in batches:
+            row, code, tf, words = _terms(b, 1)
+            place = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy(zero_copy_only=False)[code]
+            row, tf, place = (x[place >= 0] for x in (row, tf, place))
+            w = tf * idf[place]
+            w = w / np.sqrt(np.bincount(row, w * w, b.num_rows))[row]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(place)), pa.array(w)], names=[key, "token", "weight"])
+
+    return df.select(key, tokens).mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, token string, weight double")
 
 
 def _weighted(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
@@ -71,30 +126,44 @@ def _weighted(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
 
 
 def fit_tfidf(df: DataFrame, key: str, tokens: str, min_df: int = 5, max_df: float = 1.0, top: int | None = 30_000) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, tfidf of df by it): texts are tokenised and counted once, the counts are written and read for both."""
-    counts = hold(term_counts(df, key, tokens))
-    voc = _vocabulary(counts.groupBy("token").agg(F.count("*").alias("df")), df.select(key).count(), min_df, max_df, top)
-    return voc, _weighted(counts, key, voc)
+    """(vocabulary, tfidf of df by it); documents are told apart by key."""
+    several = df.groupBy(key).count().where("count > 1").select(key)
+    if not several.isEmpty():
+        counts = hold(term_counts(df, key, tokens))
+        voc = _vocabulary(counts.groupBy("token").agg(F.count("*").alias("df")), df.select(key).count(), min_df, max_df, top)
+        return voc, _weighted(counts, key, voc)
+    voc = hold(document_frequencies(df, tokens, min_df, max_df, top))
+    return voc, tfidf(df, key, tokens, voc)
 
 
 def word_weights(df: DataFrame, tokens: str, kind: str = "sif", a: float = 1e-3) -> DataFrame:
     """(token, n, df, weight): idf weights log1p((N + 1) / (df + 1)) or smooth inverse frequencies a / (a + n / all)."""
-    docs = df.count()
-    row = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("df"))
-    both = F.concat(F.transform(tokens, row(1, 0)), F.transform(F.array_distinct(tokens), row(0, 1)))
-    words = df.select(F.explode(both).alias("w")).groupBy("w.token").agg(F.sum("w.n").alias("n"), F.sum("w.df").alias("df"))
+    words = hold(word_counts(df, tokens))
     if kind == "idf":
-        return words.withColumn("weight", F.log1p(F.lit(docs + 1.0) / (F.col("df") + 1)))
+        return words.withColumn("weight", F.log1p(F.lit(df.count() + 1.0) / (F.col("df") + 1)))
     total = words.agg(F.sum("n").alias("t")).first().t or 1
     return words.withColumn("weight", F.lit(a) / (F.lit(a) + F.col("n") / F.lit(total)))
 
 
+#: Vectors up to this length are added up as columns of one row for each key.
+WIDE = 64
+
+
 def average_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(key, dim, value): weighted mean of word vectors, vectors and weights given as (token, vector) and (token, weight)."""
-    x = df.select(key, F.explode(tokens).alias("token")).join(vectors, "token")
-    x = x.join(weights.select("token", "weight"), "token") if weights is not None else x.withColumn("weight", F.lit(1.0))
-    x = x.select(key, "weight", F.posexplode("vector").alias("dim", "v"))
-    return x.groupBy(key, "dim").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("value"))
+    words = vectors.select("token", "vector")
+    words = words.join(weights.select("token", "weight"), "token") if weights is not None else words.withColumn("weight", F.lit(1.0))
+    dims = words.agg(F.max(F.size("vector")).alias("n")).first().n or 0
+    x = row_terms(df, key, tokens).join(words, "token").withColumn("weight", F.col("weight") * F.col("tf"))
+    if dims > WIDE:
+        x = x.select(key, "weight", F.posexplode("vector").alias("dim", "v"))
+        return x.groupBy(key, "dim").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("value"))
+    at = lambda i: F.get("vector", F.lit(i))
+    sums = [F.sum(at(i) * F.col("weight")).alias(f"_s{i}") for i in range(dims)] + [F.sum(F.when(F.size("vector") > i, F.col("weight"))).alias(f"_w{i}") for i in range(dims)]
+    if not sums:
+        return x.select(key, F.lit(0).alias("dim"), F.lit(None).cast("double").alias("value")).where("false")
+    means = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"_w{i}").isNotNull().alias("some"), (F.col(f"_s{i}") / F.col(f"_w{i}")).alias("value")) for i in range(dims)])
+    return x.groupBy(key).agg(*sums).select(key, F.explode(means).alias("m")).where("m.some").select(key, "m.dim", "m.value")
 
 
 def pool(vectors: DataFrame, key: str, how: str) -> DataFrame:
@@ -147,6 +216,11 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
 
 def random_projection(df: DataFrame, key: str, tokens: str, dims: int = 16, how: str = "max", seed: int = 7) -> DataFrame:
     """(key, dim, value): tokens as seeded random vectors in [-1, 1], pooled over the text by max, sum or avg."""
+    if how in ("max", "sum", "avg") and dims <= WIDE:  # each different token of a text once, one row for each text
+        v = [F.pmod(F.xxhash64("token", F.lit(i), F.lit(seed)), F.lit(2001)) / F.lit(1000.0) - F.lit(1.0) for i in range(dims)]
+        add = {"max": F.max, "sum": lambda c: F.sum(c * F.col("tf")), "avg": lambda c: F.sum(c * F.col("tf")) / F.sum("tf")}[how]
+        x = row_terms(df, key, tokens).groupBy(key).agg(*[add(c).alias(f"_v{i}") for i, c in enumerate(v)])
+        return x.select(key, F.posexplode(F.array(*[F.col(f"_v{i}") for i in range(dims)])).alias("dim", "value"))
     x = df.select(key, F.posexplode(tokens).alias("pos", "token"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(F.xxhash64("token", i, F.lit(seed)), F.lit(2001)) / F.lit(1000.0) - F.lit(1.0))
     return pool(x.select(key, "pos", vec.alias("vector")), key, how)
