@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import losses
 from ..functions import metrics as M
 from ..operators import additive, blend, boosting, categorical, dates, models, numeric, texts
+from ..sources.shared import hold
 from .folds import kfold, stratified_kfold
 from .reader import Role, guess_roles, profile, usable
 from .selectors import Problem, Selector
@@ -45,6 +46,8 @@ class Features:
         elif categories:
             means = categorical.TargetEncoder.fit(df, categories, target, fold, task == "binary")
         counts = categorical.freq_encoder(df, categories) if categories else None
+        if means is not None:  # small tables that a join of each category reads; lazy ones would count all rows for each of them
+            means.cells, means.full, counts.table = hold(means.cells), hold(means.full), hold(counts.table)
         return Features(numbers, categories, times, numeric.NanFlags.fit(df, numbers) if numbers else numeric.NanFlags([]), fill, scale, means, counts)
 
     def apply(self, df: DataFrame, train: bool = False) -> DataFrame:
@@ -103,7 +106,7 @@ class TabularAutoML:
             self.selector.fit(raw, columns, Problem(label, self.task, key, k, tuple(self._categories()), params=self.boosting))
             self.roles = {c: r for c, r in self.roles.items() if c in self.selector.selected or f"time__{c}" in self.selector.selected}
         x = kfold(df, key, self.n_folds) if self.task == "reg" else stratified_kfold(df, key, target, self.n_folds)
-        x = self._texts(x, label, k)
+        x = hold(self._texts(hold(x), label, k))  # each statistic of the features is a pass over the numbered rows, none numbers them again
         self.features = Features.fit(x, self.roles, label, self.task, n_classes=k)
         # every fold, strength and pass of a solver reads the features; lost or evicted blocks are computed anew
         x = kept = self.features.apply(x, train=True).persist(StorageLevel.MEMORY_AND_DISK)
@@ -117,6 +120,7 @@ class TabularAutoML:
         loss = {"reg": M.mse, "binary": M.logloss, "multiclass": M.crossent_of}[self.task]
         self.blended = blend.class_blend(k) if several else blend.weighted_blend
         preds = [m.fitted.name if isinstance(m, additive.Additive) else m.name for m in self.models]
+        x = hold(x.select(key, *dict.fromkeys((target, label)), *preds))  # each step of the blend reads the predictions
         self.weights = blend.optimise_weights(x, preds, lambda p: loss(y, p), -1, rounds=1, blended=self.blended) if len(preds) > 1 else [1.0]
         self.names, self._kept = preds, kept
         return x.withColumn("prediction", self.blended(preds, self.weights)).select(key, target, *preds, "prediction")
