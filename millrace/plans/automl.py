@@ -106,7 +106,8 @@ class TabularAutoML:
             self.selector.fit(raw, columns, Problem(label, self.task, key, k, tuple(self._categories()), params=self.boosting))
             self.roles = {c: r for c, r in self.roles.items() if c in self.selector.selected or f"time__{c}" in self.selector.selected}
         x = kfold(df, key, self.n_folds) if self.task == "reg" else stratified_kfold(df, key, target, self.n_folds)
-        x = hold(self._texts(hold(x), label, k))  # each statistic of the features is a pass over the numbered rows, none numbers them again
+        x = self._texts(hold(x), label, k)  # each statistic of the features is a pass over the numbered rows, none numbers them again
+        x = hold(x) if self.text_models else x
         self.features = Features.fit(x, self.roles, label, self.task, n_classes=k)
         # every fold, strength and pass of a solver reads the features; lost or evicted blocks are computed anew
         x = kept = self.features.apply(x, train=True).persist(StorageLevel.MEMORY_AND_DISK)
