@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, components, fresh, materialize, mix, shingles, slices, tune, words
+from .common import Scratch, column, components, fresh, materialize, mix, release_shuffles, shingles, slices, tune, words
 
 SKETCH = 1 << 16
 MARKED = 1 << 23
@@ -357,8 +357,8 @@ def _across(
     return p, q, False
 
 
-def verify(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
-    """The pairs whose exact shingle sets have the similarity. named: (node, place, key).
+def verify(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+    """The pairs (different ones) whose exact shingle sets have the similarity. named: (node, place, key).
 
     A pair goes to its end with more pairs, at most ``chunk`` pairs to a task's group; the texts of a group's centre and
     of its partners meet there and are made into sets again. Other texts are left out by marks before any shuffle.
@@ -366,35 +366,39 @@ def verify(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int, percent:
     import xxhash
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    x = pairs.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    first = F.struct("na", "a") > F.struct("nb", "b")
-    x = x.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.ceil(F.greatest("na", "nb") / chunk).alias("parts"))
-    x = x.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
-    rows = x.select("centre", "salt", "node").unionAll(x.select("centre", "salt", F.col("centre").alias("node")).distinct())
-    rows = rows.join(named, "node")
-    texts = marked(docs.select(place().alias("place"), "text"), "place", marks(named.join(ends, "node", "left_semi"), "place"))
+    ends = keep(ends.join(named.select("node", "place", "key"), "node"))
+    x = pairs.select("a", "b")
+    for c in ("a", "b"):
+        x = x.join(ends.select(F.col("node").alias(c), F.struct("n", "node", "place", "key").alias(f"_{c}")), c)
+    x = x.select(F.greatest("_a", "_b").alias("c"), F.least("_a", "_b").alias("p"))  # by number of pairs, then node
+    salt = F.pmod(F.xxhash64("p.node"), F.ceil(F.col("c.n") / chunk))
+    x = keep(x.select(F.col("c.node").alias("centre"), salt.alias("salt"), "p.node", "p.place", "p.key", F.col("c.place").alias("c_place"), F.col("c.key").alias("c_key")))
+    centres = x.select("centre", "salt", F.col("centre").alias("node"), F.col("c_place").alias("place"), F.col("c_key").alias("key")).distinct()
+    rows = x.select("centre", "salt", "node", "place", "key").unionAll(centres)
+    texts = marked(docs.select(place().alias("place"), "text"), "place", marks(ends, "place"))
     both = texts.join(rows, "place").select("centre", "salt", (F.col("node") == F.col("centre")).alias("own"), "node", "key", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre = None, None
+        at, centre, done = None, None, set()
         for batch in batches:
             found = []
             head = list(zip(*(c.to_pylist() for c in batch.columns[:5])))
             for i, s in _sets(batch.column(5), n):
                 group, own, node, key = head[i][:2], *head[i][2:]
                 if group != at:
-                    at, centre = group, None
-                if xxhash.xxh3_128_hexdigest(s.tobytes()) != key:
-                    continue  # another text of one hash
+                    at, centre, done = group, None, set()
+                if node in done or xxhash.xxh3_128_hexdigest(s.tobytes()) != key:
+                    continue  # an equal row, or another text of one hash
                 if own:
                     centre = s
                 elif centre is not None and linked(s, centre, percent):
+                    done.add(node)
                     found.append((min(node, group[0]), max(node, group[0])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
-    return both.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("own")).mapInArrow(run, "a long, b long").distinct()
+    return both.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("own")).mapInArrow(run, "a long, b long")
 
 
 def _blocks(prof: DataFrame, reps: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -445,20 +449,24 @@ def _join(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk:
     members = keep(_blocks(prof, reps, keep))
     some = keep(reps.select("node", "place", "key").join(members.select("node").distinct(), "node", "left_semi"))
     least = [f"m{k}" for k in range(len(ORDERS))]
+    release_shuffles(docs.sparkSession)
     shapes = keep(prof.select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), "point", *least).join(some.select("node"), "node", "left_semi").join(lowest(members), "node"))
     tried = keep(_drawn(shapes, percent, chunk, keep).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    comp = keep(components(keep(verify(tried, docs, some, n, percent, chunk)), keep).where("id <> root"))
+    release_shuffles(docs.sparkSession)
+    comp = keep(components(keep(verify(tried, docs, some, n, percent, chunk, keep)), keep).where("id <> root"))
     for each in ROUNDS:
         now = keep(_open(members, comp, keep))
         if now.isEmpty():
             break
         found = keep(candidates(now.join(shapes, "node"), percent, chunk, each))
         members = now.join(found.where("b is null").select(F.col("a").alias("block")).distinct(), "block", "left_semi").select("block", "node")
+        release_shuffles(docs.sparkSession)
         pairs = keep(found.where("b is not null").join(tried, ["a", "b"], "left_anti").distinct())
         if pairs.isEmpty():
             continue
         tried = tried.unionAll(pairs)
-        good = keep(verify(pairs, docs, some, n, percent, chunk))
+        good = keep(verify(pairs, docs, some, n, percent, chunk, keep))
+        release_shuffles(docs.sparkSession)
         if not good.isEmpty():
             root = lambda c, r: comp.select(F.col("id").alias(c), F.col("root").alias(r))
             across = good.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
