@@ -169,7 +169,7 @@ class TabularAutoML:
             if self.tuning:
                 self.boosting, self.search = tune_boosting(x, columns, label, loss, self.boosting, key, self.tuning, timer=timer, categorical=cats)
             return boosting.boost(x, columns, label, loss, self.boosting, self.n_folds, "pred_boost", key, out_of_time=timer.out, categorical=cats)
-        return models.fit_folds(x, self.features.names, label, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer, n_classes=k)
+        return models.fit_folds(x, self.features.names, label, self.task, models.trees(self.task, rounds=10), self.n_folds, "pred_trees", timer=timer, n_classes=k, stored=True)
 
     def predict(self, df: DataFrame) -> DataFrame:
         x = df
