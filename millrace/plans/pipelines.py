@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import hash24, log_odds
 from ..operators import categorical, dates, models, numeric
 from ..operators.selection import drop_correlated, raw_name
+from ..sources.shared import Workspace
 from .automl import TabularAutoML
 from .reader import Role
 
@@ -126,6 +127,8 @@ class Scorecard:
 
     @staticmethod
     def fit(df: DataFrame, numbers: list[str], categories: list[str], target: str, bins: int = 5, least_iv: float = 0.0, limit: float = 0.9, strength: float = 1e-3) -> Scorecard:
+        made = Workspace(df.sparkSession)  # each statistic is a pass: a join in df would send its small side to the driver each time
+        df = made.keep(df.select(*dict.fromkeys([*numbers, *categories, target])))
         q = numeric.QuantileBinning.fit(df, numbers, bins)
         x = q.apply(df)
         names = [f"qntl__{c}" for c in numbers] + categories
@@ -140,6 +143,7 @@ class Scorecard:
         est = models.linear("binary", strength, l1=True)
         y = coded.withColumn("_y", F.col(target).cast("double"))
         card.model = models.Fitted([Pipeline(stages=[models._assemble([f"woe__{c}" for c in card.kept]), est]).fit(y)], "binary", "score")
+        made.clear()
         return card
 
     def codes(self, df: DataFrame) -> DataFrame:

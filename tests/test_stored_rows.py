@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from millrace.operators import models
+from millrace.plans import pipelines
 
 
 def counted(spark):
@@ -23,3 +24,10 @@ def test_folds_make_their_rows_once(spark):
     _, out = models.fit_folds(x, ["a"], "y", "reg", models.trees("reg", 2, 2), 3, "p", parallel=1)
     assert made.value == 400
     assert out.where("p is not null").count() == 400
+
+
+def test_a_scorecard_makes_its_rows_once(spark):
+    x, made = counted(spark)
+    card = pipelines.Scorecard.fit(x, ["a"], ["c"], "y")
+    assert made.value == 400
+    assert card.apply(x).where("score is not null").count() == 400
