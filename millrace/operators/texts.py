@@ -175,16 +175,99 @@ def pool(vectors: DataFrame, key: str, how: str) -> DataFrame:
     return x.groupBy(key, "dim").agg({"max": F.max, "sum": F.sum, "avg": F.avg}[how]("v").alias("value"))
 
 
+#: Vectors that a pass multiplies together, tokens whose sums are added up together, and weights that a task looks at together.
+BLOCK, SLAB, ENTRIES = 24, 1_000, 1 << 17
+
+
+def _flat(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts of rows, tokens, weights) of the rows with tokens, in slices; the columns are lists i and w."""
+    ends, i, w = b.column("i").offsets.to_numpy().astype(np.int64), *(b.column(c).flatten().to_numpy() for c in ("i", "w"))
+    ends = ends - ends[0]
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + ENTRIES, side="right")) - 1)
+        part = slice(ends[lo], ends[hi])
+        starts = np.unique(ends[lo:hi][ends[lo:hi] < ends[lo + 1 : hi + 1]]) - ends[lo]
+        if len(starts):
+            yield starts, i[part], w[part]
+        lo = hi
+
+
+def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
+    """The Gram matrix of sparse rows (i, w) times x: tasks multiply their rows, slabs of tokens are added up in tasks."""
+    n, b = x.shape
+    shared = rows.sparkSession.sparkContext.broadcast(x)
+    schema = pa.schema([("slab", pa.int32()), ("v", pa.binary())])
+
+    def emit(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], schema=schema)
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, out = shared.value, np.zeros((n, b))
+        for batch in batches:
+            for starts, i, w in _flat(batch):
+                y = np.add.reduceat(v[i] * w[:, None], starts, axis=0)
+                y = np.repeat(y, np.diff(np.append(starts, len(i))), axis=0) * w[:, None]
+                order = np.argsort(i, kind="stable")
+                first = np.flatnonzero(np.diff(i[order], prepend=-1))
+                out[i[order][first]] += np.add.reduceat(y[order], first, axis=0)
+        yield from emit({k: out[k * SLAB : (k + 1) * SLAB] for k in range(-(-n // SLAB))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(v.as_buffer(), np.float64)
+        yield from emit(sums)
+
+    kind = "slab int, v binary"
+    got = rows.select("i", "w").mapInArrow(times, kind).repartition("slab").mapInArrow(add, kind).toArrow()
+    shared.destroy()
+    out = np.zeros((n, b))
+    for k, v in zip(got.column("slab").to_pylist(), got.column("v").to_pylist()):
+        out[k * SLAB : (k + 1) * SLAB] = np.frombuffer(v).reshape(-1, b)
+    return out
+
+
+def _directions(rows: DataFrame, n: int, k: int, tol: float = 1e-10) -> np.ndarray:
+    """The first k right singular directions of sparse rows over n tokens, as columns: block Lanczos with all of its basis
+    kept orthogonal, until the directions' residuals are below tol of their squared singular values."""
+    rng = np.random.default_rng(7)
+    basis, h = np.zeros((n, 0)), np.zeros((0, 0))
+    new = np.linalg.qr(rng.standard_normal((n, min(BLOCK, n))))[0]
+    while True:
+        m, b = basis.shape[1], new.shape[1]
+        basis = np.hstack([basis, new])
+        rest = _gram_times(rows, new)
+        h = np.pad(h, ((0, b), (0, b)))
+        for _ in range(2):
+            part = basis.T @ rest
+            h[:, m:] += part
+            rest -= basis @ part
+        h[m:, :m] = h[:m, m:].T
+        val, vec = np.linalg.eigh((h + h.T) / 2)
+        val, vec = val[::-1][:k], vec[:, ::-1][:, :k]
+        u, size, turn = np.linalg.svd(rest, full_matrices=False)
+        error = np.linalg.norm((size[:, None] * turn) @ vec[m:], axis=0)
+        if m + b >= n or (len(val) == k and (error <= tol * np.maximum(val, 1e-4 * val[0])).all()) or val[0] <= 0:
+            there = val > max(val[0], 0) * 1e-18
+            return basis @ vec[:, there]
+        b = min(b, n - m - b)
+        new = np.where(size[:b] > 1e-13 * val[0], u[:, :b], rng.standard_normal((n, b)))  # nothing left there: any other direction
+        for _ in range(2):
+            new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+
+
 def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int = 100, min_df: int = 5) -> DataFrame:
     """(key, svd_0..): tf-idf vectors of the most frequent tokens on their first k singular directions (one less than there
     are tokens at most).
 
-    Documents stay sparse; products with their Gram matrix run on executors, and the driver holds top * k numbers.
+    Documents stay sparse and are stored once; blocks of vectors are multiplied with their Gram matrix on executors, and the driver
+    holds top numbers for each of the vectors, some hundreds.
     """
-    from pyspark.mllib.linalg import SparseVector, VectorUDT
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
     sc = df.sparkSession.sparkContext
+    df = hold(df.select(key, tokens))  # texts are made into tokens once
     voc, weights = fit_tfidf(df, key, tokens, min_df, top=top)
     names = [r.token for r in voc.orderBy(F.desc("df"), "token").select("token").collect()]
     if not names:
@@ -193,12 +276,8 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
     place = df.sparkSession.createDataFrame(list(zip(names, range(n))), "token string, i int")
     w = weights.join(place, "token")
     rows = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("s"))
-    sparse = F.udf(lambda s: SparseVector(n, [x.i for x in s], [x.weight for x in s]), VectorUDT())
-    held = rows.select(sparse("s").alias("v")).persist()
-    try:
-        dirs = RowMatrix(held, numCols=n).computeSVD(k, computeU=False).V.toArray()
-    finally:
-        held.unpersist()
+    rows = hold(rows.select(key, F.col("s.i").alias("i"), F.col("s.weight").alias("w")))
+    dirs = _directions(rows, n, k)
     dirs = np.pad(dirs, ((0, 0), (0, k - dirs.shape[1])))  # directions without any weight
     dirs = dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), range(k)])
     shared = sc.broadcast(dirs)
@@ -210,7 +289,7 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
             parts = [x[lo - ends[0] : hi - ends[0]] @ shared.value[i[lo - ends[0] : hi - ends[0]]] for lo, hi in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.float64()))], names=[key, "p"])
 
-    got = rows.select(key, "s.i", "s.weight").mapInArrow(onto, f"{key} {df.schema[key].dataType.simpleString()}, p array<double>")
+    got = rows.select(key, "i", "w").mapInArrow(onto, f"{key} {df.schema[key].dataType.simpleString()}, p array<double>")
     return df.select(key).join(got, key, "left").select(key, *[F.coalesce(F.col("p")[j], F.lit(0.0)).alias(f"svd_{j}") for j in range(k)])
 
 
