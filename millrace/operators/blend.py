@@ -33,6 +33,17 @@ def class_blend(n_classes: int) -> Callable[[list[str], list[float]], Column]:
     return blend
 
 
+def hits(columns: list[str], label: str) -> tuple[list[Column], Column]:
+    """(each model's probability of a row's own class, null if it has none; whether an array holds missing ones among others).
+
+    Where no row is of that kind, the weighted blend of the hits is the class blend's probability of the row's class.
+    """
+    some = lambda v: known(v).isNotNull()
+    mixed = [F.coalesce(F.exists(c, some) & ~F.forall(c, some), F.lit(False)) for c in columns]
+    at = F.col(label).cast("int") + 1
+    return [F.when(F.forall(c, some), F.element_at(c, at)) for c in columns], F.greatest(*mixed, F.lit(False))
+
+
 def best_model(df: DataFrame, columns: list[str], metric: Callable[[Column], Column], sign: int = 1) -> str:
     """The column with the best metric (an aggregate of a prediction column); one pass for all."""
     row = df.agg(*[(metric(F.col(c)) * sign).alias(f"m{i}") for i, c in enumerate(columns)]).first()

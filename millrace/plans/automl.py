@@ -121,8 +121,18 @@ class TabularAutoML:
         loss = {"reg": M.mse, "binary": M.logloss, "multiclass": M.crossent_of}[self.task]
         self.blended = blend.class_blend(k) if several else blend.weighted_blend
         preds = [m.fitted.name if isinstance(m, additive.Additive) else m.name for m in self.models]
-        x = hold(x.select(key, *dict.fromkeys((target, label)), *preds))  # each step of the blend reads the predictions
-        self.weights = blend.optimise_weights(x, preds, lambda p: loss(y, p), -1, rounds=1, blended=self.blended) if len(preds) > 1 else [1.0]
+        hit, extra = [], []
+        if several and len(preds) > 1:
+            own, mixed = blend.hits(preds, label)
+            hit = [f"_hit{i}" for i in range(len(own))]
+            extra = [*[c.alias(h) for c, h in zip(own, hit)], mixed.alias("_mixed")]
+        x = hold(x.select(key, *dict.fromkeys((target, label)), *preds, *extra))  # each step of the blend reads the predictions
+        if len(preds) == 1:
+            self.weights = [1.0]
+        elif hit and x.where("_mixed").isEmpty():  # one probability of each model is all that the loss needs of a row
+            self.weights = blend.optimise_weights(x, hit, M.crossent_hit, -1, rounds=1)
+        else:
+            self.weights = blend.optimise_weights(x, preds, lambda p: loss(y, p), -1, rounds=1, blended=self.blended)
         self.names, self._kept = preds, kept
         return x.withColumn("prediction", self.blended(preds, self.weights)).select(key, target, *preds, "prediction")
 
