@@ -17,6 +17,10 @@ from .selection import gram
 STOPWORDS_EN = "a an and are as at be but by for from had has have he her his i in is it its of on or she that the their they this to was we were will with you".split()
 
 
+#: Everything but letters and digits: [^A-Za-zА-Яа-я0-9]+ in two classes, as Java tries each class in turn on each character.
+GAPS = r"[^\p{Alnum}А-я]+"
+
+
 def concat_texts(columns: list[str]) -> Column:
     """Text columns joined by [SEP], null as empty."""
     return F.concat_ws(" [SEP] ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
@@ -24,16 +28,16 @@ def concat_texts(columns: list[str]) -> Column:
 
 def tokens_en(text: Column, stopwords: list[str] | None = None) -> Column:
     """Array of tokens: everything but letters and digits is a gap, numbers alone and stop words are left out."""
-    flat = F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[^A-Za-zА-Яа-я0-9]+", " "))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(flat, r"\b\d+\b", " "), " +", " "))
-    words = F.filter(F.split(F.lower(bare), " "), lambda w: w != "")
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), GAPS, " ")
+    bare = F.regexp_replace(flat, r"\b\d+\b", " ")  # spaces beside spaces make empty words, which go
+    words = F.array_remove(F.split(F.lower(bare), " "), "")
     return F.filter(words, lambda w: ~w.isin(stopwords)) if stopwords else words
 
 
 def tokens_ru(text: Column, stopwords: list[str] | None = None) -> Column:
     """Array of tokens: ё is е; words of digits or one letter are left out, abbreviations (up to 5 letters, more than one
     capital) keep their case, and the negations не and ни join the next word."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "ё", "е"), "Ё", "Е"), "[^A-Za-zА-Яа-я0-9]+", " "))
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "ё", "е"), "Ё", "Е"), GAPS, " "))
     words = F.split(flat, " ")
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]"))
     cased = F.transform(kept, lambda w: F.when((F.length(w) <= 5) & (F.length(F.regexp_replace(w, "[^A-ZА-Я]", "")) > 1), w).otherwise(F.lower(w)))
@@ -119,6 +123,27 @@ def tfidf(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame) -> DataFr
     return df.select(key, tokens).mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, token string, weight double")
 
 
+def _weight_rows(df: DataFrame, key: str, tokens: str, names: list[str], idf: np.ndarray) -> DataFrame:
+    """(key, i, w): each row's places in the vocabulary and their tf-idf weights, as two lists; made in tasks, nothing is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), idf))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = shared.value
+        for b in batches:
+            row, code, tf, words = _terms(b, 1)
+            place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)[code]
+            row, tf, place = (x[place >= 0] for x in (row, tf, place))
+            order = np.lexsort((place, row))
+            row, tf, place = row[order], tf[order], place[order]
+            w = tf * idf[place]
+            w = w / np.sqrt(np.bincount(row, w * w, b.num_rows))[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype(np.int32), w)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=[key, "i", "w"])
+
+    return df.select(key, tokens).mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, i array<int>, w array<double>")
+
+
 def _weighted(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     raw = counts.join(vocabulary, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -177,6 +202,8 @@ def pool(vectors: DataFrame, key: str, how: str) -> DataFrame:
 
 #: Vectors that a pass multiplies together, tokens whose sums are added up together, and weights that a task looks at together.
 BLOCK, SLAB, ENTRIES = 24, 1_000, 1 << 17
+#: The first tokens (the most frequent), whose weights are multiplied as a dense matrix.
+DENSE = 1_000
 
 
 def _flat(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,6 +222,8 @@ def _flat(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
     """The Gram matrix of sparse rows (i, w) times x: tasks multiply their rows, slabs of tokens are added up in tasks."""
+    used = x.shape[1]
+    x = np.pad(x, ((0, 0), (0, used % 2)))
     n, b = x.shape
     shared = rows.sparkSession.sparkContext.broadcast(x)
     schema = pa.schema([("slab", pa.int32()), ("v", pa.binary())])
@@ -204,14 +233,22 @@ def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], schema=schema)
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, out = shared.value, np.zeros((n, b))
+        v, out, d = shared.value, np.zeros((n, b)), min(n, DENSE)
         for batch in batches:
             for starts, i, w in _flat(batch):
-                y = np.add.reduceat(v[i] * w[:, None], starts, axis=0)
-                y = np.repeat(y, np.diff(np.append(starts, len(i))), axis=0) * w[:, None]
-                order = np.argsort(i, kind="stable")
-                first = np.flatnonzero(np.diff(i[order], prepend=-1))
-                out[i[order][first]] += np.add.reduceat(y[order], first, axis=0)
+                ends = np.append(starts[1:], len(i))
+                y = np.array([w[lo:hi] @ v.take(i[lo:hi], axis=0) for lo, hi in zip(starts.tolist(), ends.tolist())])
+                row, often = np.repeat(np.arange(len(starts)), ends - starts), i < d
+                dense = np.zeros((len(starts), d))
+                dense[row[often], i[often]] = w[often]
+                out[:d] += dense.T @ y
+                rest = np.flatnonzero(~often)
+                if len(rest):
+                    rest = rest[np.argsort(i[rest].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]  # short numbers are sorted faster
+                    first = np.flatnonzero(np.diff(i[rest], prepend=-1))
+                    part = y.take(row[rest], axis=0)
+                    part *= w[rest][:, None]
+                    out[i[rest][first]] += np.add.reduceat(part.view(np.complex128), first, axis=0).view(np.float64)  # two columns at a time
         yield from emit({k: out[k * SLAB : (k + 1) * SLAB] for k in range(-(-n // SLAB))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +264,7 @@ def _gram_times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
     out = np.zeros((n, b))
     for k, v in zip(got.column("slab").to_pylist(), got.column("v").to_pylist()):
         out[k * SLAB : (k + 1) * SLAB] = np.frombuffer(v).reshape(-1, b)
-    return out
+    return out[:, :used]
 
 
 def _directions(rows: DataFrame, n: int, k: int, tol: float = 1e-10) -> np.ndarray:
@@ -268,15 +305,24 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
     """
     sc = df.sparkSession.sparkContext
     df = hold(df.select(key, tokens))  # texts are made into tokens once
-    voc, weights = fit_tfidf(df, key, tokens, min_df, top=top)
-    names = [r.token for r in voc.orderBy(F.desc("df"), "token").select("token").collect()]
+    alone = top <= SENT and df.groupBy(key).count().where("count > 1").isEmpty()
+    if alone:
+        voc, weights = document_frequencies(df, tokens, min_df, top=top).where("token is not null"), None
+    else:
+        voc, weights = fit_tfidf(df, key, tokens, min_df, top=top)
+    found = voc.orderBy(F.desc("df"), "token").select("token", "idf").toArrow()
+    names = found.column("token").to_pylist()
     if not names:
         return df.select(key)
     n, k = len(names), max(1, min(k, len(names) - 1))
-    place = df.sparkSession.createDataFrame(list(zip(names, range(n))), "token string, i int")
-    w = weights.join(place, "token")
-    rows = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("s"))
-    rows = hold(rows.select(key, F.col("s.i").alias("i"), F.col("s.weight").alias("w")))
+    if alone:
+        rows = _weight_rows(df, key, tokens, names, found.column("idf").to_numpy())
+    else:
+        place = df.sparkSession.createDataFrame(list(zip(names, range(n))), "token string, i int")
+        w = weights.join(place, "token")
+        rows = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("s"))
+        rows = rows.select(key, F.col("s.i").alias("i"), F.col("s.weight").alias("w"))
+    rows = hold(rows)
     dirs = _directions(rows, n, k)
     dirs = np.pad(dirs, ((0, 0), (0, k - dirs.shape[1])))  # directions without any weight
     dirs = dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), range(k)])
@@ -290,7 +336,8 @@ def tfidf_svd(df: DataFrame, key: str, tokens: str, top: int = 30_000, k: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.float64()))], names=[key, "p"])
 
     got = rows.select(key, "i", "w").mapInArrow(onto, f"{key} {df.schema[key].dataType.simpleString()}, p array<double>")
-    return df.select(key).join(got, key, "left").select(key, *[F.coalesce(F.col("p")[j], F.lit(0.0)).alias(f"svd_{j}") for j in range(k)])
+    got = got if alone else df.select(key).join(got, key, "left")
+    return got.select(key, *[F.coalesce(F.col("p")[j], F.lit(0.0)).alias(f"svd_{j}") for j in range(k)])
 
 
 def random_projection(df: DataFrame, key: str, tokens: str, dims: int = 16, how: str = "max", seed: int = 7) -> DataFrame:
